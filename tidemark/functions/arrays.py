@@ -1,57 +1,53 @@
-"""Array arithmetic as Column expressions (one row = one window; no shuffle)."""
+"""Array arithmetic as SQL text: one row is one window, so nothing shuffles.
+
+Each helper returns a Spark SQL expression string. ``let`` binds a scalar to a
+lambda variable: a scalar that is only an alias may be inlined into the lambda
+body by the optimizer and then be recomputed for every element.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
-ZERO = F.lit(0.0)
+def let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+def total(x: str) -> str:
+    return f"aggregate({x}, 0D, (a_, v_) -> a_ + v_)"
 
 
-def mean(x: Column) -> Column:
-    return total(x) / F.size(x)
+def mean(x: str) -> str:
+    return f"({total(x)} / size({x}))"
 
 
-def std_pop(x: Column, mu: Column) -> Column:
-    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mu) * (v - mu)) / F.size(x))
+def sum_sq(x: str) -> str:
+    return f"aggregate({x}, 0D, (a_, v_) -> a_ + v_ * v_)"
 
 
-def shift(x: Column, c: Column) -> Column:
-    return F.transform(x, lambda v: v - c)
+def std_pop(x: str) -> str:
+    return let("m_", mean(x),
+               f"sqrt(aggregate({x}, 0D, (a_, v_) -> a_ + (v_ - m_) * (v_ - m_)) / size({x}))")
 
 
-def sum_sq(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
+def centre(x: str) -> str:
+    return let("m_", mean(x), f"transform({x}, v_ -> v_ - m_)")
 
 
-def dot(x: Column, y: Column) -> Column:
-    return total(F.zip_with(x, y, lambda a, b: a * b))
+def dot(x: str, y: str) -> str:
+    return total(f"zip_with({x}, {y}, (p_, q_) -> p_ * q_)")
 
 
-def lag_dot(x: Column, p: Column) -> Column:
+def lag_dot(x: str, p: str) -> str:
     """Sum of x[i] * x[i + p]."""
-    n = F.size(x) - p
-    return dot(F.slice(x, F.lit(1), n), F.slice(x, p + F.lit(1), n))
-
-
-def mean_abs_step(x: Column, p: Column) -> Column:
-    """Mean |x[i + p] - x[i]|."""
-    n = F.size(x) - p
-    pairs = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, p + F.lit(1), n), lambda a, b: F.abs(b - a))
-    return total(pairs) / n
-
-
-def last(x: Column) -> Column:
-    return F.element_at(x, -1)
+    return dot(f"slice({x}, 1, size({x}) - {p})", f"slice({x}, {p} + 1, size({x}) - {p})")
 
 
-def steps(h: Column) -> Column:
-    """[1 .. h]"""
-    return F.sequence(F.lit(1), h)
+def mean_abs_step(x: str, p: str) -> str:
+    """Mean |x[i + p] - x[i]|; 0 when the series is not longer than p."""
+    pairs = (f"zip_with(slice({x}, 1, size({x}) - {p}), slice({x}, {p} + 1, size({x}) - {p}), "
+             f"(p_, q_) -> abs(q_ - p_))")
+    return f"if(size({x}) > {p}, {total(pairs)} / (size({x}) - {p}), 0D)"
 
 
-def fill(value: Column, h: Column) -> Column:
-    return F.array_repeat(value, h)
+def last(x: str) -> str:
+    return f"element_at({x}, -1)"

@@ -16,11 +16,17 @@ def profile(cadence: Column) -> tuple[Column, Column]:
     return ctx, hor
 
 
-def normalise_by_context(series: Column, ctx_len: Column) -> Column:
-    """(mean, std) of the context only; a flat context falls back to the whole window."""
-    ctx = F.slice(series, F.lit(1), ctx_len)
-    mu = A.mean(ctx)
-    return F.struct(mu.alias("mu"), A.std_pop(ctx, mu).alias("sd"))
+def context_scale(raw: str, n: str) -> str:
+    """Mean and scale of the context only; a flat context borrows the window's spread."""
+    ctx = f"slice({raw}, 1, {n})"
+    return A.let("s_", f"named_struct('mu', {A.mean(ctx)}, 'sd', {A.std_pop(ctx)}, 'all', {A.std_pop(raw)})",
+                 f"named_struct('mu', s_.mu, 'sd', CASE WHEN s_.sd >= {dims.EPS} THEN s_.sd "
+                 f"WHEN s_.all <> 0 THEN s_.all ELSE 1D END)")
+
+
+def normalise_by_context(raw: str, n: str) -> str:
+    """Leak-free z-score: the horizon's own statistics never enter."""
+    return A.let("k_", context_scale(raw, n), f"transform({raw}, v_ -> (v_ - k_.mu) / k_.sd)")
 
 
 def series_tails(bins: DataFrame, k_draws: int) -> DataFrame:
@@ -56,12 +62,8 @@ def cut_challenges(bins: DataFrame, cutoff: str, k_draws: int = dims.K_DRAWS) ->
         .where("context_len >= 2")
         .withColumn("win", F.slice("pts", F.expr("n_end - context_len - horizon + 1"),
                                    F.expr("context_len + horizon")))
-        .withColumn("raw", F.transform("win", lambda p: p["value"]))
-        .withColumn("stats", normalise_by_context(F.col("raw"), F.col("context_len")))
-        .withColumn("whole_sd", A.std_pop(F.col("raw"), A.mean(F.col("raw"))))
-        .withColumn("sd", F.expr(
-            f"CASE WHEN stats.sd >= {dims.EPS} THEN stats.sd WHEN whole_sd <> 0 THEN whole_sd ELSE 1D END"))
-        .withColumn("z", F.transform("raw", lambda v: (v - F.col("stats.mu")) / F.col("sd")))
+        .withColumn("raw", F.expr("transform(win, p -> p.value)"))
+        .withColumn("z", F.expr(normalise_by_context("raw", "context_len")))
     )
     truth_ts = F.slice(F.transform("win", lambda p: p["ts"]),
                        F.col("context_len") + 1, F.col("horizon"))

@@ -10,29 +10,33 @@ from tidemark.functions import arrays as A
 NQ = len(dims.DECILES)
 
 
-def pinball_sum(truth: Column, path: Column, level: Column) -> Column:
-    return A.total(F.zip_with(truth, path, lambda t, p: F.greatest(level * (t - p), (level - 1) * (t - p))))
-
-
-def interval_terms(truth: Column, lo: Column, hi: Column, alpha: float) -> Column:
-    """Sum over steps of the interval score of one central interval."""
-    width = A.total(F.zip_with(hi, lo, lambda h, l: h - l))
-    below = A.total(F.zip_with(truth, lo, lambda t, l: F.greatest(l - t, F.lit(0.0))))
-    above = A.total(F.zip_with(truth, hi, lambda t, h: F.greatest(t - h, F.lit(0.0))))
-    return width + F.lit(2.0 / alpha) * (below + above)
-
-
-def dense_path(q: Column, level: float, grid: tuple[float, ...]) -> Column:
-    """The model's own quantile grid read at ``level``, clamped outside the grid."""
-    if level <= grid[0]:
-        return q[0]["path"]
-    if level >= grid[-1]:
-        return q[len(grid) - 1]["path"]
-    i = max(k for k, g in enumerate(grid) if g <= level + 1e-12)
-    w = (level - grid[i]) / (grid[i + 1] - grid[i])
-    if abs(w) < 1e-9:
-        return q[i]["path"]
-    return F.zip_with(q[i]["path"], q[i + 1]["path"], lambda a, b: a + (b - a) * w)
+def pinball(level: str, t: str = "t", p: str = "p") -> str:
+    return f"greatest({level} * ({t} - {p}), ({level} - 1) * ({t} - {p}))"
+
+
+def dense_grid(grid: tuple[float, ...]) -> str:
+    """Where each dense level reads the model's own grid: (lo, hi, weight), clamped outside."""
+    rows = []
+    for lv in dims.CRPS_LEVELS:
+        if lv <= grid[0]:
+            lo = hi = 0
+            w = 0.0
+        elif lv >= grid[-1]:
+            lo = hi = len(grid) - 1
+            w = 0.0
+        else:
+            lo = max(k for k, g in enumerate(grid) if g <= lv + 1e-12)
+            hi = lo + 1
+            w = (lv - grid[lo]) / (grid[hi] - grid[lo])
+            w = 0.0 if abs(w) < 1e-9 else w
+        rows.append(f"named_struct('level', {lv}D, 'lo', {lo}, 'hi', {hi}, 'w', {w}D)")
+    return f"array({', '.join(rows)})"
+
+
+def interval_grid(at: dict[float, int]) -> str:
+    rows = [f"named_struct('lo', {at[lo]}, 'hi', {at[hi]}, 'a', {round(1 - (hi - lo), 3)}D)"
+            for lo, hi in dims.WIS_PAIRS]
+    return f"array({', '.join(rows)})"
 
 
 def contributions(fc: DataFrame, grid: tuple[float, ...] = dims.DECILES) -> DataFrame:
@@ -41,29 +45,32 @@ def contributions(fc: DataFrame, grid: tuple[float, ...] = dims.DECILES) -> Data
     Pure array expressions on one row: no explode, no shuffle.
     """
     at = {g: i for i, g in enumerate(grid)}
-    t, q, h = F.col("truth"), F.col("q"), F.col("horizon")
-    path = lambda lv: q[at[lv]]["path"]
-    abs_err = A.total(F.zip_with(t, F.col("mean"), lambda a, b: F.abs(a - b))) / h
-    wql = sum((pinball_sum(t, path(lv), F.lit(lv)) for lv in dims.DECILES), F.lit(0.0)) * 2
-    hits = [A.total(F.zip_with(t, path(lv), lambda a, b: (a <= b).cast("double"))) for lv in dims.DECILES]
-    inside = F.size(F.filter(
-        F.arrays_zip(t.alias("t"), path(0.1).alias("lo"), path(0.9).alias("hi")),
-        lambda s: (s["t"] >= s["lo"]) & (s["t"] <= s["hi"])))
-    wis = A.total(F.zip_with(t, path(0.5), lambda a, b: F.abs(a - b))) * 0.5
-    for lo, hi in dims.WIS_PAIRS:
-        alpha = round(1 - (hi - lo), 3)
-        wis = wis + interval_terms(t, path(lo), path(hi), alpha) * (alpha / 2)
-    crps = sum((pinball_sum(t, dense_path(q, lv, grid), F.lit(lv)) for lv in dims.CRPS_LEVELS),
-               F.lit(0.0)) * 2 / h / len(dims.CRPS_LEVELS)
-    weight = F.lit(dims.UNSEEN_WEIGHT_FLOOR) + (1 - dims.UNSEEN_WEIGHT_FLOOR) * F.col("unseen_frac")
+    deciles = "array(" + ", ".join(f"q[{at[lv]}]" for lv in dims.DECILES) + ")"
+    abs_err = A.total("zip_with(truth, mean, (t, p) -> abs(t - p))")
+    wql = (f"2 * aggregate({deciles}, 0D, (s, e) -> s + "
+           + A.total(f"zip_with(truth, e.path, (t, p) -> {pinball('e.level')})") + ")")
+    crps = (f"2 / {len(dims.CRPS_LEVELS)}D / horizon * aggregate({dense_grid(grid)}, 0D, (s, g) -> s + "
+            + A.total("zip_with(truth, zip_with(q[g.lo].path, q[g.hi].path, (x, y) -> x + (y - x) * g.w), "
+                      f"(t, p) -> {pinball('g.level')})") + ")")
+    band = f"zip_with(q[{at[0.1]}].path, q[{at[0.9]}].path, (l, u) -> named_struct('l', l, 'u', u))"
+    cover = A.total(f"zip_with(truth, {band}, (t, b) -> if(t >= b.l AND t <= b.u, 1D, 0D))") + " / horizon"
+    span = A.total("zip_with(q[g.hi].path, q[g.lo].path, (u, l) -> u - l)")
+    below = A.total("zip_with(truth, q[g.lo].path, (t, l) -> greatest(l - t, 0D))")
+    above = A.total("zip_with(truth, q[g.hi].path, (t, u) -> greatest(t - u, 0D))")
+    mid = A.total(f"zip_with(truth, q[{at[0.5]}].path, (t, p) -> abs(t - p))")
+    wis = (f"(0.5D * {mid} + aggregate({interval_grid(at)}, 0D, (s, g) -> s + g.a / 2 * "
+           f"({span} + 2 / g.a * ({below} + {above})))) / {len(dims.WIS_PAIRS) + 0.5}D / horizon")
+    hits = f"transform({deciles}, e -> " + A.total("zip_with(truth, e.path, (t, p) -> if(t <= p, 1D, 0D))") + ")"
+    floor = dims.UNSEEN_WEIGHT_FLOOR
     return fc.select(
         "model", "challenge_id", "draw", "source_id", "series_key", "domain", "dgp_class", "cadence",
-        "horizon", "unseen_frac", weight.alias("weight"), abs_err.alias("mae"), "scale", "sigma0",
-        A.total(F.transform(t, F.abs)).alias("abs_truth"), wql.alias("wql_num"),
-        (wis / (len(dims.WIS_PAIRS) + 0.5) / h).alias("wis"), crps.alias("crps"),
-        (inside / h).alias("cover80"),
-        *[hit.alias(f"hit_{i + 1}") for i, hit in enumerate(hits)],
-    ).withColumn("mase", F.col("mae") / F.col("scale")).withColumn("smae", F.col("mae") / F.col("sigma0"))
+        "horizon", "unseen_frac", "scale", "sigma0",
+        F.expr(f"{floor}D + {1 - floor}D * unseen_frac").alias("weight"),
+        F.expr(f"{abs_err} / horizon").alias("mae"),
+        F.expr(A.total("transform(truth, t -> abs(t))")).alias("abs_truth"),
+        F.expr(wql).alias("wql_num"), F.expr(wis).alias("wis"), F.expr(crps).alias("crps"),
+        F.expr(cover).alias("cover80"), F.expr(hits).alias("hits"),
+    ).select("*", F.expr("mae / scale").alias("mase"), F.expr("mae / sigma0").alias("smae"))
 
 
 def metric_sums() -> list[Column]:
@@ -75,7 +82,7 @@ def metric_sums() -> list[Column]:
         F.sum(w * F.col("wql_num")).alias("wql_num"), F.sum(w * F.col("abs_truth")).alias("wql_den"),
         F.sum(w * F.col("crps")).alias("crps_sum"), F.sum(w * F.col("wis")).alias("wis_sum"),
         F.sum(w * F.col("cover80")).alias("cover_sum"), F.sum(w * F.col("horizon")).alias("points"),
-        *[F.sum(w * F.col(f"hit_{i}")).alias(f"hit_{i}") for i in range(1, NQ + 1)],
+        *[F.sum(w * F.col("hits")[i - 1]).alias(f"hit_{i}") for i in range(1, NQ + 1)],
     ]
 
 
@@ -93,6 +100,10 @@ def finish_metrics() -> list[Column]:
     ]
 
 
+SUM_COLUMNS = ("wsum", "n", "unseen_sum", "mase_sum", "mae_sum", "wql_num", "wql_den", "crps_sum", "wis_sum",
+               "cover_sum", "points", *[f"hit_{i}" for i in range(1, NQ + 1)])
+
+
 def metrics_by(scores: DataFrame, *keys: str) -> DataFrame:
     return scores.groupBy(*keys).agg(*metric_sums()).select(*keys, *finish_metrics())
 
@@ -110,30 +121,36 @@ def shifted_gmean(x: Column, w: Column, shift: float = dims.GMEAN_SHIFT) -> Colu
 
 
 def per_source(scores: DataFrame) -> DataFrame:
-    """Weighted mean score and total weight per (model, source)."""
-    w = F.col("weight")
-    return scores.groupBy("model", "source_id").agg(
-        weighted_mean(F.col("mase"), w).alias("mase"), weighted_mean(F.col("crps"), w).alias("crps"),
-        F.sum(w).alias("weight"), F.count(F.lit(1)).alias("n"))
+    """Additive metric sums per (model, source), with the weighted mean scores beside them."""
+    return scores.groupBy("model", "source_id").agg(*metric_sums()).select(
+        "*", (F.col("mase_sum") / F.col("wsum")).alias("src_mase"),
+        (F.col("crps_sum") / F.col("wsum")).alias("src_crps"))
 
 
 def relative_to(per_src: DataFrame, baseline: str = "seasonal_naive", eps: float = dims.EPS) -> DataFrame:
-    """Ratio of every model to the baseline on the same source (equi-join)."""
-    base = per_src.where(F.col("model") == baseline).select(
-        "source_id", F.col("mase").alias("b_mase"), F.col("crps").alias("b_crps"))
-    j = per_src.join(base, "source_id")
-    return j.select(
-        "model", "source_id", "weight", "n",
-        (F.col("mase") / F.greatest("b_mase", F.lit(eps))).alias("mase_ratio"),
-        (F.col("crps") / F.greatest("b_crps", F.lit(eps))).alias("crps_ratio"))
+    """Ratio of every model to the baseline on the same source.
+
+    The partition holds one row per model, so a window replaces the self-join
+    and the score table is computed once.
+    """
+    w = Window.partitionBy("source_id")
+    base = lambda c: F.max(F.when(F.col("model") == baseline, F.col(c))).over(w)
+    return per_src.select(
+        "*",
+        (F.col("src_mase") / F.greatest(base("src_mase"), F.lit(eps))).alias("mase_ratio"),
+        (F.col("src_crps") / F.greatest(base("src_crps"), F.lit(eps))).alias("crps_ratio"))
 
 
 def leaderboard(scores: DataFrame, primary: str = "mase", eps: float = dims.EPS) -> DataFrame:
-    """Metric suite per model, plus the per-source relative shifted gmeans and the rank."""
-    rel = relative_to(per_source(scores), eps=eps).groupBy("model").agg(
-        shifted_gmean(F.col("mase_ratio"), F.col("weight")).alias("mase_rel"),
-        shifted_gmean(F.col("crps_ratio"), F.col("weight")).alias("crps_rel"))
-    board = metrics_by(scores, "model").join(rel, "model")
+    """Metric suite per model, plus the per-source relative shifted gmeans and the rank.
+
+    One aggregation to (model, source) sums; the suite is the sum of those sums.
+    """
+    rel = relative_to(per_source(scores), eps=eps)
+    board = rel.groupBy("model").agg(
+        *[F.sum(c).alias(c) for c in SUM_COLUMNS],
+        shifted_gmean(F.col("mase_ratio"), F.col("wsum")).alias("mase_rel"),
+        shifted_gmean(F.col("crps_ratio"), F.col("wsum")).alias("crps_rel"))
     # one row per model: the ordering window is over the model list only
-    return board.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.round(f"{primary}_rel", 9), "model")))
+    return board.select("model", *finish_metrics(), "mase_rel", "crps_rel").withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.round(f"{primary}_rel", 9), "model")))

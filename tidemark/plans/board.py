@@ -160,5 +160,5 @@ def challenge_cut(spark, sf):
     c = challenge_table(spark, sf)
     return c.select("challenge_id", F.col("draw").cast("bigint"), "cadence", F.col("context_len").cast("bigint"),
                     F.col("horizon").cast("bigint"), rnd(F.col("unseen_frac")).alias("unseen_frac"),
-                    rnd(F.abs(A.total(F.col("context"))), 4).alias("ctx_sum"), rnd(A.mean(F.col("truth"))).alias("truth_mean"),
-                    rnd(F.array_max("context")).alias("ctx_max"), rnd(A.last(F.col("truth"))).alias("truth_last"))
+                    rnd(F.abs(F.expr(A.total("context"))), 4).alias("ctx_sum"), rnd(F.expr(A.mean("truth"))).alias("truth_mean"),
+                    rnd(F.array_max("context")).alias("ctx_max"), rnd(F.expr(A.last("truth"))).alias("truth_last"))
