@@ -68,7 +68,7 @@ def main() -> None:
     if args and args[0] == "-s":
         sf, args = args[1], args[2:]
     spark = build_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(f"{DATA}/sf{sf}")
     bad = 0
     for name, q in load_all().items():
@@ -84,7 +84,7 @@ def main() -> None:
             else:
                 msg, note = diff(df, con, q.sql), "same"
         except Exception as e:  # noqa: BLE001
-            msg = f"{type(e).__name__}: {str(e)[:1500]}"
+            msg = f"{type(e).__name__}: {str(e)[:700]}"
         bad += msg is not None
         print(f"{'FAIL' if msg else 'ok  '} {name} {time.time() - t:.1f}s {msg or note}", flush=True)
     print("failures:", bad)

@@ -64,9 +64,9 @@ def topic_tokens(s: str) -> str:
 def host_label(domain: str) -> str:
     """Publisher part of a host: first non-generic label from the right."""
     labels = f"reverse(filter(split(lower({domain}), '[.]'), p -> p <> ''))"
-    first = (f"transform({labels}, l -> filter(split(l, '[-_]'), s -> s <> '' AND NOT "
-             f"array_contains({sql_array(GENERIC_LABELS)}, s))[0])")
-    hit = f"filter({first}, x -> x IS NOT NULL)[0]"
+    first = (f"transform({labels}, l -> get(filter(split(l, '[-_]'), s -> s <> '' AND NOT "
+             f"array_contains({sql_array(GENERIC_LABELS)}, s)), 0))")
+    hit = f"get(filter({first}, x -> x IS NOT NULL), 0)"
     return f"coalesce({slug(hit, 20)}, {slug(domain, 20)})"
 
 

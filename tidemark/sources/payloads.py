@@ -111,8 +111,8 @@ def cube_records(df: DataFrame, payload: str, keep: list[str], time_dims: list[s
     if time_dims:
         tset = "array(" + ", ".join(f"'{d}'" for d in time_dims) + ")"
     else:
-        tset = ("array(coalesce(filter(c.role.time, d -> array_contains(c.id, d))[0], "
-                "filter(c.id, d -> lower(d) IN ('tid', 'time', 'time_period', 'date', 'period'))[0]))")
+        tset = ("array(coalesce(get(filter(c.role.time, d -> array_contains(c.id, d)), 0), "
+                "get(filter(c.id, d -> lower(d) IN ('tid', 'time', 'time_period', 'date', 'period')), 0)))")
     df = df.withColumn("tdims", F.expr(tset)).where("size(c.id) = size(c.size)")
     df = df.select(*keep, "c.id", "c.size", "labels", "strides", "tdims", F.posexplode("c.value").alias("f", "value"))
     at = "element_at(element_at(labels, array_position(id, d)), CAST(f div element_at(strides, array_position(id, d)) % element_at(size, array_position(id, d)) AS INT) + 1)"
@@ -133,13 +133,13 @@ def sdmx_records(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """Series / observation index maps to (period, value); flat observations when no series exist."""
     df = df.select(*keep, F.from_json(payload, _SDMX).alias("s"))
     df = df.withColumn("periods", F.expr(
-        "transform(filter(s.structure.dimensions.observation, d -> d.id = 'TIME_PERIOD')[0].values, v -> v.id)"))
-    has_series = "size(coalesce(s.dataSets[0].series, map())) > 0"
+        "transform(get(filter(s.structure.dimensions.observation, d -> d.id = 'TIME_PERIOD'), 0).values, v -> v.id)"))
+    has_series = "size(coalesce(get(s.dataSets, 0).series, map())) > 0"
     per_series = df.where(has_series).select(
-        *keep, "periods", F.explode(F.expr("s.dataSets[0].series")).alias("series_key", "ser"))
+        *keep, "periods", F.explode(F.expr("get(s.dataSets, 0).series")).alias("series_key", "ser"))
     per_series = per_series.select(*keep, "periods", "series_key", F.explode("ser.observations").alias("k", "obs"), F.lit(1).alias("part"))
     flat = df.where(f"NOT ({has_series})").select(
-        *keep, "periods", F.lit("").alias("series_key"), F.explode(F.expr("s.dataSets[0].observations")).alias("k", "obs"), F.lit(-1).alias("part"))
+        *keep, "periods", F.lit("").alias("series_key"), F.explode(F.expr("get(s.dataSets, 0).observations")).alias("k", "obs"), F.lit(-1).alias("part"))
     both = per_series.unionByName(flat)
     both = both.withColumn("i", F.expr("CAST(element_at(split(k, ':'), part) AS INT)"))
     return both.select(*keep, "series_key", F.expr("coalesce(get(periods, i), CAST(i AS STRING))").alias("timestamp"),
@@ -163,13 +163,13 @@ def _table(df: DataFrame, payload: str, keep: list[str], comment: str | None, sk
     if skip_rows:
         df = df.withColumn("_lines", F.expr(f"slice(_lines, {skip_rows + 1}, size(_lines))"))
     if delim is None:
-        counts = ", ".join(f"named_struct('n', size(split(_lines[0], '[{d}]')), 'o', {-i}, 'd', '{d}')"
+        counts = ", ".join(f"named_struct('n', size(split(get(_lines, 0), '[{d}]')), 'o', {-i}, 'd', '{d}')"
                            for i, d in enumerate(DELIMITERS))
         df = df.withColumn("_d", F.expr(f"array_max(array({counts})).d"))
     else:
         df = df.withColumn("_d", F.lit(delim))
     if columns is None:
-        df = df.withColumn("_head", F.expr(_cells("_lines[0]", "_d"))).withColumn("_body", F.expr("slice(_lines, 2, size(_lines))"))
+        df = df.withColumn("_head", F.expr(_cells("get(_lines, 0)", "_d"))).withColumn("_body", F.expr("slice(_lines, 2, size(_lines))"))
     else:
         df = df.withColumn("_head", F.array(*[F.lit(c) for c in columns])).withColumn("_body", F.col("_lines"))
     return df.select(*keep, "_head", "_d", F.posexplode("_body").alias("line_no", "_line")).withColumn(
