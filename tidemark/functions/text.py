@@ -12,14 +12,14 @@ def quote(s: str) -> str:
 
 
 def host(url: str) -> str:
-    """Host of a URL, scheme optional, lower case, without 'www.' or a port; '' when absent."""
-    u = f"if({url} LIKE '%://%', {url}, concat('http://', {url}))"
-    return f"coalesce(regexp_replace(lower(try_parse_url({u}, 'HOST')), '^www[.]', ''), '')"
+    """Host of a URL, scheme optional, lower case, without 'www.', user or port; '' when absent."""
+    h = f"regexp_extract({url}, r'^(?:[A-Za-z][A-Za-z0-9+.-]*://|//)?(?:[^/@?#]*@)?([^/:?#]*)', 1)"
+    return f"coalesce(regexp_replace(lower({h}), '^www[.]', ''), '')"
 
 
 def netloc(url: str) -> str:
-    u = f"if({url} LIKE '%://%', {url}, concat('http://', {url}))"
-    return f"coalesce(try_parse_url({u}, 'AUTHORITY'), '')"
+    """Authority part of a URL as written (user and port kept)."""
+    return f"coalesce(regexp_extract({url}, r'^(?:[A-Za-z][A-Za-z0-9+.-]*://|//)?([^/?#]*)', 1), '')"
 
 
 # --- fixed values: host labels that name a platform, not a publisher -----------------
