@@ -24,12 +24,13 @@ SIGNATURE_DIMS = 32
 
 def signature(x: str, n: int = SIGNATURE_DIMS) -> str:
     """Array text: resample to ``n`` points, centre, scale to unit norm (zeros when flat)."""
+    source, x = x, "x_"
     pos = f"(k_ * (size({x}) - 1) / {n - 1}D)"
     lo = f"CAST(floor({pos}) AS INT)"
     pick = f"{x}[{lo}] + ({x}[least({lo} + 1, size({x}) - 1)] - {x}[{lo}]) * ({pos} - floor({pos}))"
     res = f"transform(sequence(0, {n - 1}), k_ -> {pick})"
     unit = A.let("n_", "sqrt(" + A.sum_sq("c_") + ")", "transform(c_, v -> if(n_ > 1e-12, v / n_, 0D))")
-    return A.let("r_", res, A.let("c_", A.centre("r_"), unit))
+    return A.let("x_", source, A.let("r_", res, A.let("c_", A.centre("r_"), unit)))
 
 
 def unit(x: str) -> str:
