@@ -44,12 +44,18 @@ def directions(dim: int, k: int) -> np.ndarray:
     return q.T
 
 
-def _cells(vec: str, dim: int, k: int, width: float) -> list[Column]:
-    cols = []
-    for d in directions(dim, k):
-        lit = "array(" + ", ".join(f"{v:.17g}D" for v in d) + ")"
-        cols.append(F.expr(f"CAST(floor({A.dot(vec, lit)} / {width}D) AS INT)"))
-    return cols
+N_DIRECTIONS = 16  # the first few cut the grid, all of them filter pairs
+
+
+def project(df: DataFrame, vec: str, dim: int, prefix: str) -> DataFrame:
+    """Coordinates of ``vec`` along the fixed directions as plain columns."""
+    rows = ", ".join("array(" + ", ".join(f"{v:.17g}D" for v in d) + ")" for d in directions(dim, N_DIRECTIONS))
+    df = df.withColumn("_proj", F.expr(f"transform(array({rows}), d_ -> {A.dot(vec, 'd_')})"))
+    return df.select("*", *[F.col("_proj")[i].alias(f"{prefix}{i}") for i in range(N_DIRECTIONS)]).drop("_proj")
+
+
+def _cells(prefix: str, k: int, width: float) -> list[Column]:
+    return [F.floor(F.col(f"{prefix}{i}") / width).cast("int") for i in range(k)]
 
 
 def collapse(df: DataFrame, id_: str, vec: str) -> DataFrame:
@@ -59,15 +65,29 @@ def collapse(df: DataFrame, id_: str, vec: str) -> DataFrame:
 
 def near_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str, dim: int,
                threshold: float = dims.DUP_COSINE, k: int = 3) -> DataFrame:
-    """(lid, rid, cosine) of every pair at or above the threshold, for distinct unit vectors."""
+    """(lid, rid, cosine) of every pair at or above the threshold, for distinct unit vectors.
+
+    The join carries ids and projections only; vectors are fetched for the pairs
+    whose projections all agree within r.
+    """
     r = math.sqrt(2 - 2 * threshold) + 1e-9
     names = [f"_c{i}" for i in range(k)]
-    a = left.select(lid, F.col(vec).alias("_va"), *[c.alias(n) for n, c in zip(names, _cells(vec, dim, k, r))])
+    pa, pb = [f"_a{i}" for i in range(N_DIRECTIONS)], [f"_b{i}" for i in range(N_DIRECTIONS)]
+    a = project(left.select(lid, vec), vec, dim, "_a").drop(vec)
+    a = a.select(lid, *pa, *[c.alias(n) for n, c in zip(names, _cells("_a", k, r))])
+    b = project(right.select(rid, vec), vec, dim, "_b").drop(vec)
     probes = F.array(*[F.struct(*[F.lit(o).alias(n) for n, o in zip(names, off)]) for off in itertools.product((-1, 0, 1), repeat=k)])
-    b = right.select(rid, F.col(vec).alias("_vb"), *[c.alias(n) for n, c in zip(names, _cells(vec, dim, k, r))])
-    b = b.withColumn("_p", F.explode(probes)).select(rid, "_vb", *[(F.col(n) + F.col(f"_p.{n}")).alias(n) for n in names])
-    j = a.join(b, names).withColumn("cosine", F.expr(A.dot("_va", "_vb")))
-    return j.where(F.col("cosine") >= threshold).select(lid, rid, "cosine")
+    b = b.select(rid, *pb, *[c.alias(n) for n, c in zip(names, _cells("_b", k, r))]).withColumn("_p", F.explode(probes))
+    b = b.select(rid, *pb, *[(F.col(n) + F.col(f"_p.{n}")).alias(n) for n in names])
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & (a[n] == b[n])
+    for x, y in zip(pa, pb):
+        cond = cond & (F.abs(a[x] - b[y]) <= r)
+    pairs = a.join(b, cond).select(lid, rid)
+    pairs = pairs.join(left.select(lid, F.col(vec).alias("_va")), lid).join(right.select(rid, F.col(vec).alias("_vb")), rid)
+    pairs = pairs.withColumn("cosine", F.expr(A.dot("_va", "_vb")))
+    return pairs.where(F.col("cosine") >= threshold).select(lid, rid, "cosine")
 
 
 def seen_before(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: int,
@@ -81,7 +101,7 @@ def seen_before(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: i
     c, h = collapse(cands.where(zero), id_, vec), collapse(history.where(zero), id_, vec).withColumnRenamed(id_, "_hid")
     r = math.sqrt(2 - 2 * threshold) + 1e-9
     names = ["_c0", "_c1", "_c2"]
-    cell = lambda d: d.select("*", *[x.alias(n) for n, x in zip(names, _cells(vec, dim, 3, r))])
+    cell = lambda d: project(d, vec, dim, "_a").select(*d.columns, *[x.alias(n) for n, x in zip(names, _cells("_a", 3, r))])
     pivot = cell(h).groupBy(*names).agg(F.min_by(vec, "_hid").alias("_pv"))
     settled = cell(c).join(pivot, names).where(F.expr(A.dot(vec, "_pv")) >= threshold).select(id_)
     rest = c.join(settled, id_, "left_anti")

@@ -197,3 +197,15 @@ def extract_motifs(bins: DataFrame, keys: list[str], ts: str, value: str, length
     out = best.select(*keys, "longest", "n_rows", "n_segments", F.col("lo").cast("bigint").alias("start_pos")).join(win, keys, "left")
     return out.withColumn("reason", F.when(F.col("longest") < floor, F.lit("longest contiguous segment under floor"))).withColumn(
         "motif", F.expr("transform(_w, p -> p.value)")).withColumn("motif_ts", F.expr("transform(_w, p -> p.ts)")).drop("_w")
+
+
+def longest_usable(obs: DataFrame, flow: str, key: str, code: str, period: str, order: tuple[str, ...],
+                   min_periods: int = 20) -> DataFrame:
+    """One series per flow: enough distinct periods, then frequency order, then most periods.
+
+    A struct minimum picks it, so a flow with millions of series needs no sort.
+    """
+    s = obs.groupBy(flow, key, code).agg(F.count_distinct(period).alias("n_periods")).where(F.col("n_periods") >= min_periods)
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(o) for o in order]), F.col(code)), F.lit(0)), F.lit(len(order) + 1))
+    best = s.groupBy(flow).agg(F.min(F.struct(rank.alias("r"), (-F.col("n_periods")).alias("o"), F.col(key), F.col(code))).alias("b"))
+    return best.select(flow, F.col(f"b.{key}").alias(key), F.col(f"b.{code}").alias(code), (-F.col("b.o")).alias("n_periods"))

@@ -144,7 +144,7 @@ def sel_metrics_sql(keys: str, extra: tuple[str, ...] = ()) -> str:
 
 
 # ---------------------------------------------------------------- queries
-@query("leaderboard", "G7 G4 G5 G6 J4 M1 M2 M3 M4 M10 C2 B15", f"WITH {SCORE_SQL}, {REL_SQL}, met AS ({metrics_sql('model')}) "
+@query("leaderboard", "G7 G4 G5 G6 J4 M1 M2 M3 M4 M5 M10 C2 B15", f"WITH {SCORE_SQL}, {REL_SQL}, met AS ({metrics_sql('model')}) "
        f"SELECT {sel_metrics_sql('model', ('mase_rel', 'crps_rel'))}, CAST(row_number() OVER (ORDER BY round(mase_rel,9), model) AS BIGINT) \"rank\" "
        "FROM met JOIN gm USING (model)")
 def leaderboard(spark, sf):

@@ -150,20 +150,32 @@ def window_signatures(spark, sf):
 
 
 EMB_DIM = 64
-NEAR = 0.8
+NEAR = dims.DUP_COSINE
+# copies of the stored vectors: exact (k=1), scaled by up to 5 % (k=2, near) and 25 % (k=3, not near)
+_COPIES = ((0, 1, 0.0), (1, 5, 0.0), (2, 3, 0.05), (3, 7, 0.25))
 
 
 def unit_vectors(spark, sf):
-    return load(spark, sf, "embeddings").select("vec_id", F.expr(N.unit("embedding")).alias("vec"))
+    """Embeddings and derived copies of them as unit vectors; ids are 4 x the stored id + copy kind."""
+    e = load(spark, sf, "embeddings").select("vec_id", F.expr("transform(embedding, v -> CAST(v AS DOUBLE))").alias("x"))
+    kinds = ", ".join(f"named_struct('k', {k}, 'm', {m}, 's', {s}D)" for k, m, s in _COPIES)
+    e = e.withColumn("c", F.expr(f"explode(filter(array({kinds}), z -> vec_id % z.m = 0))"))
+    e = e.select((F.col("vec_id") * 4 + F.col("c.k")).alias("vec_id"), F.expr("transform(x, (v, i) -> v * (1 + c.s * (i % 3 - 1)))").alias("x"))
+    return e.select("vec_id", F.expr(N.unit("x")).alias("vec"))
 
 
-_EMB = "e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda w: w::DOUBLE*w::DOUBLE)))) v FROM embeddings)"
+_EMB = ("e0 AS (" + " UNION ALL ".join(
+    f"SELECT vec_id*4+{k} vec_id, list_transform(range(1, len(embedding)+1), lambda i: embedding[i]::DOUBLE*(1+{s}*((i-1)%3-1))) x FROM embeddings WHERE vec_id % {m} = 0" for k, m, s in _COPIES)
+    + "), e AS MATERIALIZED (SELECT vec_id, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda w: w*w)))) v FROM e0)")
 
 
-@query("near_duplicates", "J6", f"WITH {_EMB} SELECT a.vec_id left_id, b.vec_id right_id, round(list_dot_product(a.v, b.v), 5) cosine FROM e a JOIN e b ON a.vec_id < b.vec_id AND list_dot_product(a.v, b.v) >= {NEAR}")
+@query("near_duplicates", "J6", f"WITH {_EMB}, u AS (SELECT min(vec_id) vec_id, v FROM e GROUP BY v) SELECT a.vec_id left_id, b.vec_id right_id, round(list_dot_product(a.v, b.v), 5) cosine FROM u a JOIN u b ON a.vec_id < b.vec_id AND list_dot_product(a.v, b.v) >= {NEAR}")
 def near_duplicates(spark, sf):
-    """Every pair of distinct vectors at or above the cosine, without comparing all pairs."""
-    v = unit_vectors(spark, sf)
+    """Every pair of distinct vectors at or above the cosine, without comparing all pairs.
+
+    Exact copies are one vector: a pair names the lowest id of each.
+    """
+    v = N.collapse(unit_vectors(spark, sf), "vec_id", "vec")
     p = N.near_pairs(v.withColumnRenamed("vec_id", "left_id"), v.withColumnRenamed("vec_id", "right_id"), "left_id", "right_id", "vec", EMB_DIM, NEAR)
     return p.where("left_id < right_id").select("left_id", "right_id", F.round("cosine", 5).alias("cosine"))
 

@@ -34,7 +34,7 @@ lww AS (SELECT * FROM obs WHERE source_id <> 'bulk_once' QUALIFY row_number() OV
   UNION ALL SELECT * FROM obs WHERE source_id = 'bulk_once')"""
 
 
-@query("lake_round_trip", "A1 A2 A4 U1 U2", f"""WITH {OBS_SQL} SELECT source_id, CAST(d AS VARCHAR) scrape_date, count(*) n, {R('sum(v)', 2)} total,
+@query("lake_round_trip", "A1 A2 A4 U1 U2 V3", f"""WITH {OBS_SQL} SELECT source_id, CAST(d AS VARCHAR) scrape_date, count(*) n, {R('sum(v)', 2)} total,
  count(CASE WHEN d >= DATE '2024-01-20' THEN u END) n_user FROM obs WHERE d >= DATE '2024-01-15' GROUP BY 1,2""")
 def lake_round_trip(spark, sf):
     """Write two drifting batches (the second adds the panel column), re-append one, read back with pruning."""
@@ -192,3 +192,16 @@ def motif_extraction(spark, sf):
     r = Q.extract_motifs(b, ["series_key"], "ts", "value", 320, _SEED, 0.5)
     return r.select("series_key", "longest", "n_rows", "n_segments", "start_pos", "reason", rnd(F.expr(A.mean("motif")), 3).alias("mean_value"),
                     F.coalesce(F.size("motif"), F.lit(0)).cast("bigint").alias("len"), F.unix_seconds(F.array_max("motif_ts")).alias("last_ts"))
+
+
+@query("longest_flow_series", "G25", """WITH s AS (SELECT p_type flow, concat(p_brand, '.', l_returnflag) skey, CASE CAST(regexp_extract(p_brand, '[0-9]+') AS INT) % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'Q' WHEN 2 THEN 'W' ELSE 'A' END code, count(DISTINCT date_trunc('month', l_shipdate)) n
+ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1,2,3)
+SELECT flow, skey, code, n n_periods FROM s WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY flow ORDER BY CASE code WHEN 'M' THEN 0 WHEN 'W' THEN 1 WHEN 'Q' THEN 2 ELSE 3 END, n DESC, skey) = 1""")
+def longest_flow_series(spark, sf):
+    """Per flow: long enough first, then the best frequency, then the longest history."""
+    li, p = load(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_shipdate"), load(spark, sf, "part")
+    j = li.join(p, li.l_partkey == p.p_partkey).select(
+        F.col("p_type").alias("flow"), F.concat_ws(".", "p_brand", "l_returnflag").alias("skey"),
+        F.expr("CASE CAST(regexp_extract(p_brand, '[0-9]+', 0) AS INT) % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'Q' WHEN 2 THEN 'W' ELSE 'A' END").alias("code"),
+        F.trunc("l_shipdate", "month").alias("period"))
+    return Q.longest_usable(j, "flow", "skey", "code", "period", ("M", "W", "Q", "A"))

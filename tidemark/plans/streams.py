@@ -100,7 +100,7 @@ def stream_ewma(spark, sf):
     return last.select("event_type", F.col("r.n").alias("n"), rnd(F.col("r.level")).alias("level"))
 
 
-@query("stream_silence", "Z7 O1", """SELECT user_id, CAST(floor(epoch_ms(max(ts))) AS BIGINT) last_ms FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+@query("stream_silence", "Z7 O1", """SELECT user_id, CAST(epoch_us(max(ts)) // 1000 AS BIGINT) last_ms FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_silence(spark, sf):
     """Users quiet for more than a day of event time when the replay ends."""
     e = events(spark, sf).select("user_id", "ts")
