@@ -13,6 +13,8 @@ from tidemark import dims
 from tidemark.functions import arrays as A, timeparse as T
 from tidemark.functions.hashing import uniform
 from tidemark.operators.bounded import previous_in_time, running_count_in_time
+from tidemark.operators.clean import degenerate_reason, median_fill
+from tidemark.session import freeze
 
 GAP_FACTOR = 8.0
 
@@ -183,7 +185,12 @@ def place_window(seg_len: Column, length: int, key: Column, seed: str, tail_frac
 
 def extract_motifs(bins: DataFrame, keys: list[str], ts: str, value: str, length: int, seed: str,
                    tail_frac: float = 0.5) -> DataFrame:
-    """Longest contiguous segment -> honest window -> non-finite fill; refused series keep their reason."""
+    """Longest contiguous segment -> honest window -> non-finite fill; refused series keep their reason.
+
+    The bins are the compact form of the raw rows: they are frozen once, so the
+    steps below never scan the lake again.
+    """
+    bins = freeze(bins.select(*keys, ts, value))
     seg = segments(bins, keys, ts, bucket_seconds=86400)
     best = longest_segment(seg, keys, ts)
     floor = min(length, dims.MIN_MOTIF_LENGTH)
@@ -194,9 +201,11 @@ def extract_motifs(bins: DataFrame, keys: list[str], ts: str, value: str, length
     inside = bins.join(best, keys).where((F.col(ts) >= F.col("start")) & (F.col(ts) <= F.col("end")))
     inside = inside.withColumn("pos", F.row_number().over(w) - 1).where("pos >= lo AND pos < lo + want AND longest >= %d" % floor)
     win = inside.groupBy(*keys).agg(F.expr(f"array_sort(collect_list(struct({ts} AS ts, {value} AS value)))").alias("_w"))
+    win = win.withColumn("_x", F.expr("transform(_w, p -> p.value)"))
     out = best.select(*keys, "longest", "n_rows", "n_segments", F.col("lo").cast("bigint").alias("start_pos")).join(win, keys, "left")
-    return out.withColumn("reason", F.when(F.col("longest") < floor, F.lit("longest contiguous segment under floor"))).withColumn(
-        "motif", F.expr("transform(_w, p -> p.value)")).withColumn("motif_ts", F.expr("transform(_w, p -> p.ts)")).drop("_w")
+    reason = F.when(F.col("longest") < floor, F.lit("longest contiguous segment under floor")).otherwise(F.expr(degenerate_reason("_x")))
+    return out.withColumn("reason", reason).withColumn("motif", F.expr(median_fill("_x"))).withColumn(
+        "motif_ts", F.expr("transform(_w, p -> p.ts)")).drop("_w", "_x")
 
 
 def longest_usable(obs: DataFrame, flow: str, key: str, code: str, period: str, order: tuple[str, ...],

@@ -47,18 +47,18 @@ def write_day(df: DataFrame, root: str) -> None:
 def last_write_wins(df: DataFrame, order: tuple[str, ...] = ("scrape_date", "seq")) -> DataFrame:
     """Across day-files the newest report of (source, panel, raw timestamp) wins.
 
-    A source with a single day-file is left as it is. ``max_by`` combines before
-    the shuffle, so a group of copies never gathers in one task.
+    A source with a single day-file is left as it is: there the arrival number
+    joins the key, so every row is its own group. One pass over the rows;
+    ``max_by`` combines before the shuffle, so a group of copies never gathers
+    in one task.
     """
     keys = ["source_id", *panel_columns(df), "timestamp"]
     days = df.select("source_id", "scrape_date").distinct().groupBy("source_id").agg(
         F.count(F.lit(1)).alias("_days"))
-    tagged = df.join(days, "source_id")
-    many = tagged.where("_days > 1").drop("_days")
+    tagged = df.join(days, "source_id").withColumn("_own", F.when(F.col("_days") == 1, F.col(order[-1])))
     rest = [c for c in df.columns if c not in keys]
-    best = many.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    best = best.select(*keys, "_r.*").select(*df.columns)
-    return best.unionByName(tagged.where("_days = 1").drop("_days"))
+    best = tagged.groupBy(*keys, "_own").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return best.select(*keys, "_r.*").select(*df.columns)
 
 
 def series_key(df: DataFrame) -> Column:
