@@ -84,7 +84,7 @@ def test_holm_and_bh(spark):
 
 def test_friedman_known_value(spark):
     mat = np.array([[1, 2, 3], [1, 3, 2], [1, 2, 3], [2, 1, 3]], float)
-    rows = [(f"m{j}", f"c{i}", mat[i, j]) for i in range(4) for j in range(3)]
+    rows = [(f"m{j}", f"c{i}", float(mat[i, j])) for i in range(4) for j in range(3)]
     r = E.friedman(spark.createDataFrame(rows, "model string, challenge_id string, crps double")).first()
     rj = mat.sum(axis=0)
     assert r["statistic"] == pytest.approx(12 / (4 * 3 * 4) * (rj**2).sum() - 3 * 4 * 4)
