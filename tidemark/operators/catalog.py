@@ -201,13 +201,14 @@ def wiring_decision(items: DataFrame, existing: DataFrame, gate: DataFrame) -> D
     """Verdict per candidate: duplicate id or lane, bad domain, gate result, key-gated, rejected."""
     ids = existing.select("source_id").distinct().withColumn("_dup_id", F.lit(True))
     lanes = existing.select("lane").distinct().withColumn("_dup_lane", F.lit(True))
-    w = Window.partitionBy("lane").orderBy("seq")  # lanes of one batch: first keeps the slot
     j = (items.join(ids, items.entry_id == ids.source_id, "left").drop("source_id").join(lanes, "lane", "left")
          .join(gate.select("entry_id", "gate"), "entry_id", "left"))
-    j = j.withColumn("_twin", F.min(F.when((F.col("gate") == "pass") & F.col("wireable"), F.col("seq"))).over(Window.partitionBy("lane")))
+    # of one batch's entries on a lane the first keeps the slot: reduced per lane, then joined
+    twin = j.where((F.col("gate") == "pass") & F.col("wireable")).groupBy("lane").agg(F.min("seq").alias("_twin"))
+    j = j.join(twin, "lane", "left")
     gated = F.lower("reason").rlike("api key|api-key|token|credential|registration|auth")
     return j.withColumn("verdict", F.when(~F.col("wireable"), F.when(gated, "key-gated").otherwise("rejected"))
                         .when(F.coalesce("_dup_id", "_dup_lane", F.lit(False)), "duplicate")
                         .when(~F.col("domain").isin(*dims.DOMAINS), "bad-domain")
-                        .when(F.col("_twin") < F.col("seq"), "duplicate")
+                        .when(F.coalesce(F.col("_twin") < F.col("seq"), F.lit(False)), "duplicate")
                         .when(F.col("gate") == "pass", "wire").otherwise("verify-fail")).drop("_dup_id", "_dup_lane", "_twin")

@@ -185,10 +185,9 @@ def assign_roles(profile: DataFrame) -> DataFrame:
 
 def panel_check(df: DataFrame, ts: str, dims_: list[str], clean: float = 0.8) -> DataFrame:
     """Is one series interleaved per dimension? Distinct stamps against rows, whole and per pinned value."""
-    whole = df.select(F.lit("").alias("dim"), F.lit("").alias("pin"), F.col(ts).alias("t"))
-    pins = [df.select(F.lit(d).alias("dim"), F.col(d).cast("string").alias("pin"), F.col(ts).alias("t")) for d in dims_]
-    for p in pins:
-        whole = whole.unionByName(p)
-    per = whole.groupBy("dim", "pin", "t").agg(F.count(F.lit(1)).alias("c")).groupBy("dim", "pin").agg(
+    pins = F.array(F.struct(F.lit("").alias("dim"), F.lit("").alias("pin")),
+                   *[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("pin")) for d in dims_])
+    rows = df.select(F.col(ts).alias("t"), F.explode(pins).alias("p")).select("t", "p.*")  # one scan for all
+    per = rows.groupBy("dim", "pin", "t").agg(F.count(F.lit(1)).alias("c")).groupBy("dim", "pin").agg(
         F.sum("c").alias("n_rows"), F.count(F.lit(1)).alias("n_stamps"))
     return per.withColumn("panelled", F.col("n_stamps") < clean * F.col("n_rows"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import dims
 from tidemark.functions import arrays as A
+from tidemark.session import freeze
 
 SIGNATURE_DIMS = 32
 
@@ -64,9 +65,11 @@ def collapse(df: DataFrame, id_: str, vec: str) -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str, dim: int,
-               threshold: float = dims.DUP_COSINE, k: int = 3) -> DataFrame:
+               threshold: float = dims.DUP_COSINE, k: int = 3, ordered: bool = False) -> DataFrame:
     """(lid, rid, cosine) of every pair at or above the threshold, for distinct unit vectors.
 
+    ``ordered`` keeps right ids below left ids only.
+
     The join carries ids and projections only; vectors are fetched for the pairs
     whose projections all agree within r.
     """
@@ -84,12 +87,23 @@ def near_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str,
         cond = cond & (a[n] == b[n])
     for x, y in zip(pa, pb):
         cond = cond & (F.abs(a[x] - b[y]) <= r)
+    if ordered:
+        cond = cond & (b[rid] < a[lid])
     pairs = a.join(b, cond).select(lid, rid)
     pairs = pairs.join(left.select(lid, F.col(vec).alias("_va")), lid).join(right.select(rid, F.col(vec).alias("_vb")), rid)
     pairs = pairs.withColumn("cosine", F.expr(A.dot("_va", "_vb")))
     return pairs.where(F.col("cosine") >= threshold).select(lid, rid, "cosine")
 
 
+def _with_cell(df: DataFrame, vec: str, dim: int, threshold: float) -> DataFrame:
+    r = math.sqrt(2 - 2 * threshold) + 1e-9
+    p = project(df, vec, dim, "_a")
+    return p.select(*df.columns, *[c.alias(n) for n, c in zip(_CELL, _cells("_a", len(_CELL), r))])
+
+
+_CELL = ["_c0", "_c1", "_c2"]
+
+
 def seen_before(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: int,
                 threshold: float = dims.DUP_COSINE) -> DataFrame:
     """Ids of candidates that repeat history (cosine >= threshold); zero signatures never do.
@@ -99,11 +113,8 @@ def seen_before(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: i
     """
     zero = F.expr(f"{A.sum_sq(vec)} > 1e-20")
     c, h = collapse(cands.where(zero), id_, vec), collapse(history.where(zero), id_, vec).withColumnRenamed(id_, "_hid")
-    r = math.sqrt(2 - 2 * threshold) + 1e-9
-    names = ["_c0", "_c1", "_c2"]
-    cell = lambda d: project(d, vec, dim, "_a").select(*d.columns, *[x.alias(n) for n, x in zip(names, _cells("_a", 3, r))])
-    pivot = cell(h).groupBy(*names).agg(F.min_by(vec, "_hid").alias("_pv"))
-    settled = cell(c).join(pivot, names).where(F.expr(A.dot(vec, "_pv")) >= threshold).select(id_)
+    pivot = _with_cell(h, vec, dim, threshold).groupBy(*_CELL).agg(F.min_by(vec, "_hid").alias("_pv"))
+    settled = _with_cell(c, vec, dim, threshold).join(pivot, _CELL).where(F.expr(A.dot(vec, "_pv")) >= threshold).select(id_)
     rest = c.join(settled, id_, "left_anti")
     found = near_pairs(rest, h, id_, "_hid", vec, dim, threshold).select(id_).distinct()
     hit = settled.unionByName(found).distinct()
@@ -111,6 +122,22 @@ def seen_before(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: i
     return cands.join(c.join(hit, id_, "left_semi").select(vec), vec, "left_semi").select(id_)
 
 
+def repeats_of_lower(reps: DataFrame, id_: str, vec: str, dim: int, threshold: float = dims.DUP_COSINE) -> DataFrame:
+    """Ids of distinct vectors that resemble one with a lower id.
+
+    A vector like its cell's lowest member is settled by that one comparison, so
+    a cluster of near copies costs one comparison each instead of all pairs; only
+    the unsettled rest meets its neighbours.
+    """
+    cells = _with_cell(reps.select(id_, vec), vec, dim, threshold)
+    pivot = cells.groupBy(*_CELL).agg(F.min(id_).alias("_pid"), F.min_by(vec, id_).alias("_pv"))
+    settled = cells.join(pivot, _CELL).where((F.col("_pid") < F.col(id_)) & (F.expr(A.dot(vec, "_pv")) >= threshold)).select(id_)
+    rest = reps.select(id_, vec).join(settled, id_, "left_anti")
+    low = reps.select(F.col(id_).alias("_low"), vec)
+    found = near_pairs(rest, low, id_, "_low", vec, dim, threshold, ordered=True).select(id_).distinct()
+    return settled.unionByName(found)
+
+
 def admit_batch(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: int,
                 threshold: float = dims.DUP_COSINE) -> DataFrame:
     """Fresh pool: not in history and no similar candidate with a lower id.
@@ -119,21 +146,18 @@ def admit_batch(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: i
     suppresses later ones, so the result does not depend on processing order.
     """
     fresh = cands.join(seen_before(cands, history, id_, vec, dim, threshold), id_, "left_anti")
-    reps = collapse(fresh, id_, vec)
-    low = reps.select(F.col(id_).alias("_low"), vec)
-    later = near_pairs(reps, low, id_, "_low", vec, dim, threshold).where(F.col("_low") < F.col(id_)).select(id_).distinct()
-    return reps.join(later, id_, "left_anti").select(id_, "copies")
+    reps = freeze(collapse(fresh, id_, vec))
+    return reps.join(repeats_of_lower(reps, id_, vec, dim, threshold), id_, "left_anti").select(id_, "copies")
 
 
 def nearest_distance(query: DataFrame, base: DataFrame, qid: str, coords: list[str], cell: float, max_rounds: int = 40) -> DataFrame:
     """Exact distance from every query point to its nearest base point (low dimensions).
 
     A neighbour found within one cell width is final; the rest retry on a grid
-    twice as coarse, so work shrinks each round and no point is given up.
+    twice as coarse, so work shrinks each round and no point is given up. Start
+    with a cell small against the densest region: dense points settle there.
     """
-    from tidemark.session import freeze
-
-    left = freeze(query.select(qid, *coords))
+    left = freeze(query.select(*coords).distinct())
     base = freeze(base.select(*[F.col(c).alias(f"b_{c}") for c in coords]).distinct())
     done = None
     for _ in range(max_rounds):
@@ -141,15 +165,15 @@ def nearest_distance(query: DataFrame, base: DataFrame, qid: str, coords: list[s
         b = base.select("*", *[F.floor(F.col(f"b_{c}") / cell).alias(n) for c, n in zip(coords, names)])
         q = left.withColumn("_p", F.explode(F.array(*[
             F.struct(*[F.lit(o).alias(n) for n, o in zip(names, off)]) for off in itertools.product((-1, 0, 1), repeat=len(coords))])))
-        q = q.select(qid, *coords, *[(F.floor(F.col(c) / cell) + F.col(f"_p.{n}")).alias(n) for c, n in zip(coords, names)])
+        q = q.select(*coords, *[(F.floor(F.col(c) / cell) + F.col(f"_p.{n}")).alias(n) for c, n in zip(coords, names)])
         d = F.sqrt(sum(((F.col(c) - F.col(f"b_{c}")) ** 2 for c in coords), F.lit(0.0)))
-        got = freeze(q.join(b, names).groupBy(qid).agg(F.min(d).alias("distance")).where(F.col("distance") <= cell))
+        got = freeze(q.join(b, names).groupBy(*coords).agg(F.min(d).alias("distance")).where(F.col("distance") <= cell))
         done = got if done is None else done.unionByName(got)
-        left = freeze(left.join(got, qid, "left_anti"))
+        left = freeze(left.join(got, coords, "left_anti"))
         if left.isEmpty():
             break
         cell *= 2
-    return done
+    return query.join(done, coords).select(qid, "distance")
 
 
 def available_after(rows: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:

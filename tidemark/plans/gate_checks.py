@@ -169,15 +169,10 @@ _EMB = ("e0 AS (" + " UNION ALL ".join(
     + "), e AS MATERIALIZED (SELECT vec_id, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda w: w*w)))) v FROM e0)")
 
 
-@query("near_duplicates", "J6", f"WITH {_EMB}, u AS (SELECT min(vec_id) vec_id, v FROM e GROUP BY v) SELECT a.vec_id left_id, b.vec_id right_id, round(list_dot_product(a.v, b.v), 5) cosine FROM u a JOIN u b ON a.vec_id < b.vec_id AND list_dot_product(a.v, b.v) >= {NEAR}")
+@query("near_duplicates", "J6", f"WITH {_EMB}, u AS (SELECT min(vec_id) vec_id, v FROM e GROUP BY v) SELECT a.vec_id FROM u a WHERE EXISTS (SELECT 1 FROM u b WHERE b.vec_id < a.vec_id AND list_dot_product(a.v, b.v) >= {NEAR})")
 def near_duplicates(spark, sf):
-    """Every pair of distinct vectors at or above the cosine, without comparing all pairs.
-
-    Exact copies are one vector: a pair names the lowest id of each.
-    """
-    v = N.collapse(unit_vectors(spark, sf), "vec_id", "vec")
-    p = N.near_pairs(v.withColumnRenamed("vec_id", "left_id"), v.withColumnRenamed("vec_id", "right_id"), "left_id", "right_id", "vec", EMB_DIM, NEAR)
-    return p.where("left_id < right_id").select("left_id", "right_id", F.round("cosine", 5).alias("cosine"))
+    """Distinct vectors that resemble one with a lower id."""
+    return N.repeats_of_lower(N.collapse(unit_vectors(spark, sf), "vec_id", "vec"), "vec_id", "vec", EMB_DIM, NEAR)
 
 
 @query("novelty_rate", "L6 J6", f"""WITH {_EMB}, h AS (SELECT * FROM e WHERE vec_id % 2 = 0), c AS (SELECT * FROM e WHERE vec_id % 2 = 1),
