@@ -48,15 +48,22 @@ def directions(dim: int, k: int) -> np.ndarray:
 N_DIRECTIONS = 16  # the first few cut the grid, all of them filter pairs
 
 
-def project(df: DataFrame, vec: str, dim: int, prefix: str) -> DataFrame:
-    """Coordinates of ``vec`` along the fixed directions as plain columns."""
-    rows = ", ".join("array(" + ", ".join(f"{v:.17g}D" for v in d) + ")" for d in directions(dim, N_DIRECTIONS))
-    df = df.withColumn("_proj", F.expr(f"transform(array({rows}), d_ -> {A.dot(vec, 'd_')})"))
-    return df.select("*", *[F.col("_proj")[i].alias(f"{prefix}{i}") for i in range(N_DIRECTIONS)]).drop("_proj")
+_CELL = ["_c0", "_c1", "_c2"]
+_PROJ = [f"_p{i}" for i in range(N_DIRECTIONS)]
+
 
+def radius(threshold: float) -> float:
+    return math.sqrt(2 - 2 * threshold) + 1e-9
 
-def _cells(prefix: str, k: int, width: float) -> list[Column]:
-    return [F.floor(F.col(f"{prefix}{i}") / width).cast("int") for i in range(k)]
+
+def placed(df: DataFrame, vec: str, dim: int, threshold: float) -> DataFrame:
+    """Add the coordinates along the fixed directions and the grid cell of the first three."""
+    if "_p0" in df.columns:
+        return df
+    rows = ", ".join("array(" + ", ".join(f"{v:.17g}D" for v in d) + ")" for d in directions(dim, N_DIRECTIONS))
+    df = df.withColumn("_proj", F.expr(f"transform(array({rows}), d_ -> {A.dot(vec, 'd_')})"))
+    df = df.select("*", *[F.col("_proj")[i].alias(p) for i, p in enumerate(_PROJ)]).drop("_proj")
+    return df.select("*", *[F.floor(F.col(p) / radius(threshold)).cast("int").alias(c) for p, c in zip(_PROJ, _CELL)])
 
 
 def collapse(df: DataFrame, id_: str, vec: str) -> DataFrame:
@@ -65,56 +72,43 @@ def collapse(df: DataFrame, id_: str, vec: str) -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str, dim: int,
-               threshold: float = dims.DUP_COSINE, k: int = 3, ordered: bool = False) -> DataFrame:
+               threshold: float = dims.DUP_COSINE, ordered: bool = False) -> DataFrame:
     """(lid, rid, cosine) of every pair at or above the threshold, for distinct unit vectors.
 
-    ``ordered`` keeps right ids below left ids only.
-
     The join carries ids and projections only; vectors are fetched for the pairs
-    whose projections all agree within r.
+    whose projections all agree within r. ``ordered`` keeps right ids below left
+    ids only.
     """
-    r = math.sqrt(2 - 2 * threshold) + 1e-9
-    names = [f"_c{i}" for i in range(k)]
-    pa, pb = [f"_a{i}" for i in range(N_DIRECTIONS)], [f"_b{i}" for i in range(N_DIRECTIONS)]
-    a = project(left.select(lid, vec), vec, dim, "_a").drop(vec)
-    a = a.select(lid, *pa, *[c.alias(n) for n, c in zip(names, _cells("_a", k, r))])
-    b = project(right.select(rid, vec), vec, dim, "_b").drop(vec)
-    probes = F.array(*[F.struct(*[F.lit(o).alias(n) for n, o in zip(names, off)]) for off in itertools.product((-1, 0, 1), repeat=k)])
-    b = b.select(rid, *pb, *[c.alias(n) for n, c in zip(names, _cells("_b", k, r))]).withColumn("_p", F.explode(probes))
-    b = b.select(rid, *pb, *[(F.col(n) + F.col(f"_p.{n}")).alias(n) for n in names])
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & (a[n] == b[n])
-    for x, y in zip(pa, pb):
-        cond = cond & (F.abs(a[x] - b[y]) <= r)
-    if ordered:
-        cond = cond & (b[rid] < a[lid])
+    r = radius(threshold)
+    left, right = placed(left, vec, dim, threshold), placed(right, vec, dim, threshold)
+    a = left.select(lid, *[F.col(p).alias(f"_a{p}") for p in _PROJ], *[F.col(c).alias(f"_a{c}") for c in _CELL])
+    probes = F.array(*[F.struct(*[F.lit(o).alias(n) for n, o in zip(_CELL, off)]) for off in itertools.product((-1, 0, 1), repeat=len(_CELL))])
+    b = right.withColumn("_o", F.explode(probes)).select(
+        rid, *[F.col(p).alias(f"_b{p}") for p in _PROJ], *[(F.col(c) + F.col(f"_o.{c}")).alias(f"_b{c}") for c in _CELL])
+    cond = (b[rid] < a[lid]) if ordered else F.lit(True)
+    for c in _CELL:
+        cond = cond & (a[f"_a{c}"] == b[f"_b{c}"])
+    for p in _PROJ:
+        cond = cond & (F.abs(a[f"_a{p}"] - b[f"_b{p}"]) <= r)
     pairs = a.join(b, cond).select(lid, rid)
     pairs = pairs.join(left.select(lid, F.col(vec).alias("_va")), lid).join(right.select(rid, F.col(vec).alias("_vb")), rid)
     pairs = pairs.withColumn("cosine", F.expr(A.dot("_va", "_vb")))
     return pairs.where(F.col("cosine") >= threshold).select(lid, rid, "cosine")
 
 
-def _with_cell(df: DataFrame, vec: str, dim: int, threshold: float) -> DataFrame:
-    r = math.sqrt(2 - 2 * threshold) + 1e-9
-    p = project(df, vec, dim, "_a")
-    return p.select(*df.columns, *[c.alias(n) for n, c in zip(_CELL, _cells("_a", len(_CELL), r))])
-
-
-_CELL = ["_c0", "_c1", "_c2"]
-
-
 def seen_before(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: int,
                 threshold: float = dims.DUP_COSINE) -> DataFrame:
     """Ids of candidates that repeat history (cosine >= threshold); zero signatures never do.
 
-    Distinct vectors only; a settling pass against one member per cell removes
-    copies of a hot group before the full neighbour comparison.
+    Distinct vectors only, placed once and frozen; a settling pass against one
+    member per cell removes copies of a hot group before the full neighbour
+    comparison.
     """
     zero = F.expr(f"{A.sum_sq(vec)} > 1e-20")
-    c, h = collapse(cands.where(zero), id_, vec), collapse(history.where(zero), id_, vec).withColumnRenamed(id_, "_hid")
-    pivot = _with_cell(h, vec, dim, threshold).groupBy(*_CELL).agg(F.min_by(vec, "_hid").alias("_pv"))
-    settled = _with_cell(c, vec, dim, threshold).join(pivot, _CELL).where(F.expr(A.dot(vec, "_pv")) >= threshold).select(id_)
+    place = lambda d: freeze(placed(collapse(d.where(zero), id_, vec), vec, dim, threshold))
+    c, h = place(cands), place(history).withColumnRenamed(id_, "_hid")
+    pivot = h.groupBy(*_CELL).agg(F.min_by(vec, "_hid").alias("_pv"))
+    settled = c.join(pivot, _CELL).where(F.expr(A.dot(vec, "_pv")) >= threshold).select(id_)
     rest = c.join(settled, id_, "left_anti")
     found = near_pairs(rest, h, id_, "_hid", vec, dim, threshold).select(id_).distinct()
     hit = settled.unionByName(found).distinct()
@@ -129,12 +123,11 @@ def repeats_of_lower(reps: DataFrame, id_: str, vec: str, dim: int, threshold: f
     a cluster of near copies costs one comparison each instead of all pairs; only
     the unsettled rest meets its neighbours.
     """
-    cells = _with_cell(reps.select(id_, vec), vec, dim, threshold)
+    cells = freeze(placed(reps.select(id_, vec), vec, dim, threshold))
     pivot = cells.groupBy(*_CELL).agg(F.min(id_).alias("_pid"), F.min_by(vec, id_).alias("_pv"))
     settled = cells.join(pivot, _CELL).where((F.col("_pid") < F.col(id_)) & (F.expr(A.dot(vec, "_pv")) >= threshold)).select(id_)
-    rest = reps.select(id_, vec).join(settled, id_, "left_anti")
-    low = reps.select(F.col(id_).alias("_low"), vec)
-    found = near_pairs(rest, low, id_, "_low", vec, dim, threshold, ordered=True).select(id_).distinct()
+    rest = cells.join(settled, id_, "left_anti")
+    found = near_pairs(rest, cells.withColumnRenamed(id_, "_low"), id_, "_low", vec, dim, threshold, ordered=True).select(id_).distinct()
     return settled.unionByName(found)
 
 
