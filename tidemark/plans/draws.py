@@ -72,7 +72,7 @@ def crc_bag_membership(spark, sf):
     return pool(spark, sf).select("key", crc_bag(F.lit(42), F.col("key").cast("string"), 0.8).alias("keep"))
 
 
-@query("beacon_seeds", "F25")
+@query("beacon_seeds", "F25", """SELECT o_orderkey, CAST(CAST(('0x' || substr(sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), 'epoch-1', o_orderstatus)), 1, 16)) AS UBIGINT) AS VARCHAR) seed FROM orders""")
 def beacon_seeds(spark, sf):
     o = load(spark, sf, "orders")
     return o.select("o_orderkey", beacon_seed(F.col("o_orderkey").cast("string"), F.lit("epoch-1"), F.col("o_orderstatus")).alias("seed"))

@@ -191,7 +191,7 @@ def round_index(spark, sf):
     return P.round_index(draw_boards(spark, sf)).withColumn("top", F.array_join("top", ","))
 
 
-@query("round_documents", "A18")
+@query("round_documents", "A18", f"""WITH {_BOARDS} SELECT round_id, 1::BIGINT schema_version, count(*)::INT n_models, min(CASE WHEN rk = 1 THEN model END) leader FROM br8 GROUP BY 1""")
 def round_documents(spark, sf):
     """Documents are written as JSON lines and read back, as a site would fetch them."""
     path = scratch_path(spark, "rounds")
