@@ -10,6 +10,7 @@ from tidemark.operators.bounded import exact_percentiles
 from tidemark.plans.board import CH_SQL, challenge_table
 from tidemark.plans.views import BINS_SQL, R, load, rnd, series_bins
 from tidemark.registry import query
+from tidemark.session import freeze
 
 _LAGSQL = "list_sum(list_transform(range(1, len(z)-p+1), lambda i: z[i]*z[i+p]))/list_sum(list_transform(z, lambda v: v*v))"
 # truth = each series; generated = the series one bin later, pulled towards its mean
@@ -22,7 +23,7 @@ em AS (SELECT series_key, k, tau, z[i] x0, z[i+tau] x1, z[i+2*tau] x2 FROM (SELE
 
 
 def _generated(spark, sf):
-    b = series_bins(spark, sf).select("series_key", "ts", "value")
+    b = freeze(series_bins(spark, sf).select("series_key", "ts", "value"))
     w = Window.partitionBy("series_key").orderBy("ts")
     g = b.withColumn("value", 0.9 * F.col("value") * F.col("value") / 1000.0).withColumn("_r", F.row_number().over(w)).where("_r > 1").drop("_r")
     return b, g
@@ -51,7 +52,7 @@ p AS (SELECT series_key, (nt+1e-6)/(t+8000*1e-6) pt, (ng+1e-6)/(g+8000*1e-6) pg,
 SELECT series_key, {R('sum(pt*ln(pt/pg)) + any_value((8000-n)*(1e-6/(t+8000*1e-6))*ln((g+8000*1e-6)/(t+8000*1e-6)))', 5)} d_stsp FROM p GROUP BY 1""")
 def state_divergence(spark, sf):
     t, g = _generated(spark, sf)
-    d = X.state_divergence(_embedded(t), _embedded(g), ["series_key"])
+    d = X.state_divergence(freeze(_embedded(t)), freeze(_embedded(g)), ["series_key"])
     return d.withColumn("d_stsp", rnd(F.col("d_stsp"), 5))
 
 

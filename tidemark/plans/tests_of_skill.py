@@ -12,6 +12,7 @@ from tidemark.operators.bounded import exact_percentiles, running_total
 from tidemark.plans.board import (METRICS, SCORE_SQL, metrics_sql, score_table, sel_metrics, sel_metrics_sql)
 from tidemark.plans.views import R, rnd
 from tidemark.registry import query
+from tidemark.session import freeze
 
 
 def paired_sql(frm: str, alternative: str, blk: str = "challenge_id") -> str:
@@ -146,7 +147,7 @@ def multi_dataset_board(spark, sf):
 
 @query("cadence_medians", "G30", f"""WITH {SCORE_SQL} SELECT model, cadence, {R('median(mase)')} median_mase, count(*) n FROM sc GROUP BY 1,2""")
 def cadence_medians(spark, sf):
-    s = score_table(spark, sf).select("model", "cadence", "mase")
+    s = freeze(score_table(spark, sf).select("model", "cadence", "mase"))  # scored once for both aggregates
     n = s.groupBy("model", "cadence").agg(F.count(F.lit(1)).alias("n"))
     return exact_percentiles(s, ["model", "cadence"], "mase", {"median_mase": 0.5}).withColumn(
         "median_mase", rnd(F.col("median_mase"))).join(n, ["model", "cadence"])
