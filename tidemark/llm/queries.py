@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import load
 from tidemark.llm.ngram_join import jaccard_components
+from tidemark.llm.packing import pack
 from tidemark.registry import QueryFn
 
 QUERIES: dict[str, QueryFn] = {}
@@ -21,3 +25,15 @@ def query(fn: QueryFn) -> QueryFn:
 def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     got = jaccard_components(load(spark, sf, "documents"))
     return got.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "class_id", "links")
+
+
+def _ids_crc32(ids: pd.Series) -> pd.Series:
+    import zlib
+
+    return ids.map(lambda b: zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()))
+
+
+@query
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = pack(load(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.pandas_udf(_ids_crc32, "long")("ids")).drop("ids")
