@@ -35,6 +35,18 @@ def unique_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.groupBy("id").agg(F.min("text").alias("text"))
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (frozen, distinct): texts of others are not shuffled.
+
+    Up to ``BROADCAST_IDS`` ids (8 MB) are counted and sent to the scan; more go by a shuffled join.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def fold(doc_id: Column, of: int) -> Column:
     """crc32 of the id written as text, modulo ``of``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % of

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import load
+from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
 from tidemark.registry import QueryFn
@@ -37,3 +38,8 @@ def _ids_crc32(ids: pd.Series) -> pd.Series:
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = pack(load(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.pandas_udf(_ids_crc32, "long")("ids")).drop("ids")
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return edited_fingerprints(load(spark, sf, "documents"))
