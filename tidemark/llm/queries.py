@@ -7,7 +7,8 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import load
+from tidemark.llm import language
+from tidemark.llm.common import fold, load
 from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
@@ -43,3 +44,11 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return edited_fingerprints(load(spark, sf, "documents"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", "lang"))
+    return language.predict(docs, model, ["doc_id", held_out.alias("held_out")])
