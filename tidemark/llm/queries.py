@@ -7,7 +7,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import language
+from tidemark.llm import language, toxicity
 from tidemark.llm.common import fold, load
 from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.ngram_join import jaccard_components
@@ -52,3 +52,11 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 4) == 2
     model = language.fit(docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", "lang"))
     return language.predict(docs, model, ["doc_id", held_out.alias("held_out")])
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = load(spark, sf, "documents"), load(spark, sf, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
