@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import language, toxicity
 from tidemark.llm.common import fold, load
+from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
@@ -60,3 +61,8 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, labels.where(~held_out))
     return toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
