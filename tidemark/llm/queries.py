@@ -7,7 +7,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import language, toxicity
+from tidemark.llm import language, secret_scan, toxicity
 from tidemark.llm.common import fold, load
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.fingerprints import edited_fingerprints
@@ -66,3 +66,9 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    return secret_scan.scan(docs, secret_scan.learn(docs))
