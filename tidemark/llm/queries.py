@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import language, secret_scan, toxicity
+from tidemark.llm.chunk_dedup import deduplicated
 from tidemark.llm.common import fold, load
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.fingerprints import edited_fingerprints
@@ -72,3 +73,9 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
     return secret_scan.scan(docs, secret_scan.learn(docs))
+
+
+@query
+def op2_chunk_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    got = deduplicated(load(spark, sf, "documents"))
+    return got.withColumns({"n_spans": F.size("spans"), "kept_sha256": F.sha2("kept", 256)}).drop("kept")
