@@ -7,8 +7,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import language, secret_scan, toxicity
-from tidemark.llm.chunk_dedup import deduplicated
+from tidemark.llm import chunk_dedup, language, secret_scan, suffix_dedup, toxicity
 from tidemark.llm.common import fold, load
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.fingerprints import edited_fingerprints
@@ -77,5 +76,11 @@ def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op2_chunk_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    got = deduplicated(load(spark, sf, "documents"))
-    return got.withColumns({"n_spans": F.size("spans"), "kept_sha256": F.sha2("kept", 256)}).drop("kept")
+    got = chunk_dedup.deduplicated(load(spark, sf, "documents"))
+    return got.withColumns({"n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)}).drop("kept")
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    got = suffix_dedup.deduplicated(load(spark, sf, "documents"))
+    return got.withColumns({"n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)}).drop("kept", "spans")
