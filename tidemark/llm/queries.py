@@ -7,7 +7,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chunk_dedup, language, secret_scan, suffix_dedup, toxicity
+from tidemark.llm import chunk_dedup, language, lm_score, secret_scan, suffix_dedup, toxicity
 from tidemark.llm.common import fold, load
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.fingerprints import edited_fingerprints
@@ -84,3 +84,9 @@ def op2_chunk_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     got = suffix_dedup.deduplicated(load(spark, sf, "documents"))
     return got.withColumns({"n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)}).drop("kept", "spans")
+
+
+@query
+def op1_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    return lm_score.scores(docs, lm_score.fit(docs.select(F.col("doc_id").alias("id"), "text")))
