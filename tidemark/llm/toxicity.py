@@ -2,7 +2,7 @@
 
 Two dictionaries are trained on labelled texts: an ordinary one on windows of
 ordinary texts, a toxic one on the windows of toxic texts whose words set them
-apart (their document share exceeds the ordinary share by several standard
+apart (their share of texts exceeds the ordinary share by several standard
 errors). The toxic compressor knows both, the ordinary one only the first, so a
 window gains bytes under the toxic compressor exactly where it holds toxic
 material. Windows cover the whole text; the share of windows above a calibrated
@@ -25,7 +25,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 WINDOW = 2
 ORDINARY_BYTES, TOXIC_BYTES, ANCHOR = 4096, 1024, 48
 SAMPLE = 2000
-STANDARD_ERRORS = 5.0
+STANDARD_ERRORS = 7.0
+LEAST_SHARE = 0.06  # of the toxic texts that a telling word is in
 
 
 def windows(text: str, words: int = WINDOW) -> list[bytes]:
@@ -108,6 +109,30 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     return (once * max(3, size // len(once)))[-size:]
 
 
+def _telling_words(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
+    """Words whose share of toxic texts exceeds that of ordinary texts by ``STANDARD_ERRORS`` of equal shares.
+
+    A text counts for a word only if it shows the word between two neighbours
+    that no text before it had there, so a group of near copies counts once.
+    """
+
+    def texts_with(texts: list[list[str]]) -> Counter:
+        count, seen = Counter(), set()
+        for w in texts:
+            new = {c for c in zip([""] + w, w, w[1:] + [""]) if c not in seen}
+            seen |= new
+            count.update({c[1] for c in new})
+        return count
+
+    n, m, a, b = len(toxic), len(ordinary), texts_with(toxic), texts_with(ordinary)
+    out = set()
+    for w, k in a.items():
+        p0 = (k + b[w]) / (n + m)
+        if k >= LEAST_SHARE * n and (k / n - b[w] / m) >= STANDARD_ERRORS * np.sqrt(p0 * (1 - p0) * (1 / n + 1 / m)) and p0 < 1:
+            out.add(w)
+    return out
+
+
 def learn(rows: list[tuple[str, int, float]]) -> Model:
     """A model from (text, label, weight) rows, a bounded labelled sample."""
     rows = sorted(rows)
@@ -117,12 +142,7 @@ def learn(rows: list[tuple[str, int, float]]) -> Model:
     if not toxic or not ordinary:
         return Model(b"", b"", 0, np.zeros(3), prior)
     words = re.compile(r"[^\W\d_]+").findall
-    seen, usual = Counter(w for t in toxic for w in set(words(t))), Counter(w for t in ordinary for w in set(words(t)))
-    marked = set()
-    for w, n in seen.items():
-        p, q = n / len(toxic), usual[w] / len(ordinary)
-        if (p - q) / np.sqrt((n + 1) / len(toxic) ** 2 + (usual[w] + 1) / len(ordinary) ** 2) >= STANDARD_ERRORS:
-            marked.add(w)
+    marked = _telling_words([words(t) for t in toxic], [words(t) for t in ordinary])
     telling = [f" {p} ".encode() for t in toxic for p in t.split() if marked.intersection(words(p))]
     model = Model(b"", b"", 0, np.zeros(3), prior)
     if not telling:
@@ -182,3 +202,17 @@ def score(df: DataFrame, model: Model, keep: list[Column | str]) -> DataFrame:
                                                  names=[*names, "score", "predicted"])
 
     return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add("score", DoubleType()).add("predicted", IntegerType()))
+
+
+def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text is not called toxic."""
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def run(batches):
+        one = shared.value.scorer()
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                yield part.filter(pa.array([one(t or "") < 0.5 for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
