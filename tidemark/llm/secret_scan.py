@@ -29,6 +29,7 @@ CREDENTIAL = "token secret password passwd pwd apikey api_key access_key secret_
 SAMPLE_PATH = "test example sample fixture doc mock demo"
 FEATURES = ("length", "transition", "coverage", "digits", "uppercase", "switches", "distinct", "sample_path", "path_depth",
             "credential_before", "assigned", "quoted", "address", "words_before", "words_after")
+MARK = "[SECRET]"
 RUN = "[A-Za-z0-9_+/-]{16,}={0,2}"
 
 
@@ -243,7 +244,7 @@ def scan(df: DataFrame, model: tuple[Context, Forest], id_col: str = "doc_id", t
 
 
 def redact(df: DataFrame, model: tuple[Context, Forest], text_col: str = "text", path_col: str | None = "source",
-           threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
+           threshold: float = 0.5, mark: str = MARK) -> DataFrame:
     """``df`` with every secret of ``text_col`` replaced by ``mark``; rows, order of columns and other values stay."""
     spark = df.sparkSession.sparkContext
     context, forest = spark.broadcast(model[0]), spark.broadcast(model[1])
