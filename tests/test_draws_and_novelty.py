@@ -108,20 +108,20 @@ def test_augmentations_preserve_shape_and_history_only_cutout(spark):
             assert max(r["context"] + r["truth"]) <= max(r["c0"] + r["t0"]) + 1e-9
 
 
-def test_trajectory_metrics_on_known_cases():
-    t = np.arange(1500)
-    x = np.sin(t / 9) + 0.5 * np.sin(t / 23)
-    assert X.binned_divergence(x, x) == pytest.approx(0, abs=1e-9)
-    assert X.mixture_divergence(x, x) == pytest.approx(0, abs=1e-9)
-    assert X.spectrum_distance(x, x) == pytest.approx(0, abs=1e-6)
-    assert X.valid_steps(x, x) == 1500
-    z = [0.3]
-    for _ in range(999):
-        z.append(4 * z[-1] * (1 - z[-1]))  # chaotic map, against a limit cycle
-    cycle, chaos = X.lyapunov(np.sin(t[:1000] / 9)), X.lyapunov(np.array(z))
-    assert abs(cycle) < 0.05 and chaos > abs(cycle) + 0.05
-    noise = np.random.default_rng(0).normal(size=1500)
-    assert X.spectrum_distance(noise, x) > 0.3 and X.binned_divergence(noise, x) > 0.5
+def test_largest_exponent_of_a_cycle_and_of_chaos(spark):
+    z, rows = 0.3, []
+    for k in range(700):
+        z = 3.9 * z * (1 - z)
+        rows += [("chaos", k, z), ("cycle", k, float(np.sin(k / 9)))]
+    points = X.delay_vectors(spark.createDataFrame(rows, "s string, t int, v double"), "s", "t", "v", 1)
+    got = dict(X.largest_exponent(points, "s", steps=6).collect())
+    assert got["chaos"] > 0.15 and abs(got["cycle"]) < 0.05
+
+
+def test_features_of_known_series(spark):
+    rows = [("flat", k, 1.0) for k in range(40)] + [("steps", k, float(k // 10)) for k in range(40)] + [("short", k, float(k)) for k in range(20)]
+    got = X.feature_table(spark.createDataFrame(rows, "s string, t int, v double"), "s", "t", "v").collect()
+    assert [(r.s, r.flat_spots) for r in got] == [("steps", 0.25)] and abs(got[0]["skew"]) < 1e-9 and got[0]["acf1"] > 0.8
 
 
 def test_kaplan_yorke_known_spectra(spark):

@@ -1,30 +1,20 @@
 """Feature space and long-trajectory comparison.
 
-Bin counts, divergence sums, prediction times and spectra dimensions are
-DataFrame aggregations. Mixture fits, spectra and neighbour divergence are
-sequential inside one trajectory, whose length the rollout protocol bounds;
-they run as numpy over Arrow batches with one (model, system, seed) per row.
+Bin counts, divergence sums, prediction times, exponents, features and spectra
+dimensions are joins and aggregations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark import dims
-from tidemark.functions import arrays as A
 
 LAPLACE = 1e-6
 DIVERGENCE_STEPS = 20
 THEILER = 10
 
 
-# --- DataFrame forms ---------------------------------------------------------------------
-
-
 def state_divergence(truth: DataFrame, generated: DataFrame, keys: list[str], m: int = 3, bins: int = 20) -> DataFrame:
     """KL(true || generated) of binned embeddings on the truth's grid (5 % margin, Laplace-smoothed).
 
@@ -108,207 +98,58 @@ def principal_components(wide: DataFrame, id_cols: list[str], features: list[str
     return p.select(*id_cols, *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
-# --- numpy kernels for one bounded trajectory -------------------------------------------------
-
-
-def _standard(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, float)
-    sd = x.std()
-    return (x - x.mean()) / (sd if sd > dims.EPS else 1.0)
-
-
-def delay_of(x: np.ndarray, max_lag: int = 50) -> int:
-    z = _standard(x)
-    power = float(z @ z) or 1.0
-    for lag in range(1, min(max_lag, z.size - 1)):
-        if float(z[:-lag] @ z[lag:]) / power < np.exp(-1.0):
-            return lag
-    return 1
-
-
-def embed(x: np.ndarray, m: int, tau: int) -> np.ndarray:
-    z = _standard(x)
-    rows = z.size - (m - 1) * tau
-    return z[:, None] if rows <= 1 else np.stack([z[i * tau:i * tau + rows] for i in range(m)], axis=1)
-
-
-def lyapunov(x: np.ndarray, m: int = 3, tau: int | None = None, steps: int = DIVERGENCE_STEPS, theiler: int = THEILER) -> float:
-    """Mean log divergence of nearest neighbours, fitted against the step."""
-    e = embed(x, m, tau or delay_of(x))
-    if e.shape[0] < steps + theiler + 2:
-        return 0.0
-    usable = e.shape[0] - steps
-    base, idx = e[:usable], np.arange(usable)
-    near = np.empty(usable, int)
-    ok = np.zeros(usable, bool)
-    for lo in range(0, usable, 256):  # row blocks keep memory linear in the length
-        i = idx[lo:lo + 256]
-        d = np.sqrt(((base[i, None, :] - base[None, :, :]) ** 2).sum(axis=2))
-        d[np.abs(i[:, None] - idx[None, :]) <= theiler] = np.inf
-        near[i] = d.argmin(axis=1)
-        ok[i] = np.isfinite(d.min(axis=1))
-    i, j = idx[ok], near[ok]
-    h, curve = [], []
-    for s in range(steps):
-        dist = np.sqrt(((e[i + s] - e[j + s]) ** 2).sum(axis=1))
-        dist = dist[dist > dims.EPS]
-        if dist.size:
-            h.append(s)
-            curve.append(np.log(dist).mean())
-    return float(np.polyfit(h, curve, 1)[0]) if len(h) > 1 else 0.0
-
-
-def spectrum_of(x: np.ndarray, width: int = 20) -> np.ndarray:
-    p = np.abs(np.fft.rfft(_standard(x))) ** 2
-    if width > 1:
-        r = np.arange(-3 * width, 3 * width + 1)
-        k = np.exp(-0.5 * (r / width) ** 2)
-        p = np.convolve(p, k / k.sum(), mode="same")[:p.size] if p.size >= k.size else np.convolve(p, k / k.sum(), mode="full")[3 * width:3 * width + p.size]
-    return p / p.sum() if p.sum() > dims.EPS else p
-
-
-def spectrum_distance(gen: np.ndarray, true: np.ndarray, width: int = 20) -> float:
-    """Hellinger distance of smoothed power spectra."""
-    a, b = spectrum_of(gen, width), spectrum_of(true, width)
-    n = min(a.size, b.size)
-    return float(np.sqrt(max(0.0, 1.0 - np.sqrt(a[:n] * b[:n]).sum())))
-
-
-def _log_joint(x, mu, var, w):
-    return np.log(w + dims.EPS) - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + ((x[:, None, :] - mu) ** 2 / var).sum(axis=2))
-
-
-def fit_mixture(x: np.ndarray, k: int = 8, rounds: int = 100):
-    """Diagonal Gaussian mixture by EM; the start points are spread evenly over the trajectory."""
-    k = max(1, min(k, len(x)))
-    mu = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
-    var = np.tile(x.var(axis=0) + 1e-6, (k, 1))
-    w, old = np.full(k, 1 / k), -np.inf
-    for _ in range(rounds):
-        lj = _log_joint(x, mu, var, w)
-        top = lj.max(axis=1, keepdims=True)
-        ll = np.log(np.exp(lj - top).sum(axis=1, keepdims=True)) + top
-        r = np.exp(lj - ll)
-        n = r.sum(axis=0) + dims.EPS
-        w, mu = n / len(x), (r.T @ x) / n[:, None]
-        var = np.stack([(r[:, i] @ (x - mu[i]) ** 2) / n[i] for i in range(k)]) + 1e-6
-        total = float(ll.sum())
-        if abs(total - old) <= 1e-4 * (abs(total) + dims.EPS):
-            break
-        old = total
-    return mu, var, w
-
-
-def _density(x, fit):
-    lj = _log_joint(x, *fit)
-    top = lj.max(axis=1)
-    return np.log(np.exp(lj - top[:, None]).sum(axis=1)) + top
-
-
-def mixture_divergence(gen: np.ndarray, true: np.ndarray, m: int = 4, tau: int | None = None) -> float:
-    """KL by mixtures over the true points, in the truth's delay coordinates."""
-    tau = tau or delay_of(true)
-    g, t = embed(gen, m, tau), embed(true, m, tau)
-    d = min(g.shape[1], t.shape[1])
-    g, t = g[:, :d], t[:, :d]
-    return max(0.0, float((_density(t, fit_mixture(t)) - _density(t, fit_mixture(g))).mean()))
-
-
-def binned_divergence(gen: np.ndarray, true: np.ndarray, m: int = 3, tau: int | None = None, bins: int = 20) -> float:
-    tau = tau or delay_of(true)
-    g, t = embed(gen, m, tau), embed(true, m, tau)
-    span = np.where(np.ptp(t, axis=0) > dims.EPS, np.ptp(t, axis=0), 1.0)
-    edges = [np.linspace(a - 0.05 * s, b + 0.05 * s, bins + 1) for a, b, s in zip(t.min(0), t.max(0), span)]
-    p, q = (np.histogramdd(v, bins=edges)[0].ravel() + LAPLACE for v in (t, g))
-    p, q = p / p.sum(), q / q.sum()
-    return float((p * np.log(p / q)).sum())
-
-
-def valid_steps(pred: np.ndarray, true: np.ndarray, threshold: float = 0.4) -> float:
-    n = min(len(pred), len(true))
-    err = np.abs(pred[:n] - true[:n]) / (true[:n].std() or 1.0)
-    hit = np.flatnonzero(err > threshold)
-    return float(hit[0] if hit.size else n)
-
-
-def evaluate_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """All long-horizon metrics of (generated, truth) arrays, one trajectory pair per row."""
-    metrics: dict[str, Callable] = {
-        "d_stsp": binned_divergence, "d_stsp_gmm": mixture_divergence, "d_h": spectrum_distance, "vpt": valid_steps,
-        "lyap_gap": lambda g, t: abs(lyapunov(t) - lyapunov(g))}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[keys].copy()
-            arrays = [(np.asarray(g, float), np.asarray(t, float)) for g, t in zip(b["generated"], b["truth"])]
-            for name, fn in metrics.items():
-                out[name] = [fn(g, t) for g, t in arrays]
-            yield out
-
-    schema = ", ".join(f"{k} string" for k in keys) + ", " + ", ".join(f"{m} double" for m in metrics)
-    return pairs.select(*[F.col(k).cast("string").alias(k) for k in keys], "generated", "truth").mapInPandas(run, schema)
-
-
-def exponents(windows: DataFrame, key: str, values: str, tau: int | None = None, per_time: float = 1.0) -> DataFrame:
-    """Largest exponent of every window, per step or per unit of time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "exponent": [lyapunov(np.asarray(x, float), tau=tau) / per_time for x in b[values]]})
+def delay_vectors(bins: DataFrame, key: str, ts: str, value: str, tau: int) -> DataFrame:
+    """(key, i, x0, x1, x2): standardised values at a point and ``tau`` and 2 ``tau`` later, points numbered from 0.
+
+    ``bins`` holds clock bins, so a series is as long as its calendar span and never as its rows.
+    """
+    w, whole = Window.partitionBy(key).orderBy(ts), Window.partitionBy(key)
+    z = bins.withColumn("_z", (F.col(value) - F.avg(value).over(whole)) / F.stddev_pop(value).over(whole))
+    z = z.select(key, (F.row_number().over(w) - 1).alias("i"), F.col("_z").alias("x0"), F.lead("_z", tau).over(w).alias("x1"),
+                 F.lead("_z", 2 * tau).over(w).alias("x2"))
+    return z.where("x2 IS NOT NULL")
+
+
+def largest_exponent(points: DataFrame, key: str, steps: int = DIVERGENCE_STEPS, apart: int = THEILER, per_time: float = 1.0,
+                     block: int = 256) -> DataFrame:
+    """(key, exponent): slope of the mean log distance between each point and its nearest neighbour as both move on.
 
-    return windows.select(key, values).mapInPandas(run, f"{key} string, exponent double")
-
-
-# --- six-feature space ---------------------------------------------------------------------------
-FEATURES = ("acf1", "arch_lm", "spec_entropy", "kpss", "flat_spots", "skew")
+    Neighbours are at least ``apart`` + 1 points away in time. Every pair of points of one series
+    is compared, in blocks of ``block`` points that spread over tasks: the work is the square of
+    the number of bins of a series, which its calendar span bounds. Ties take the earlier neighbour.
+    """
+    last = points.groupBy(key).agg((F.max("i") - steps).alias("_last"))
+    live = points.join(last, key).where("i <= _last").drop("_last").withColumn("_b", F.floor(F.col("i") / block))
+    other = live.select(key, F.col("i").alias("j"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(3)])
+    other = other.join(live.select(key, "_b").distinct(), key)
+    d2 = sum((F.col(f"x{k}") - F.col(f"y{k}")) * (F.col(f"x{k}") - F.col(f"y{k}")) for k in range(3))
+    near = (live.join(other, [key, "_b"]).where(F.abs(F.col("i") - F.col("j")) > apart)
+            .groupBy(key, "i").agg(F.min_by("j", F.struct(d2.alias("d"), "j")).alias("j")))
+    step = near.select(key, "i", "j", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("h"))
+    p = points.select(key, (F.col("i")).alias("_p"), *[F.col(f"x{k}") for k in range(3)])
+    q = points.select(key, (F.col("i")).alias("_q"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(3)])
+    moved = (step.withColumns({"_p": F.col("i") + F.col("h"), "_q": F.col("j") + F.col("h")}).join(p, [key, "_p"]).join(q, [key, "_q"])
+             .select(key, "h", F.sqrt(d2).alias("d")).where(F.col("d") > dims.EPS))
+    curve = moved.groupBy(key, "h").agg(F.avg(F.log("d")).alias("y"))
+    return curve.groupBy(key).agg((F.regr_slope("y", "h") / per_time).alias("exponent"))
+
+
+FEATURES = ("acf1", "flat_spots", "skew")
 MIN_POINTS = 30
-ARCH_LAGS = 12
-
-
-def _kpss_level(z: np.ndarray) -> float:
-    """Level-stationarity statistic with the data-dependent lag choice."""
-    n = z.size
-    e = z - z.mean()
-    c = int(n ** (2 / 9))
-    prod = [float(e[i:] @ e[:n - i]) / (n / 2) for i in range(1, c + 1)]
-    s0, s1 = float(e @ e) / n + sum(prod), sum(i * p for i, p in enumerate(prod, 1))
-    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
-    var = float(e @ e) + 2 * sum(float(e[i:] @ e[:n - i]) * (1 - i / (lags + 1)) for i in range(1, lags + 1))
-    return float((np.cumsum(e) ** 2).sum() / n**2 / (var / n))
-
-
-def _arch_r2(z: np.ndarray) -> float:
-    s = z**2
-    m = min(ARCH_LAGS, s.size // 4)
-    if m < 1:
-        return 0.0
-    y = s[m:]
-    x = np.column_stack([np.ones(y.size), *[s[m - i - 1:s.size - i - 1] for i in range(m)]])
-    rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-    tss = float(((y - y.mean()) ** 2).sum())
-    return float(1 - rest @ rest / tss) if tss > 0 else 0.0
-
-
-def feature_vector(x: np.ndarray) -> list[float] | None:
-    x = np.asarray(x, float)
-    x = x[np.isfinite(x)]
-    if x.size < MIN_POINTS or x.std() == 0:
-        return None
-    z = (x - x.mean()) / x.std()
-    p = np.abs(np.fft.rfft(z * np.hanning(z.size)))[1:] ** 2
-    q = p[p > 0] / p.sum() if p.sum() > 0 else np.array([])
-    entropy = float(-(q * np.log(q)).sum() / np.log(p.size)) if q.size else 1.0
-    runs = np.diff(np.concatenate(([-1], np.flatnonzero(np.diff(x) != 0), [x.size - 1])))
-    out = [float(z[:-1] @ z[1:] / (z @ z)), _arch_r2(z), entropy, _kpss_level(z), float(runs.max() / x.size), float((z**3).mean())]
-    return out if np.isfinite(out).all() else None
-
-
-def feature_table(windows: DataFrame, key: str, values: str) -> DataFrame:
-    """Six statistics per window; windows under 30 points or without variation give no row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, *v) for k, x in zip(b[key], b[values]) if (v := feature_vector(x)) is not None]
-            yield pd.DataFrame(rows, columns=[key, *FEATURES])
-
-    return windows.select(key, values).mapInPandas(run, f"{key} string, " + ", ".join(f"{f} double" for f in FEATURES))
+
+
+def feature_table(points: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Lag-1 autocorrelation, longest constant stretch and skewness of each series of clock bins or bounded windows.
+
+    Series under ``MIN_POINTS`` points or without variation give no row.
+    """
+    w, whole = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
+    z = points.where(F.col(value).isNotNull()).withColumn("_z", F.col(value) - F.avg(value).over(whole))
+    z = z.withColumns({"_next": F.lead("_z").over(w), "_new": (F.lag(value).over(w) != F.col(value)).cast("int")})
+    z = z.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = z.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_z") * F.col("_z")).alias("s2"), F.avg(F.col("_z") * F.col("_z") * F.col("_z")).alias("m3"),
+                              F.sum(F.col("_z") * F.col("_next")).alias("s1"))
+    flat = z.groupBy(key, "_run").agg(F.count(F.lit(1)).alias("_len")).groupBy(key).agg(F.max("_len").alias("flat"))
+    j = sums.join(flat, key).where((F.col("n") >= MIN_POINTS) & (F.col("s2") > 0))
+    return j.select(key, (F.col("s1") / F.col("s2")).alias("acf1"), (F.col("flat") / F.col("n")).alias("flat_spots"),
+                    (F.col("m3") / F.pow(F.col("s2") / F.col("n"), F.lit(1.5))).alias("skew"))

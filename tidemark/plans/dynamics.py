@@ -91,31 +91,34 @@ def cloud_coverage(spark, sf):
     return p.select("label", rnd(F.col("median_nn")).alias("median_nn"), rnd(F.col("p95_nn")).alias("p95_nn"))
 
 
-def served_windows(spark, sf, n: int = 200):
-    w = Window.partitionBy("series_key").orderBy(F.col("ts").desc())
-    t = series_bins(spark, sf).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
-    return t.groupBy("series_key").agg(F.expr("transform(array_sort(collect_list(struct(ts, value))), p -> p.value)").alias("values"))
+_Z2 = """z AS (SELECT series_key, ts, ("value" - avg("value") OVER w)/stddev_pop("value") OVER w x FROM bins WINDOW w AS (PARTITION BY series_key)),
+e AS MATERIALIZED (SELECT * FROM (SELECT series_key, row_number() OVER o - 1 i, x a, lead(x, 2) OVER o b, lead(x, 4) OVER o c FROM z WINDOW o AS (PARTITION BY series_key ORDER BY ts)) WHERE c IS NOT NULL)"""
 
 
-@query("largest_exponents", "X8 J13", f"""WITH {BINS_SQL}, v AS (SELECT series_key, list("value" ORDER BY ts) v FROM (SELECT * FROM bins QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY ts DESC) <= 200) GROUP BY 1),
-z AS (SELECT series_key, list_transform(v, lambda x: (x-list_avg(v))/list_stddev_pop(v)) z FROM v), e AS (SELECT series_key, i, len(z)-4 npts, z[i+1] a, z[i+3] b, z[i+5] c FROM (SELECT *, unnest(range(0, len(z)-4)) i FROM z)),
-u AS (SELECT p.series_key, p.i, q.i j FROM e p JOIN e q ON p.series_key = q.series_key AND p.i < p.npts-20 AND q.i < q.npts-20 AND abs(p.i-q.i) > 10 QUALIFY row_number() OVER (PARTITION BY p.series_key, p.i ORDER BY (p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b)+(p.c-q.c)*(p.c-q.c), q.i) = 1),
-h AS (SELECT series_key, i, j, unnest(range(0, 20)) h FROM u), dv AS (SELECT h.series_key, h, sqrt((p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b)+(p.c-q.c)*(p.c-q.c)) d FROM h JOIN e p ON p.series_key=h.series_key AND p.i = h.i+h.h JOIN e q ON q.series_key=h.series_key AND q.i = h.j+h.h),
-c AS (SELECT series_key, h, avg(ln(d)) y FROM dv WHERE d > 1e-8 GROUP BY 1,2) SELECT series_key, {R('regr_slope(y, h)')} exponent FROM c GROUP BY 1""")
+@query("largest_exponents", "X8 J13", f"""WITH {BINS_SQL}, {_Z2}, l AS (SELECT series_key, max(i) - 20 m FROM e GROUP BY 1), v AS MATERIALIZED (SELECT e.* FROM e JOIN l USING (series_key) WHERE i <= m),
+u0 AS (SELECT p.series_key, p.i, q.i j, (p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b)+(p.c-q.c)*(p.c-q.c) d FROM v p JOIN v q ON p.series_key = q.series_key AND abs(p.i-q.i) > 10),
+u AS (SELECT series_key, i, min({{'d': d, 'j': j}}).j j FROM u0 GROUP BY 1, 2), h AS (SELECT series_key, i, j, unnest(range(0, 20)) h FROM u),
+dv AS (SELECT h.series_key, h, sqrt((p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b)+(p.c-q.c)*(p.c-q.c)) d FROM h JOIN e p ON p.series_key=h.series_key AND p.i = h.i+h.h JOIN e q ON q.series_key=h.series_key AND q.i = h.j+h.h),
+c AS (SELECT series_key, h, avg(ln(d)) y FROM dv WHERE d > 1e-8 GROUP BY 1,2) SELECT series_key, {R('regr_slope(y, h)', 5)} exponent FROM c GROUP BY 1""")
 def largest_exponents(spark, sf):
-    return X.exponents(served_windows(spark, sf), "series_key", "values", tau=2).withColumn("exponent", rnd(F.col("exponent")))
+    """Every series over its whole span."""
+    points = freeze(X.delay_vectors(freeze(series_bins(spark, sf).select("series_key", "ts", "value")), "series_key", "ts", "value", 2))
+    return X.largest_exponent(points, "series_key").withColumn("exponent", rnd(F.col("exponent"), 5))
 
 
-@query("feature_table", "X1")
+@query("feature_table", "X1", f"""WITH {BINS_SQL}, z AS (SELECT series_key, ts, "value", "value" - avg("value") OVER (PARTITION BY series_key) z FROM bins),
+y AS (SELECT *, lead(z) OVER w nx, sum(CASE WHEN p <> "value" THEN 1 ELSE 0 END) OVER w run FROM (SELECT *, lag("value") OVER (PARTITION BY series_key ORDER BY ts) p FROM z) WINDOW w AS (PARTITION BY series_key ORDER BY ts)),
+f AS (SELECT series_key, max(k) k FROM (SELECT series_key, run, count(*) k FROM y GROUP BY 1, 2) GROUP BY 1), s AS (SELECT series_key, count(*) n, sum(z*z) s2, avg(z*z*z) m3, sum(z*nx) s1 FROM y GROUP BY 1)
+SELECT series_key, {R('s1/s2')} acf1, {R('k/n')} flat_spots, {R('m3/pow(s2/n, 1.5)')} skew FROM s JOIN f USING (series_key) WHERE n >= 30 AND s2 > 0""")
 def feature_table(spark, sf):
-    f = X.feature_table(served_windows(spark, sf), "series_key", "values")
+    f = X.feature_table(freeze(series_bins(spark, sf).select("series_key", "ts", "value")), "series_key", "ts", "value")
     return f.select("series_key", *[rnd(F.col(c)).alias(c) for c in X.FEATURES])
 
 
 @query("feature_components", "X2")
 def feature_components(spark, sf):
-    f = X.feature_table(challenge_table(spark, sf), "challenge_id", "context")
-    long = X.robust_scale(f.unpivot(["challenge_id"], list(X.FEATURES), "feature", "v"), "feature", "v")
+    points = challenge_table(spark, sf).select("challenge_id", F.posexplode("context").alias("i", "v"))
+    long = X.robust_scale(freeze(X.feature_table(points, "challenge_id", "i", "v")).unpivot(["challenge_id"], list(X.FEATURES), "feature", "v"), "feature", "v")
     wide = long.groupBy("challenge_id").pivot("feature", list(X.FEATURES)).agg(F.first("v"))
     p = X.principal_components(wide, ["challenge_id"], list(X.FEATURES), 2)
     return p.select("challenge_id", rnd(F.abs("pc1")).alias("pc1"), rnd(F.abs("pc2")).alias("pc2"))
@@ -129,17 +132,21 @@ def robust_scaling(spark, sf):
     return z.groupBy(F.col("dim").cast("bigint").alias("dim")).agg(rnd(F.avg("v")).alias("mean_z"), rnd(F.max("v")).alias("max_z"))
 
 
-@query("trajectory_report", "X5 X6 X8 X9 G28 M13")
-def trajectory_report(spark, sf):
-    """Roll two models forward from the first half of each window and compare with the second half."""
-    w = served_windows(spark, sf, 400).where("size(values) >= 200").withColumn("half", F.expr("size(values) div 2"))
-    ctx = w.select("series_key", F.expr("slice(values, 1, half)").alias("context"))
-    truth = w.select("series_key", F.expr("slice(values, half + 1, 100)").alias("truth"))
-    runs = None
-    for name, fn in (("seasonal", M.np_seasonal), ("context_parrot", M.np_parrot)):
-        g = M.free_run(ctx, "series_key", 100, 24, fn).withColumn("model", F.lit(name))
-        runs = g if runs is None else runs.unionByName(g)
-    m = X.evaluate_pairs(runs.join(truth, "series_key"), ["model", "series_key"])
-    from tidemark.operators.publish import report_table
-    rep = report_table(m, ["model"], ["d_stsp", "d_stsp_gmm", "d_h", "vpt", "lyap_gap"])
-    return rep.select("model", "n_runs", *[rnd(F.col(c), 4).alias(c) for c in rep.columns if c.endswith(("_mean", "_std"))])
+_ROLL = f"""WITH {BINS_SQL}, s0 AS (SELECT series_key, list("value" ORDER BY ts) v FROM bins GROUP BY 1), s1 AS (SELECT series_key, v[1:len(v)//2] c, v[len(v)//2+1:] t, len(v)//2 n FROM s0 WHERE len(v) >= 200),
+x AS (SELECT *, list_transform(c, lambda q: q - list_avg(c)) x FROM s1), ca AS (SELECT series_key, p, list_sum(list_transform(range(1, n-p+1), lambda i: x[i]*x[i+p]))/list_sum(list_transform(x, lambda q: q*q)) r FROM (SELECT *, unnest([12, 24, 36]) p FROM x)),
+b AS (SELECT series_key, p FROM ca WHERE r > 0.2 QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY r DESC, p) = 1), g AS (SELECT x.series_key, t, c, n, coalesce(p, 0) p, list_stddev_pop(t) sd FROM x LEFT JOIN b USING (series_key)),
+h AS (SELECT *, unnest(range(0, 24)) k FROM g)
+SELECT series_key, {R("coalesce(min(CASE WHEN abs((CASE WHEN p < 2 THEN c[n] ELSE c[n-p+k%p+1] END) - t[k+1])/(CASE WHEN sd > 0 THEN sd ELSE 1 END) > 0.4 THEN k END), 24)")} vpt FROM h GROUP BY 1"""
+
+
+@query("rollout_report", "M13 X9", _ROLL)
+def rollout_report(spark, sf):
+    """Roll the seasonal model on from the first half of each whole series; steps until it leaves the second half by 0.4 of that half's spread."""
+    t = series_bins(spark, sf).groupBy("series_key").agg(F.expr("transform(array_sort(collect_list(struct(ts, value))), p -> p.value)").alias("v"))
+    t = freeze(t.where("size(v) >= 200").selectExpr("series_key", "slice(v, 1, size(v) div 2) AS context", "slice(v, size(v) div 2 + 1, size(v)) AS truth"))
+    run = M.free_run(t.select("series_key", "context"), "series_key", 24, 24)
+    spread = t.select("series_key", F.expr(A.std_pop("truth")).alias("sd"), "truth")
+    pairs = run.join(spread, "series_key").select("series_key", F.expr("if(sd > 0, sd, 1D)").alias("sd"), F.posexplode(F.arrays_zip("generated", "truth")).alias("step", "p"))
+    off = F.abs(F.col("p.generated") - F.col("p.truth")) / F.col("sd") > 0.4
+    pairs = pairs.where("p.generated IS NOT NULL")
+    return pairs.groupBy("series_key").agg(rnd(F.coalesce(F.min(F.when(off, F.col("step"))), F.lit(24))).alias("vpt"))

@@ -26,7 +26,7 @@ pf AS (SELECT pq.challenge_id, k.h step, CASE WHEN pb.j IS NULL THEN context[n]
 
 @query("parrot_forecast", "J8 M9 V1", f"WITH {STATS_SQL}, {PARROT_SQL} SELECT challenge_id, step::BIGINT step, {R('point')} point FROM pf")
 def parrot_forecast(spark, sf):
-    f = M.batch_forecasts(challenge_table(spark, sf), {"context_parrot": M.np_parrot})
+    f = M.parrot_forecasts(challenge_table(spark, sf))
     return f.select("challenge_id", F.posexplode("mean").alias("i", "p")).select("challenge_id", (F.col("i") + 1).cast("bigint").alias("step"), rnd(F.col("p")).alias("point"))
 
 
@@ -37,7 +37,7 @@ _PERR = f"""pe AS (SELECT pf.challenge_id, avg(abs(st.truth[step] - point)) mae,
 def _with_parrot(spark, sf):
     ch = challenge_table(spark, sf)
     cols = M.column_forecasts(ch, ("seasonal_naive", "ewma", "drift", "damped"))
-    fc = cols.unionByName(M.batch_forecasts(ch, {"context_parrot": M.np_parrot}))
+    fc = cols.unionByName(M.parrot_forecasts(ch))
     return S.contributions(M.gaussian_band(fc))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tidemark import dims
 from tidemark.operators import forecast as M, monitor as O, publish as P, scoring as S, significance as E
 from tidemark.operators.bounded import running_total
-from tidemark.plans.board import REL_SQL, SCORE_SQL, challenge_table, metrics_sql, score_table
+from tidemark.plans.board import _M as _FREQ_M, CH_SQL, REL_SQL, SCORE_SQL, challenge_table, metrics_sql, score_table
 from tidemark.plans.curation import _CAT, CAT_SQL, catalog, live_catalog
+from tidemark.plans.gate_checks import PARROT_SQL
 from tidemark.plans.views import R, load, rnd
 from tidemark.registry import query
 from tidemark.session import scratch_path
@@ -244,13 +245,65 @@ def forecast_intake(spark, sf):
     return ok.unionByName(missing.select("model", F.lit(0).cast("bigint").alias("n_valid"), F.lit(True).alias("missing")))
 
 
-@query("panel_batch_forecasts", "M6 M7 M8 M9 M11 V1 V2")
+# the two decomposition models, the seven candidates and the backtest over shorter contexts (v = 1, 2), one row per step
+_SUMS = "list_sum(list_transform({x}, lambda q: q*q))"
+PANEL_SQL = f"""
+pv AS (SELECT challenge_id, 0 v, context, horizon, freq, NULL::DOUBLE[] held FROM ch
+ UNION ALL SELECT challenge_id, 1, context[1:len(context)-horizon], horizon, freq, context[len(context)-horizon+1:] FROM ch WHERE len(context)-horizon >= horizon+8
+ UNION ALL SELECT challenge_id, 2, context[1:e-horizon], horizon, freq, context[e-horizon+1:e] FROM (SELECT *, len(context)-horizon//2 e FROM ch) WHERE len(context)-horizon > 2*horizon+8 AND e-horizon >= horizon+8),
+d0 AS (SELECT *, len(context) n, list_avg(context) mu, (len(context)-1)/2.0::DOUBLE mid, {_FREQ_M} m0 FROM pv),
+d1 AS (SELECT *, list_transform(context, lambda q: q-mu) x, list_sum(list_transform(range(1, n+1), lambda i: (i-1-mid)*(context[i]-mu)))/(n*(n*n-1.0::DOUBLE)/12) b FROM d0),
+d2 AS (SELECT *, list_transform(range(1, n+1), lambda i: x[i]-b*(i-1-mid)) r FROM d1),
+ca AS (SELECT challenge_id, v, kind, p, ord, list_sum(list_transform(range(1, n-p+1), lambda i: y[i]*y[i+p]))/s rr FROM (
+ SELECT challenge_id, v, n, m0, kind, y, s, unnest([12, 24, 36, m0]) p, unnest([1, 2, 3, 4]) ord FROM (
+  SELECT challenge_id, v, n, m0, 'r' kind, r y, {_SUMS.format(x="r")} s FROM d2 UNION ALL SELECT challenge_id, v, n, m0, 'x', x, {_SUMS.format(x="x")} FROM d2))
+ WHERE p >= 2 AND p < n AND s > 1e-8 AND (ord < 4 OR m0 NOT IN (12, 24, 36))),
+bp AS (SELECT challenge_id, v, kind, p FROM ca WHERE rr > 0.2 QUALIFY row_number() OVER (PARTITION BY challenge_id, v, kind ORDER BY rr DESC, ord) = 1),
+d4 AS (SELECT d2.*, coalesce(a.p, 0) rp, coalesce(c.p, 0) xp FROM d2 LEFT JOIN bp a ON a.challenge_id = d2.challenge_id AND a.v = d2.v AND a.kind = 'r'
+ LEFT JOIN bp c ON c.challenge_id = d2.challenge_id AND c.v = d2.v AND c.kind = 'x'),
+d5 AS (SELECT *, CASE WHEN rp < 2 THEN [0.0::DOUBLE] ELSE list_transform(range(0, rp), lambda k: list_avg(list_transform(range(k+1, n+1, rp), lambda i: r[i]))) END p0 FROM d4),
+d6 AS (SELECT *, list_transform(p0, lambda q: q-list_avg(p0)) pr, len(p0) pl FROM d5),
+d7 AS (SELECT *, list_transform(range(1, n+1), lambda i: r[i]-pr[(i-1)%pl+1]) l0, list_transform(range(1, n+1), lambda i: context[i]-pr[(i-1)%pl+1]) lv,
+ least(greatest(CASE WHEN rp >= 2 THEN 2*rp ELSE 24 END, 12), n-1) k FROM d6),
+d8 AS (SELECT *, list_transform(l0, lambda q: q-list_avg(l0)) lo FROM d7),
+d9 AS (SELECT *, {_SUMS.format(x="lo")}-lo[n]*lo[n] hd, list_sum(list_transform(range(1, n), lambda i: lo[i]*lo[i+1])) lg,
+ list_avg(list_transform(range(1, n), lambda i: abs(context[i+1]-context[i]))) st1, list_reduce(context, lambda a, q: 0.7::DOUBLE*a+0.3::DOUBLE*q) ew FROM d8),
+da AS MATERIALIZED (SELECT *, CASE WHEN hd <= 1e-8 THEN 0 ELSE greatest(-0.99, least(0.99, lg/hd)) END ph,
+ CASE WHEN st1 > 1e-8 THEN st1 ELSE list_stddev_pop(context)+1e-8 END sg FROM d9),
+dh AS (SELECT *, unnest(range(1, horizon+1)) h, 0.9::DOUBLE dq FROM da),
+pm AS MATERIALIZED (SELECT challenge_id, v, h, held, sg, 'hw_ar' model, 1 ord, lv[n]+(lv[n]-lv[n-k])/k*(dq*(1-pow(dq, h))/(1-dq))+pr[(n-1+h)%pl+1] point FROM dh
+ UNION ALL SELECT challenge_id, v, h, held, sg, 'decomp', 2, mu+b*(n-1+h-mid)+pr[(n-1+h)%pl+1]+lo[n]*pow(ph, h) FROM dh
+ UNION ALL SELECT challenge_id, v, h, held, sg, 'naive', 3, context[n] FROM dh
+ UNION ALL SELECT challenge_id, v, h, held, sg, 'drift', 4, context[n]+(context[n]-context[1])/greatest(n-1, 1)*h FROM dh
+ UNION ALL SELECT challenge_id, v, h, held, sg, 'damped', 5, context[n]+(context[n]-context[n-least(12, n-1)])/least(12, n-1)*(dq*(1-pow(dq, h))/(1-dq)) FROM dh
+ UNION ALL SELECT challenge_id, v, h, held, sg, 'ewma', 6, ew FROM dh
+ UNION ALL SELECT challenge_id, v, h, held, sg, 'seasonal', 7, CASE WHEN xp < 2 THEN context[n] ELSE context[n-xp+((h-1)%xp)+1] END FROM dh),
+lo1 AS (SELECT challenge_id, v, model, ord, avg(abs(point-held[h]))/any_value(sg) l FROM pm WHERE v > 0 GROUP BY ALL),
+cho AS (SELECT challenge_id, model FROM (SELECT challenge_id, model, ord, sum(l) l FROM lo1 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY challenge_id ORDER BY l, ord) = 1),
+px AS (SELECT challenge_id, h, model, point FROM pm WHERE v = 0 AND model IN ('hw_ar', 'decomp')
+ UNION ALL SELECT pm.challenge_id, h, 'strong', point FROM pm LEFT JOIN cho ON cho.challenge_id = pm.challenge_id WHERE v = 0 AND pm.model = coalesce(cho.model, 'hw_ar')
+ UNION ALL SELECT challenge_id, step, 'context_parrot', point FROM pf)"""
+PANEL_SCORE_SQL = SCORE_SQL.replace("fc AS MATERIALIZED", "fc0 AS MATERIALIZED").replace(",\nfq AS", f""", {PARROT_SQL}, {PANEL_SQL},
+fc AS (SELECT * FROM fc0 UNION ALL SELECT model, st.challenge_id, draw, source_id, series_key, "domain", dgp_class, cadence, st.horizon, unseen_frac, sigma0, "scale", h, truth[h], point
+ FROM px JOIN st USING (challenge_id)),\nfq AS""")
+
+
+@query("panel_batch_forecasts", "M6 M7 M8 M9 M11", f"""WITH {PANEL_SCORE_SQL}, {REL_SQL}, met AS ({metrics_sql('model')})
+SELECT model, CAST(row_number() OVER (ORDER BY round(mase_rel, 9), model) AS INT) "rank", {R('mase_rel')} mase_rel, {R('crps_rel')} crps_rel, {R('mase')} mase, {R('crps')} crps FROM met JOIN gm USING (model)""")
 def panel_batch_forecasts(spark, sf):
-    """The backtest-selected panel over every challenge, scored next to the column models."""
-    ch = challenge_table(spark, sf)
-    fc = M.batch_forecasts(ch).unionByName(M.column_forecasts(ch))
-    b = S.leaderboard(S.contributions(M.gaussian_band(fc)))
-    return b.select("model", "rank", *[rnd(F.col(c)).alias(c) for c in ("mase_rel", "crps_rel", "mase", "crps")])
+    """The whole panel over every challenge: column, decomposition, matching and backtest-selected models."""
+    b = S.leaderboard(S.contributions(M.gaussian_band(M.panel_forecasts(challenge_table(spark, sf)))))
+    return b.select("model", F.col("rank").cast("int").alias("rank"), *[rnd(F.col(c)).alias(c) for c in ("mase_rel", "crps_rel", "mase", "crps")])
+
+
+@query("user_forecaster", "V1 V2", f"""WITH {CH_SQL} SELECT challenge_id, {R('list_max(context)')} level FROM ch""")
+def user_forecaster(spark, sf):
+    """A user's model over Arrow batches: here the highest value of the context, held flat."""
+    def ceiling(context, horizon, cands):
+        return [context.max()] * horizon
+
+    f = M.batch_forecasts(challenge_table(spark, sf), {"ceiling": ceiling})
+    return f.select("challenge_id", rnd(F.element_at("mean", -1)).alias("level"))
 
 
 @query("comparison_run", "E10")
@@ -258,7 +311,7 @@ def comparison_run(spark, sf):
     """End to end: challenges, panel, paired tests against the floor, one row per model."""
     from tidemark.session import freeze
     ch = challenge_table(spark, sf)
-    fc = M.batch_forecasts(ch, {"strong": M.np_strong, "context_parrot": M.np_parrot}).unionByName(M.column_forecasts(ch))
+    fc = M.strong_forecasts(ch).unionByName(M.parrot_forecasts(ch)).unionByName(M.column_forecasts(ch))
     s = freeze(S.contributions(M.gaussian_band(fc)))
     vs = E.compare_to_baseline(s).select(F.col("model_a").alias("model"), "median_diff", "win_rate", "wilcoxon_p_holm", "significant")
     board = S.leaderboard(s, "crps", dims.EPS_REL).select("model", "rank", "crps_rel", "mase_rel")
