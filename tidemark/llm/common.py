@@ -53,12 +53,12 @@ def fold(doc_id: Column, of: int) -> Column:
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and n + 1 offsets of a string column; null counts as empty."""
+    """Bytes and n + 1 offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        column = column.fill_null("" if "string" in str(column.type) else b"")
+    kind = np.int64 if str(column.type).startswith("large") else np.int32
     offsets = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     if not len(offsets):
         offsets = np.zeros(1, np.int64)

@@ -129,54 +129,68 @@ def neighbourhoods(docs: DataFrame, places: DataFrame, length: int) -> DataFrame
     def run(batches):
         ranks = Ranks()
         for b in batches:
-            ids = b.column("id").to_pylist()
+            ids = b.column("id").to_numpy()
             for k in range(b.num_rows):
                 data, _ = C.utf8(b.column("text").slice(k, 1))
-                out = [[] for _ in range(10)]
-                for v in b.column("places")[k].as_py():
-                    at, back, ahead = v["at"], v["back"], v["ahead"]
-                    for eighth in range(ahead // EIGHT, back // EIGHT + 1):
-                        low, high = eighth * EIGHT + EIGHT - 1, eighth * EIGHT
-                        # relative to the anchor, so equal windows fall in equal eighths
-                        core = np.array([at - high]), np.array([at - low + length])
-                        s, e = max(0, at - low), min(len(data), at - high + length)
-                        part = data[s:e]
-                        ranks.of(part)
-                        c1, c2 = ranks.both(core[0] - s, core[1] - s)
-                        cut = s > at - low or e < at - high + length
-                        h1, h2 = (None, None) if cut else (int(x[0]) for x in ranks.both(np.array([0]), np.array([e - s])))
-                        for c, x in zip(out, (ids[k], at, eighth, min(low, at), max(high, at + length - len(data)), int(c1[0]), int(c2[0]) + eighth,
-                                              h1, h2, part.tobytes())):
-                            c.append(x)
-                        if len(out[0]) >= 20_000:
-                            yield batch(out)
-                            out = [[] for _ in range(10)]
-                yield batch(out)
-
-    def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "bytes" else pa.int64()) for n, c in zip(names, out)], names=names)
-
-    names = ["id", "at", "eighth", "low", "high", "c1", "c2", "h1", "h2", "bytes"]
+                v = b.column("places")[k].values.flatten()
+                at, back, ahead = (x.to_numpy(zero_copy_only=False) for x in v)
+                order = np.argsort(at, kind="stable")
+                for s, e in _stretches(at[order], len(data), length):
+                    here = order[s:e]
+                    lo = max(0, int(at[here[0]]) - length)
+                    yield _eights(ids[k], data[lo:int(at[here[-1]]) + 2 * length], at[here], back[here], ahead[here], lo, len(data), ranks, length)
+
     return rows.mapInArrow(run, "id long, at long, eighth long, low long, high long, c1 long, c2 long, h1 long, h2 long, bytes binary")
 
 
+def _stretches(at: np.ndarray, size: int, length: int):
+    """Ranges of sorted anchors that lie within ``SEGMENT`` bytes, 5,000 anchors at most."""
+    s = 0
+    while s < len(at):
+        e = min(s + 5_000, int(np.searchsorted(at, at[s] + SEGMENT)))
+        yield s, e
+        s = e
+
+
+def _eights(doc: int, data: np.ndarray, at: np.ndarray, back: np.ndarray, ahead: np.ndarray, base: int, size: int, ranks: Ranks,
+            length: int) -> pa.RecordBatch:
+    """Rows of eight for the anchors of one stretch, whose bytes ``data`` start at ``base`` of a text of ``size`` bytes."""
+    n = back // EIGHT - ahead // EIGHT + 1
+    row = np.repeat(np.arange(len(at)), n)
+    eighth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (ahead // EIGHT)[row]
+    a = at[row]
+    low, high = eighth * EIGHT + EIGHT - 1, eighth * EIGHT
+    ranks.of(data)
+    # relative to the anchor, so equal windows fall in equal eighths
+    c1, c2 = ranks.both(a - high - base, a - low + length - base)
+    start, end = np.maximum(0, a - low), np.minimum(size, a - high + length)
+    h1, h2 = ranks.both(start - base, end - base)
+    cut = (start > a - low) | (end < a - high + length)
+    raw = data.tobytes()
+    cols = [np.full(len(a), doc), a, eighth, np.minimum(low, a), np.maximum(high, a + length - size), c1, c2 + eighth]
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(c, pa.int64()) for c in cols), pa.array(h1, pa.int64(), mask=cut), pa.array(h2, pa.int64(), mask=cut),
+         pa.array([raw[x:y] for x, y in zip((start - base).tolist(), (end - base).tolist())], pa.binary())],
+        names=["id", "at", "eighth", "low", "high", "c1", "c2", "h1", "h2", "bytes"])
+
+
 def single_windows(rows: DataFrame, length: int) -> DataFrame:
     """(id, at, r1, r2): every window of rows of eight, named by its two halves; ``at`` is now the window's start."""
 
     def run(batches):
         ranks, half = Ranks(), length // 2
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("id", "at", "low", "high", "bytes")]
-            out = [[] for _ in range(4)]
-            for i, at, low, high, raw in zip(*cols):
-                data = np.frombuffer(raw, np.uint8)
-                ranks.of(data)
-                p = np.arange(low - high + 1)
-                for c, v in zip(out, (np.full(len(p), i), at - low + p, ranks.half(p, p + half).view(np.int64),
-                                      ranks.b.ranges(ranks.pb, p + half, p + length).view(np.int64))):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out],
-                                             names=["id", "at", "r1", "r2"])
+            ids, at, low, high = (b.column(c).to_numpy() for c in ("id", "at", "low", "high"))
+            data, off = C.utf8(b.column("bytes"))
+            for i, j in C.slabs(off):
+                ranks.of(data[off[i]:off[j]])
+                n = low[i:j] - high[i:j] + 1
+                row = np.repeat(np.arange(i, j), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                p = off[row] - off[i] + step
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[row]), pa.array(at[row] - low[row] + step), pa.array(ranks.half(p, p + half).view(np.int64)),
+                    pa.array(ranks.b.ranges(ranks.pb, p + half, p + length).view(np.int64))], names=["id", "at", "r1", "r2"])
 
     return rows.select("id", "at", "low", "high", "bytes").mapInArrow(run, "id long, at long, r1 long, r2 long")
 
