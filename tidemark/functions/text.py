@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from tidemark import dims
 
@@ -38,9 +39,22 @@ STOPWORDS = (
     "history", "historical", "monthly", "daily", "weekly", "annual", "yearly", "time", "times",
     "service", "services",
 )
-# --- fixed values: accented letters and what they fold to -------------------------------
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _foldings() -> tuple[str, str]:
+    """Lower-case letters that decompose to one ASCII letter or digit, and those; then combining marks, which fold to nothing."""
+    letters, plain, marks = [], [], []
+    for c in map(chr, range(0x80, 0x2000)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif c == c.lower() and len(base) == 1 and base.isascii() and base.isalnum():
+            letters.append(c)
+            plain.append(base)
+    return "".join(letters + marks), "".join(plain)
+
+
+ACCENTED, FOLDED = _foldings()
 
 
 def sql_array(items) -> str:

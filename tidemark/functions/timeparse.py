@@ -72,7 +72,8 @@ WHEN {s} RLIKE r'{DTG}' THEN try_to_timestamp(replace({s}, 'Z', ''), 'ddHHmm MMM
 WHEN {s} RLIKE r'{DMY_HM}' THEN try_to_timestamp(substr({s}, 1, 10), 'dd-MM-yyyy')
   + make_interval(0,0,0,0,{_xi(s, DMY_HM, 4)},{_xi(s, DMY_HM, 5)})
 WHEN {s} RLIKE r'^[A-Za-z]{{3}}, ' THEN coalesce(try_to_timestamp(substr({s}, 6), 'd MMM yyyy H:m:s zzz'),
-  try_to_timestamp(substr({s}, 6), 'd MMM yyyy H:m:s XX'))
+  try_to_timestamp(substr({s}, 6), 'd MMM yyyy H:m:s XX'), try_to_timestamp(substr({s}, 6), 'd MMM yyyy H:m zzz'),
+  try_to_timestamp(substr({s}, 6), 'd MMM yyyy H:m XX'))
 WHEN {s} RLIKE r'^[A-Za-z]{{3}} [A-Za-z]{{3}} ' THEN try_to_timestamp(substr({s}, 5), 'MMM d H:m:s yyyy zzz')
 WHEN {s} RLIKE r'^\\d{{4}}-\\d{{1,2}}' THEN try_cast({s} AS TIMESTAMP)
 WHEN {s} RLIKE r'^[A-Za-z]{{3}}-\\d{{2}}$' THEN CASE WHEN year({mon_yy}) >= 2069 THEN {mon_yy} - INTERVAL 100 YEARS ELSE {mon_yy} END

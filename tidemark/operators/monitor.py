@@ -40,14 +40,13 @@ def auto_disable(audit: DataFrame, factor: float = 3.0) -> DataFrame:
         (F.col("status") == "stale") & (F.round("age_days", 1) > factor * F.round("limit_days", 1))))
 
 
-def numeric_fraction(rows: DataFrame, keys: list[str], seq: str, cols: list[str], first: int = 400) -> DataFrame:
-    """Share of numbers among the first rows of each value column; blanks count against it.
+def numeric_fraction(rows: DataFrame, keys: list[str], seq: str, cols: list[str], first: int | None = None) -> DataFrame:
+    """Share of numbers among the rows of each value column; blanks count against it.
 
-    The row limit is planned as a partial group limit, so a hot source sends at
-    most ``first`` rows per task.
+    ``first`` looks at so many rows of each source only, in ``seq`` order; by default all count.
     """
     w = Window.partitionBy(*keys).orderBy(seq)
-    head = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= first)
+    head = rows if first is None else rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= first)
     num = sum((F.count(F.expr(f"try_cast(replace({c}, ',', '') AS DOUBLE)")) for c in cols), F.lit(0))
     return head.groupBy(*keys).agg((num / (F.count(F.lit(1)) * len(cols))).alias("numeric_frac"), F.count(F.lit(1)).alias("n_head"))
 

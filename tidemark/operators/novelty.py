@@ -143,17 +143,21 @@ def admit_batch(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: i
     return reps.join(repeats_of_lower(reps, id_, vec, dim, threshold), id_, "left_anti").select(id_, "copies")
 
 
-def nearest_distance(query: DataFrame, base: DataFrame, qid: str, coords: list[str], cell: float, max_rounds: int = 40) -> DataFrame:
+def nearest_distance(query: DataFrame, base: DataFrame, qid: str, coords: list[str], cell: float) -> DataFrame:
     """Exact distance from every query point to its nearest base point (low dimensions).
 
     A neighbour found within one cell width is final; the rest retry on a grid
-    twice as coarse, so work shrinks each round and no point is given up. Start
+    twice as coarse (far coarser after a round without any), so work shrinks each
+    round and no point is given up. Start
     with a cell small against the densest region: dense points settle there.
+    Without base points, or with a coordinate that is no finite number, the
+    distance is null.
     """
-    left = freeze(query.select(*coords).distinct())
+    finite = F.expr(" AND ".join(f"abs({c}) < double('infinity')" for c in coords))
+    left, base = freeze(query.select(*coords).where(finite).distinct()), base.where(finite)
     base = freeze(base.select(*[F.col(c).alias(f"b_{c}") for c in coords]).distinct())
-    done = None
-    for _ in range(max_rounds):
+    done = query.select(*coords).limit(0).withColumn("distance", F.lit(None).cast("double"))
+    while not (base.isEmpty() or left.isEmpty()):
         names = [f"_g{i}" for i in range(len(coords))]
         b = base.select("*", *[F.floor(F.col(f"b_{c}") / cell).alias(n) for c, n in zip(coords, names)])
         q = left.withColumn("_p", F.explode(F.array(*[
@@ -161,12 +165,10 @@ def nearest_distance(query: DataFrame, base: DataFrame, qid: str, coords: list[s
         q = q.select(*coords, *[(F.floor(F.col(c) / cell) + F.col(f"_p.{n}")).alias(n) for c, n in zip(coords, names)])
         d = F.sqrt(sum(((F.col(c) - F.col(f"b_{c}")) ** 2 for c in coords), F.lit(0.0)))
         got = freeze(q.join(b, names).groupBy(*coords).agg(F.min(d).alias("distance")).where(F.col("distance") <= cell))
-        done = got if done is None else done.unionByName(got)
+        done = done.unionByName(got)
         left = freeze(left.join(got, coords, "left_anti"))
-        if left.isEmpty():
-            break
-        cell *= 2
-    return query.join(done, coords).select(qid, "distance")
+        cell *= 16 if got.isEmpty() else 2
+    return query.join(done, coords, "left").select(qid, "distance")
 
 
 def available_after(rows: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:

@@ -75,19 +75,21 @@ def category_codes(spark, sf):
 
 
 def holey_windows(spark, sf):
-    """The freshest 128 points of every series with holes punched into them."""
+    """Every whole series with holes punched into it; urgent orders are constant, high ones empty."""
     from pyspark.sql import Window
-    w = Window.partitionBy("series_key").orderBy(F.col("ts").desc())
-    t = series_bins(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn <= 128").withColumn("pos", 128 - F.col("rn"))
-    return t.select("series_key", "pos", F.expr("CASE WHEN pos % 7 IN (3, 4) OR pos >= 126 THEN double('NaN') ELSE value END").alias("value"))
+    w = Window.partitionBy("series_key")
+    t = series_bins(spark, sf).withColumns({"pos": F.row_number().over(w.orderBy("ts")) - 1, "n": F.count(F.lit(1)).over(w)})
+    return t.select("series_key", "pos", F.expr("CASE WHEN pos % 7 IN (3, 4) OR pos >= n - 2 OR series_key LIKE '%2-HIGH' THEN double('NaN') "
+                                                "WHEN series_key LIKE '%1-URGENT' THEN 7D ELSE value END").alias("value"))
 
 
-_HOLEY = BINS_SQL + """, t AS (SELECT series_key, 128 - row_number() OVER (PARTITION BY series_key ORDER BY ts DESC) pos, "value" v FROM bins QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY ts DESC) <= 128),
-h AS (SELECT series_key, pos, CASE WHEN pos % 7 IN (3, 4) OR pos >= 126 THEN NULL ELSE v END v FROM t)"""
+_HOLEY = BINS_SQL + """, t AS (SELECT series_key, row_number() OVER (PARTITION BY series_key ORDER BY ts) - 1 pos, count(*) OVER (PARTITION BY series_key) n, "value" v FROM bins),
+h AS (SELECT series_key, pos, n, CASE WHEN pos % 7 IN (3, 4) OR pos >= n - 2 OR series_key LIKE '%2-HIGH' THEN NULL WHEN series_key LIKE '%1-URGENT' THEN 7.0::DOUBLE ELSE v END v FROM t)"""
 
 
-@query("median_fill", "B11 B13 B14", f"""WITH {_HOLEY}, f AS (SELECT series_key, pos, coalesce(v, median(v) OVER (PARTITION BY series_key)) v FROM h)
-SELECT series_key, pos::BIGINT pos, {R('v', 3)} filled, CAST(NULL AS VARCHAR) reason, {R('(coalesce(v,0) - avg(v) OVER (PARTITION BY series_key)) / stddev_pop(v) OVER (PARTITION BY series_key)')} z FROM f""")
+@query("median_fill", "B11 B13 B14", f"""WITH {_HOLEY}, f AS (SELECT series_key, pos, n, coalesce(v, median(v) OVER (PARTITION BY series_key), 0) v, series_key LIKE '%2-HIGH' e, series_key LIKE '%1-URGENT' k FROM h)
+SELECT series_key, pos::BIGINT pos, {R('v', 3)} filled, CASE WHEN e THEN 'all non-finite' WHEN k THEN 'constant' END reason,
+ {R('CASE WHEN e OR k THEN (-1 + 2.0::DOUBLE*pos/(n-1))/sqrt((n+1)/(3.0::DOUBLE*(n-1))) ELSE (v - avg(v) OVER (PARTITION BY series_key)) / stddev_pop(v) OVER (PARTITION BY series_key) END')} z FROM f""")
 def median_fill(spark, sf):
     g = holey_windows(spark, sf).groupBy("series_key").agg(F.expr("array_sort(collect_list(struct(pos, value)))").alias("w"))
     g = g.withColumn("x", F.expr("transform(w, p -> p.value)")).withColumn("f", F.expr(K.median_fill("x")))
@@ -97,7 +99,7 @@ def median_fill(spark, sf):
 
 
 @query("interpolated_gaps", "B12", f"""WITH {_HOLEY}, k AS (SELECT *, last_value(v IGNORE NULLS) OVER b v0, last_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER b p0,
- first_value(v IGNORE NULLS) OVER a v1, first_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER a p1 FROM h
+ first_value(v IGNORE NULLS) OVER a v1, first_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER a p1 FROM h WHERE series_key NOT LIKE '%2-HIGH'
  WINDOW b AS (PARTITION BY series_key ORDER BY pos ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY series_key ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT series_key, pos::BIGINT pos, {R('CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL OR p0 = p1 THEN v0 ELSE v0 + (v1-v0)*(pos-p0)/(p1-p0) END', 3)} "value" FROM k""")
 def interpolated_gaps(spark, sf):

@@ -88,8 +88,8 @@ def bin_counts(spark, sf):
     return K.bin_records(li, "ts", 86400, "count", None, ["l_returnflag"]).select("l_returnflag", F.unix_seconds("bin").alias("t"), F.col("value").alias("n"))
 
 
-_UG = """g AS (SELECT user_id, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) gap FROM (SELECT DISTINCT user_id, ts FROM events)),
-m AS (SELECT user_id, median(round(gap, 3)) med FROM g WHERE gap > 0 GROUP BY 1)"""
+_UG = """g AS (SELECT user_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)))/1e6::DOUBLE gap FROM (SELECT DISTINCT user_id, ts FROM events)),
+m AS (SELECT user_id, median(gap) med FROM g WHERE gap > 0 GROUP BY 1)"""
 
 
 @query("gap_segments", "W2 W3 Z4", f"""WITH {_UG}, s AS (SELECT g.user_id, ts, sum(CASE WHEN gap > 8*med THEN 1 ELSE 0 END) OVER (PARTITION BY g.user_id ORDER BY ts) seg FROM g LEFT JOIN m USING (user_id)),

@@ -37,8 +37,8 @@ def json_path_records(spark, sf):
  max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END) b FROM orders GROUP BY 1,2)
 SELECT page, d "timestamp", CAST(h AS VARCHAR) hits_dates, CAST(b AS VARCHAR) bandwidth_dates FROM a WHERE h IS NOT NULL OR b IS NOT NULL""")
 def date_map_records(spark, sf):
-    m = lambda cond: ("map_from_entries(map_values(map_from_entries(transform(filter(rows, r -> " + cond + "), r -> named_struct('key', r.d, 'value', struct(r.d, r.k))))))")
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    m = lambda cond: ("transform(array(filter(rows, r -> " + cond + ")), f -> map_from_entries(transform(array_distinct(transform(f, r -> r.d)), "
+                      "d -> struct(d, element_at(filter(f, r -> r.d = d), -1).k))))[0]")
     pages = order_pages(spark, sf, f"to_json(named_struct('hits', named_struct('dates', {m('r.k % 2 = 0')}), 'bandwidth', named_struct('dates', {m('r.k % 3 = 0')})))")
     return P.date_map_records(pages, "payload", ["page"], ["hits.dates", "bandwidth.dates"])
 
@@ -77,10 +77,9 @@ def cube_records(spark, sf):
 @query("sdmx_records", "A14", """SELECT o_orderkey // 64 page, o_orderpriority series_key, strftime(o_orderdate, '%Y-%m-%d') "timestamp", round(max(o_totalprice), 2) "value" FROM orders GROUP BY 1,2,3""")
 def sdmx_records(spark, sf):
     periods = "array_sort(array_distinct(transform(rows, r -> r.d)))"
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     obs = ("map_from_arrays(array_distinct(transform(rows, r -> r.p)), transform(array_distinct(transform(rows, r -> r.p)), p -> named_struct('observations', "
-           f"map_from_entries(transform(array_sort(transform(filter(rows, r -> r.p = p), r -> named_struct('i', array_position({periods}, r.d) - 1, 'v', r.v))), "
-           "z -> named_struct('key', CAST(z.i AS STRING), 'value', array(z.v)))))))")
+           f"map_from_entries(transform(array_distinct(transform(filter(rows, r -> r.p = p), r -> r.d)), d -> named_struct('key', "
+           f"CAST(array_position({periods}, d) - 1 AS STRING), 'value', array(array_max(transform(filter(rows, r -> r.p = p AND r.d = d), r -> r.v)))))))))")
     pages = order_pages(spark, sf, f"to_json(named_struct('dataSets', array(named_struct('series', {obs})), 'structure', named_struct('dimensions', "
                         f"named_struct('observation', array(named_struct('id', 'TIME_PERIOD', 'values', transform({periods}, d -> named_struct('id', d))))))))")
     return P.sdmx_records(pages, "payload", ["page"]).withColumn("value", F.round("value", 2))

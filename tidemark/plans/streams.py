@@ -13,12 +13,16 @@ from tidemark.session import scratch_path
 from tidemark.streaming import jobs as J
 
 SPLITS = ("2024-01-11", "2024-01-21")
-FILES = 4  # files per arrival = files per trigger, so one micro-batch is one arrival; raise it with the arrival size
+ROWS_PER_FILE = 500_000
 
 
-def replay(spark, df, ts="ts", splits=SPLITS):
-    """Write ``df`` as consecutive arrivals (one folder per period, oldest first) and return the folder."""
+def arrivals(spark, df, ts="ts", splits=SPLITS):
+    """Write ``df`` as consecutive arrivals (one folder per period, oldest first) and open them as a stream.
+
+    Every arrival has as many files as a trigger takes, so one micro-batch is one arrival.
+    """
     root = scratch_path(spark, "arrivals")
+    files = max(4, -(-df.count() // ROWS_PER_FILE))
     edges = [None, *splits, None]
     for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
         part = df
@@ -26,8 +30,8 @@ def replay(spark, df, ts="ts", splits=SPLITS):
             part = part.where(F.col(ts) >= F.lit(lo).cast("timestamp"))
         if hi:
             part = part.where(F.col(ts) < F.lit(hi).cast("timestamp"))
-        part.repartition(FILES).write.parquet(f"{root}/p{i}")
-    return root
+        part.repartition(files).write.parquet(f"{root}/p{i}")
+    return J.open_stream(spark, root, df.schema, files)
 
 
 def events(spark, sf):
@@ -44,8 +48,7 @@ def _run(spark, df, out_schema_from=None, mode="append"):
 def stream_dedup(spark, sf):
     """Every report arrives twice inside its period; the sink keeps one."""
     e = events(spark, sf)
-    root = replay(spark, e.unionByName(e.where("event_id % 2 = 0")))
-    s = J.open_stream(spark, root, e.schema, FILES)
+    s = arrivals(spark, e.unionByName(e.where("event_id % 2 = 0")))
     got = _run(spark, J.dedup_append(s, "ts", ["event_id"], "2 days"))
     return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
@@ -53,7 +56,7 @@ def stream_dedup(spark, sf):
 @query("stream_bins", "Z2", f"""WITH b AS (SELECT date_trunc('hour', ts) h, event_type, count(*) n, sum("value") s FROM events GROUP BY 1,2) SELECT CAST(epoch(h) AS BIGINT) bin, event_type, n, {R('s', 4)} total FROM b WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_bins(spark, sf):
     e = events(spark, sf)
-    s = J.open_stream(spark, replay(spark, e), e.schema, FILES)
+    s = arrivals(spark, e)
     got = _run(spark, J.tumbling_bins(s, "ts", ["event_type"], "value", "1 hour", "1 hour"))
     return got.select(F.unix_seconds("bin").alias("bin"), "event_type", "n", rnd(F.col("total"), 4).alias("total"))
 
@@ -62,18 +65,18 @@ def stream_bins(spark, sf):
 def stream_upsert(spark, sf):
     """Later reports win per (user, type); rows dated past the horizon never enter."""
     e = events(spark, sf)
-    s = J.open_stream(spark, replay(spark, e), e.schema, FILES)
+    s = arrivals(spark, e)
     t = J.VersionedTable(spark, scratch_path(spark, "latest"), "user_id long, event_type string, ts timestamp, value double")
     J.drain_batches(s, J.upsert_latest(t, ["user_id", "event_type"], "ts", "2024-01-28 00:00:00"), scratch_path(spark, "ck"))
     return t.read().select("user_id", "event_type", F.unix_micros("ts").alias("last_us"), "value")
 
 
-@query("stream_sessions", "Z4 W2", f"""WITH {_UG}, w AS (SELECT max(ts) - INTERVAL 1 HOUR wm FROM events), s AS (SELECT g.user_id, ts, round(8*med, 3) lim, sum(CASE WHEN gap >= round(8*med, 3) THEN 1 ELSE 0 END) OVER (PARTITION BY g.user_id ORDER BY ts) seg FROM g JOIN m USING (user_id))
+@query("stream_sessions", "Z4 W2", f"""WITH {_UG}, w AS (SELECT max(ts) - INTERVAL 1 HOUR wm FROM events), s AS (SELECT g.user_id, ts, round(8*med, 6) lim, sum(CASE WHEN gap >= round(8*med, 6) THEN 1 ELSE 0 END) OVER (PARTITION BY g.user_id ORDER BY ts) seg FROM g JOIN m USING (user_id))
 SELECT user_id, count(*) n, CAST(epoch_us(min(ts)) AS BIGINT) first_us FROM s, w GROUP BY user_id, seg HAVING max(ts) + to_microseconds(CAST(any_value(lim)*1000000 AS BIGINT)) <= any_value(wm)""")
 def stream_sessions(spark, sf):
     e = events(spark, sf).select("user_id", "ts").distinct()
-    gaps = Q.median_gap(Q.gap_table(e, ["user_id"], "ts"), ["user_id"]).select("user_id", F.round(F.col("median_gap_s") * 8, 3).alias("lim"))
-    s = J.open_stream(spark, replay(spark, e), e.schema, FILES)
+    gaps = Q.median_gap(Q.gap_table(e, ["user_id"], "ts"), ["user_id"]).select("user_id", F.round(F.col("median_gap_s") * 8, 6).alias("lim"))
+    s = arrivals(spark, e)
     got = _run(spark, J.gap_sessions(s, "ts", ["user_id"], gaps, "lim", "1 hour"))
     return got.select("user_id", "n", F.unix_micros("first").alias("first_us"))
 
@@ -84,7 +87,7 @@ SELECT vec_id FROM a1 UNION ALL SELECT vec_id FROM a2""")
 def stream_novelty(spark, sf):
     """Two arrivals of vectors: each is admitted against everything served so far."""
     v = unit_vectors(spark, sf).withColumn("ts", F.expr("if(vec_id % 2 = 0, TIMESTAMP'2024-01-01', TIMESTAMP'2024-01-02')"))
-    s = J.open_stream(spark, replay(spark, v, splits=("2024-01-02",)), v.schema, FILES)
+    s = arrivals(spark, v, splits=("2024-01-02",))
     t = J.VersionedTable(spark, scratch_path(spark, "served"), "vec_id long, vec array<double>")
     J.drain_batches(s, J.served_memory(t, "vec_id", "vec", EMB_DIM, NEAR), scratch_path(spark, "ck"))
     return t.read().select("vec_id")
@@ -93,7 +96,7 @@ def stream_novelty(spark, sf):
 @query("stream_ewma", "Z6 M3", f"""WITH s AS (SELECT event_type, list("value" ORDER BY ts) v, count(*) n FROM events GROUP BY 1) SELECT event_type, n, {R('list_reduce(v, lambda a, x: 0.7::DOUBLE*a + 0.3::DOUBLE*x)')} "level" FROM s""")
 def stream_ewma(spark, sf):
     e = events(spark, sf).select("event_type", "ts", "value")
-    s = J.open_stream(spark, replay(spark, e), e.schema, FILES)
+    s = arrivals(spark, e)
     out = scratch_path(spark, "levels")
     J.drain_batches(J.ewma_levels(s, "event_type", "ts", "value"), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/b{i}"), scratch_path(spark, "ck"), "update")
     got = spark.read.option("recursiveFileLookup", True).parquet(out)
@@ -105,7 +108,7 @@ def stream_ewma(spark, sf):
 def stream_silence(spark, sf):
     """Users quiet for more than a day of event time when the replay ends."""
     e = events(spark, sf).select("user_id", "ts")
-    s = J.open_stream(spark, replay(spark, e), e.schema, FILES)
+    s = arrivals(spark, e)
     got = _run(spark, J.silence_alerts(s, "user_id", "ts", 86_400_000, "1 hour"))
     return got.select("user_id", "last_ms")
 
@@ -115,7 +118,7 @@ def stream_ledger(spark, sf):
     """Proposals arriving in batches merge into one ledger."""
     p = events(spark, sf).selectExpr("ts", "event_id AS seq", "concat(event_type, '|', user_id % 20) AS key", "concat('u', user_id) AS name", "event_type AS domain",
                                      "'PT1H' AS frequency", "if(event_type = 'error' AND event_id % 5 = 0, 'reject', 'accept') AS verdict")
-    s = J.open_stream(spark, replay(spark, p), p.schema, FILES)
+    s = arrivals(spark, p)
     t = J.VersionedTable(spark, scratch_path(spark, "ledger"), "key string, name string, domain string, frequency string, status string, first_proposed string, times_proposed long")
-    J.drain_batches(s, lambda b, i: t.write(C.ledger_upsert(t.read(), b, f"batch-{i}"), i), scratch_path(spark, "ck"))
+    J.drain_batches(s, lambda b, i: t.write(C.ledger_upsert(t.read(i), b, f"batch-{i}"), i), scratch_path(spark, "ck"))
     return t.read().select("key", "name", "times_proposed", "status")

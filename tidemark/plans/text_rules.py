@@ -9,7 +9,7 @@ from tidemark.functions import text as X
 from tidemark.plans.views import load
 from tidemark.registry import query
 
-_FOLD = f"translate(lower({{c}}), '{X.ACCENTED}', '{X.FOLDED}')"
+_FOLD = "strip_accents(lower({c}))"
 _STOP = "[" + ", ".join(f"'{s}'" for s in X.STOPWORDS) + "]"
 _HOST = "regexp_extract(url, '^https?://([^/?#:]+)', 1)"
 

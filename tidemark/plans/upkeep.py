@@ -55,7 +55,7 @@ def auto_disable(spark, sf):
     return O.auto_disable(O.freshness_audit(full_catalog(spark, sf), stored(spark, sf), NOW)).select("source_id", F.coalesce("disabled", F.lit(False)).alias("disabled"))
 
 
-@query("numeric_fraction", "G21", f"""WITH {_OBS_SQL}, h AS (SELECT * FROM ob QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY seq) <= 400) SELECT source_id, {R('count(v)::DOUBLE/count(*)')} numeric_frac, count(*) n_head FROM h GROUP BY 1""")
+@query("numeric_fraction", "G21", f"""WITH {_OBS_SQL} SELECT source_id, {R('count(v)::DOUBLE/count(*)')} numeric_frac, count(*) n_head FROM ob GROUP BY 1""")
 def numeric_fraction(spark, sf):
     return O.numeric_fraction(stored(spark, sf), ["source_id"], "seq", ["value"]).withColumn("numeric_frac", rnd(F.col("numeric_frac")))
 

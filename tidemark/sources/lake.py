@@ -101,7 +101,13 @@ def snapshot_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def file_listing(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
-    """Name and size of every file below ``root`` without reading contents."""
+    """Path below ``root`` and size of every file, without reading contents."""
     f = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
          .option("recursiveFileLookup", True).load(root).select("path", "length"))
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("key"), "length")
+    # listed paths carry a scheme that ``root`` may lack; what follows the root's own path is the key
+    tail = "/" + "/".join(root.rstrip("/").split("://")[-1].split("/")[1:]).strip("/") + "/"
+    return f.select(F.expr(f"substring(path, locate({_quoted(tail)}, path) + {len(tail)})").alias("key"), "length")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -43,25 +43,40 @@ def tumbling_bins(df: DataFrame, ts: str, keys: list[str], value: str, width: st
 def gap_sessions(df: DataFrame, ts: str, keys: list[str], gaps: DataFrame, gap_s: str, delay: str) -> DataFrame:
     """Contiguous runs per series with that series' own gap limit, from a static table."""
     j = df.join(gaps, keys).withWatermark(ts, delay)
-    width = F.expr(f"CAST(concat(CAST(greatest({gap_s}, 0.001) AS DECIMAL(18, 3)), ' seconds') AS STRING)")
+    width = F.expr(f"CAST(concat(CAST(greatest({gap_s}, 0.000001) AS DECIMAL(18, 6)), ' seconds') AS STRING)")
     g = j.groupBy(F.session_window(ts, width).alias("s"), *keys).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
     return g.select(*keys, "n", "first", "last")
 
 
 class VersionedTable:
-    """A small keyed table rewritten per batch: each version is a new folder, read before write."""
+    """A keyed table of one folder per version; the folders are its only state.
 
-    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root, self.schema, self.version = spark, root, schema, None
+    A version counts once its writer has left the success marker. A batch reads
+    the newest version below its own number, so after a restart, or when a batch
+    is tried again, it builds on what the batch before it left.
+    """
 
-    def read(self) -> DataFrame:
-        if self.version is None:
+    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
+        self.spark, self.root, self.schema = spark, root, schema
+
+    def _versions(self) -> list[int]:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(root)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(hadoop.Path(f"{self.root}/{n}/_SUCCESS")))
+
+    def read(self, below: int | None = None) -> DataFrame:
+        """The newest complete version, or the newest one below ``below``."""
+        found = [v for v in self._versions() if below is None or v < below]
+        if not found:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={self.version}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={found[-1]}")
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        self.version = version
 
 
 def upsert_latest(table: VersionedTable, keys: list[str], order: str, horizon: str | None = None) -> Callable[[DataFrame, int], None]:
@@ -73,8 +88,9 @@ def upsert_latest(table: VersionedTable, keys: list[str], order: str, horizon: s
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = batch if horizon is None else batch.where(F.col(order) <= F.lit(horizon).cast("timestamp"))
-        cols = [c for c in table.read().columns if c not in keys]
-        both = table.read().unionByName(rows.select(*keys, *cols))
+        old = table.read(epoch)
+        cols = [c for c in old.columns if c not in keys]
+        both = old.unionByName(rows.select(*keys, *cols))
         best = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(*keys, "_r.*")
         table.write(best, epoch)
 
@@ -86,7 +102,7 @@ def served_memory(table: VersionedTable, id_: str, vec: str, dim: int, threshold
     from tidemark.operators.novelty import admit_batch
 
     def admit(batch: DataFrame, epoch: int) -> None:
-        seen = table.read()
+        seen = table.read(epoch)
         fresh = batch.select(id_, vec).join(admit_batch(batch.select(id_, vec), seen, id_, vec, dim, threshold).select(id_), id_, "left_semi")
         table.write(seen.unionByName(fresh.select(*seen.columns)), epoch)
 
