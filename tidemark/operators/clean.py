@@ -131,6 +131,9 @@ def zscore_or_ramp(x: str) -> str:
 # --- column profiling --------------------------------------------------------------------
 
 
+LONG_VALUE = 40  # characters; a column with more than one long value in a hundred is text
+
+
 def profile_columns(df: DataFrame, ts_parser: str = "loose") -> DataFrame:
     """Parse rates per column in one pass: rows, non-null, numeric, date-like."""
     cols = df.columns
@@ -139,11 +142,11 @@ def profile_columns(df: DataFrame, ts_parser: str = "loose") -> DataFrame:
     for c in cols:
         q = f"`{c}`"
         aggs += [F.count(q).alias(f"nn|{c}"), F.count(F.expr(f"try_cast(replace({q}, ',', '.') AS DOUBLE)")).alias(f"num|{c}"),
-                 F.count(F.expr(T.loose_date(q))).alias(f"ts|{c}"), F.max(F.length(q)).alias(f"len|{c}")]
+                 F.count(F.expr(T.loose_date(q))).alias(f"ts|{c}"), F.count_if(F.length(q) > LONG_VALUE).alias(f"long|{c}")]
     one = text.agg(F.count(F.lit(1)).alias("n"), *aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("pos"), F.col(f"nn|{c}").alias("non_null"),
                               F.col(f"num|{c}").alias("numeric"), F.col(f"ts|{c}").alias("datelike"),
-                              F.col(f"len|{c}").alias("max_len")) for i, c in enumerate(cols)])
+                              F.col(f"long|{c}").alias("n_long")) for i, c in enumerate(cols)])
     return one.select("n", F.explode(rows).alias("r")).select("n", "r.*")
 
 
@@ -179,7 +182,7 @@ def assign_roles(profile: DataFrame) -> DataFrame:
     p = p.withColumn("ts_col", best["column"])
     role = (F.when(F.col("column") == F.col("ts_col"), "timestamp").when(F.col("is_ts"), "other_time")
             .when(F.expr(numeric_column()) & ident, "identifier").when(F.expr(numeric_column()), "value")
-            .when(F.expr("max_len <= 40"), "panel").otherwise("text"))
+            .when(F.expr("n_long <= 0.01 * non_null"), "panel").otherwise("text"))
     return p.withColumn("role", role).drop("ts_col", "is_ts")
 
 

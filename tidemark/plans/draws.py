@@ -101,13 +101,13 @@ def augmented_challenges(spark, sf):
 
 
 @query("flat_redraw", "C3", f"""WITH {BINS_SQL}, t AS (SELECT series_key, row_number() OVER (PARTITION BY series_key ORDER BY ts DESC) - 1 r, CASE WHEN row_number() OVER (PARTITION BY series_key ORDER BY ts DESC) <= 70 THEN 5 ELSE "value" END v FROM bins),
-a AS (SELECT series_key, r // 32 attempt, stddev_pop(v) sd, avg(v) m FROM t WHERE r < 128 GROUP BY 1,2 HAVING count(*) = 32)
+a AS (SELECT series_key, r // 32 attempt, stddev_pop(v) sd, avg(v) m FROM t GROUP BY 1,2 HAVING count(*) = 32)
 SELECT series_key, attempt::BIGINT attempt, {R('m', 3)} ctx_mean FROM a QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY CASE WHEN sd > 1e-8 THEN 0 ELSE 1 END, CASE WHEN sd > 1e-8 THEN attempt ELSE -attempt END) = 1""")
 def flat_redraw(spark, sf):
     """The newest 70 points are flattened: the first attempt whose context still varies is kept."""
     from pyspark.sql import Window
     w = Window.partitionBy("series_key").orderBy(F.col("ts").desc())
-    t = series_bins(spark, sf).withColumn("r", F.row_number().over(w) - 1).where("r < 128").withColumn("v", F.expr("if(r < 70, 5D, value)"))
+    t = series_bins(spark, sf).withColumn("r", F.row_number().over(w) - 1).withColumn("v", F.expr("if(r < 70, 5D, value)"))
     g = t.groupBy("series_key", F.expr("r div 32").alias("attempt")).agg(F.expr("transform(array_sort(collect_list(struct(-r AS p, v))), x -> x.v)").alias("context")).where("size(context) = 32")
     k = U.first_lively(g, "series_key")
     return k.select("series_key", "attempt", rnd(F.expr(A.mean("context")), 3).alias("ctx_mean"))
