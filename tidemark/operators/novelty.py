@@ -131,16 +131,36 @@ def repeats_of_lower(reps: DataFrame, id_: str, vec: str, dim: int, threshold: f
     return settled.unionByName(found)
 
 
+def greedy_repeats(reps: DataFrame, id_: str, vec: str, dim: int, threshold: float = dims.DUP_COSINE) -> DataFrame:
+    """Ids that resemble an admitted one with a lower id, when items are admitted in id order.
+
+    Worked in rounds on the similar pairs: an item without a lower open neighbour
+    is admitted and its higher neighbours are dropped. That is the greedy result
+    without one task walking the order; there are as many rounds as the longest
+    chain of decisions that hang on each other.
+    """
+    cells = freeze(placed(reps.select(id_, vec), vec, dim, threshold))
+    pairs = near_pairs(cells, cells.withColumnRenamed(id_, "_low"), id_, "_low", vec, dim, threshold, ordered=True)
+    pairs = freeze(pairs.select("_low", F.col(id_).alias("_high")))
+    dropped = pairs.select(F.col("_high").alias(id_)).limit(0)
+    while not pairs.isEmpty():
+        admitted = pairs.select("_low").distinct().join(pairs.select(F.col("_high").alias("_low")).distinct(), "_low", "left_anti")
+        gone = freeze(pairs.join(admitted, "_low", "left_semi").select(F.col("_high").alias(id_)).distinct())
+        dropped = dropped.unionByName(gone)
+        pairs = pairs.join(gone.withColumnRenamed(id_, "_low"), "_low", "left_anti").join(gone.withColumnRenamed(id_, "_high"), "_high", "left_anti")
+        pairs = freeze(pairs.select("_low", "_high"))
+    return dropped
+
+
 def admit_batch(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: int,
                 threshold: float = dims.DUP_COSINE) -> DataFrame:
-    """Fresh pool: not in history and no similar candidate with a lower id.
+    """Fresh pool: not in history, and unlike every item admitted before it in id order.
 
-    The set-based form of the greedy rule: an item that is itself dropped still
-    suppresses later ones, so the result does not depend on processing order.
+    An item that is itself dropped suppresses nothing.
     """
     fresh = cands.join(seen_before(cands, history, id_, vec, dim, threshold), id_, "left_anti")
     reps = freeze(collapse(fresh, id_, vec))
-    return reps.join(repeats_of_lower(reps, id_, vec, dim, threshold), id_, "left_anti").select(id_, "copies")
+    return reps.join(greedy_repeats(reps, id_, vec, dim, threshold), id_, "left_anti").select(id_, "copies")
 
 
 def nearest_distance(query: DataFrame, base: DataFrame, qid: str, coords: list[str], cell: float) -> DataFrame:

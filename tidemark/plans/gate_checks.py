@@ -169,6 +169,14 @@ _EMB = ("e0 AS (" + " UNION ALL ".join(
     + "), e AS MATERIALIZED (SELECT vec_id, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda w: w*w)))) v FROM e0)")
 
 
+def greedy_sql(name: str, frm: str) -> str:
+    """CTEs that admit the rows (vec_id, v) of ``frm`` one by one in id order; ``name`` holds the admitted list."""
+    return (f"{name}_o AS MATERIALIZED (SELECT a.vec_id, row_number() OVER (ORDER BY a.vec_id) rn, list(b.vec_id) FILTER (b.vec_id IS NOT NULL) nb FROM {frm} a "
+            f"LEFT JOIN {frm} b ON b.vec_id < a.vec_id AND list_dot_product(a.v, b.v) >= {NEAR} GROUP BY 1), "
+            f"{name}_g(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT i + 1, CASE WHEN len(list_intersect(kept, coalesce(nb, []))) > 0 THEN kept ELSE list_append(kept, vec_id) END "
+            f"FROM {name}_g JOIN {name}_o ON rn = i + 1), {name} AS (SELECT unnest(kept) vec_id FROM {name}_g WHERE i = (SELECT count(*) FROM {name}_o))")
+
+
 @query("near_duplicates", "J6", f"WITH {_EMB}, u AS (SELECT min(vec_id) vec_id, v FROM e GROUP BY v) SELECT a.vec_id FROM u a WHERE EXISTS (SELECT 1 FROM u b WHERE b.vec_id < a.vec_id AND list_dot_product(a.v, b.v) >= {NEAR})")
 def near_duplicates(spark, sf):
     """Distinct vectors that resemble one with a lower id."""
@@ -186,8 +194,8 @@ def novelty_rate(spark, sf):
     return a.select("n_total", "n_novel", rnd(F.col("n_novel") / F.col("n_total")).alias("novelty_rate"))
 
 
-@query("fresh_pool", "L2 L3 C6", f"""WITH {_EMB}, h AS (SELECT * FROM e WHERE vec_id % 5 = 0), c AS (SELECT * FROM e WHERE vec_id % 5 <> 0), f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE list_dot_product(c.v, h.v) >= {NEAR}))
-SELECT vec_id FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.vec_id < f.vec_id AND list_dot_product(f.v, g.v) >= {NEAR})""")
+@query("fresh_pool", "L2 L3 C6", f"""WITH RECURSIVE {_EMB}, h AS (SELECT * FROM e WHERE vec_id % 5 = 0), c AS (SELECT * FROM e WHERE vec_id % 5 <> 0), f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE list_dot_product(c.v, h.v) >= {NEAR})),
+{greedy_sql("gr", "f")} SELECT vec_id FROM gr""")
 def fresh_pool(spark, sf):
     v = unit_vectors(spark, sf)
     return N.admit_batch(v.where("vec_id % 5 <> 0"), v.where("vec_id % 5 = 0"), "vec_id", "vec", EMB_DIM, NEAR).select("vec_id")

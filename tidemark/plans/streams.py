@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as C, series as Q
-from tidemark.plans.gate_checks import _EMB, EMB_DIM, NEAR, unit_vectors
+from tidemark.plans.gate_checks import _EMB, EMB_DIM, NEAR, greedy_sql, unit_vectors
 from tidemark.plans.lake_reads import _UG
 from tidemark.plans.views import R, load, rnd
 from tidemark.registry import query
@@ -81,9 +81,9 @@ def stream_sessions(spark, sf):
     return got.select("user_id", "n", F.unix_micros("first").alias("first_us"))
 
 
-@query("stream_novelty", "Z5 L2", f"""WITH {_EMB}, a1 AS (SELECT * FROM e WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e g WHERE g.vec_id % 2 = 0 AND g.vec_id < e.vec_id AND list_dot_product(e.v, g.v) >= {NEAR})),
-f2 AS (SELECT * FROM e WHERE vec_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM a1 WHERE list_dot_product(e.v, a1.v) >= {NEAR})), a2 AS (SELECT * FROM f2 WHERE NOT EXISTS (SELECT 1 FROM f2 g WHERE g.vec_id < f2.vec_id AND list_dot_product(f2.v, g.v) >= {NEAR}))
-SELECT vec_id FROM a1 UNION ALL SELECT vec_id FROM a2""")
+@query("stream_novelty", "Z5 L2", f"""WITH RECURSIVE {_EMB}, f1 AS (SELECT * FROM e WHERE vec_id % 2 = 0), {greedy_sql("g1", "f1")}, a1 AS MATERIALIZED (SELECT e.* FROM e JOIN g1 USING (vec_id)),
+f2 AS (SELECT * FROM e WHERE vec_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM a1 WHERE list_dot_product(e.v, a1.v) >= {NEAR})), {greedy_sql("g2", "f2")}
+SELECT vec_id FROM a1 UNION ALL SELECT vec_id FROM g2""")
 def stream_novelty(spark, sf):
     """Two arrivals of vectors: each is admitted against everything served so far."""
     v = unit_vectors(spark, sf).withColumn("ts", F.expr("if(vec_id % 2 = 0, TIMESTAMP'2024-01-01', TIMESTAMP'2024-01-02')"))
