@@ -109,9 +109,9 @@ def test_augmentations_preserve_shape_and_history_only_cutout(spark):
 
 
 def test_a_dropped_item_suppresses_nothing(spark):
-    a = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d))), 0.0]
+    a = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] + [0.0] * 30
     df = spark.createDataFrame([(0, a(0)), (1, a(8)), (2, a(16)), (3, a(24)), (4, a(90))], "id long, vec array<double>")
-    got = {r.id for r in N.admit_batch(df, df.limit(0), "id", "vec", 3, float(np.cos(np.radians(9)))).collect()}
+    got = {r.id for r in N.admit_batch(df, df.limit(0), "id", "vec", 32, float(np.cos(np.radians(9)))).collect()}
     assert got == {0, 2, 4}
 
 
