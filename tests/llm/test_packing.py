@@ -63,7 +63,7 @@ def test_query_on_whole_table(spark):
 
 def test_odd_texts(spark):
     texts = [None, "", " \n ", "It's  THAT'S, a\x1cb İΣ ΑΣ ß x́ é. é <|endoftext|>x <|startoftext|>", "Don't,don't..", "a" * 3000,
-             "word " * 5000, "ÀÖ÷ øÿ, ñ., ..", " x\u0085y\tz", "12,345.6%", "日本語 テスト", "İİ İ"]
+             "word " * 5000, "ÀÖ÷ øÿ, ñ., ..", "abc's! d'' e_f g_ h'd. i'll, re' 's x<| |>y ö&&& ***a", " x\u0085y\tz", "12,345.6%", "日本語 テスト", "İİ İ"]
     df = spark.createDataFrame([(i, t, 5, b"x") for i, t in enumerate(texts)], "doc_id long, text string, key long, ids binary")
     rows = [(r.doc_id, r.start, r.length, r.doc_tokens, r.sequence_id, r.offset, zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()))
             for r in pack(df, PATH, length=64).collect()]

@@ -11,6 +11,7 @@ is cut into powers of two, which need none either.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ class WordIds:
 
     The vocabulary drops white space and never joins across it, so a text's ids
     are those of its space-separated pieces; pieces are looked up once and kept
-    up to a fixed number. A plain Latin word goes straight to the model's merges.
+    up to a fixed number. A plain Latin word goes straight to the model's merges;
+    the ASCII marks after it are one piece of their own.
     """
 
     KEEP = 400_000
@@ -37,7 +39,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)").fullmatch
+        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
         byte = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         rest = iter(range(256, 512))
         byte |= {b: chr(next(rest)) for b in range(256) if b not in byte}
@@ -49,7 +51,7 @@ class WordIds:
         got = self.words.get(w)
         if got is None:
             ids = [t.id for t in self.tok.model.tokenize(w if w.isascii() else w.translate(self.letter))]
-            got = self.words[w] = np.array(ids, np.uint16).tobytes()
+            got = self.words[w] = array("H", ids).tobytes()
         return got
 
     def _piece(self, p: str) -> bytes:
@@ -65,7 +67,7 @@ class WordIds:
         got = self.pieces.get(p)
         if got is None:
             ids = self.tok.encode(p, add_special_tokens=False).ids
-            got = self.pieces[p] = np.array(ids, np.uint16).tobytes()
+            got = self.pieces[p] = array("H", ids).tobytes()
         return got
 
     def text(self, t: str) -> bytes:
@@ -112,11 +114,11 @@ def _coordinates(ids: list[np.ndarray], directions: np.ndarray, bits: int) -> np
     """Even integer coordinates of each document's normalised token counts."""
     from math import erf
 
-    out = np.zeros((len(ids), directions.shape[1]))
-    for k, t in enumerate(ids):
-        u, c = np.unique(t, return_counts=True)
-        c = np.log1p(c)
-        out[k] = (c / np.sqrt((c * c).sum())) @ directions[u]
+    row = np.repeat(np.arange(len(ids)), [len(t) for t in ids])
+    u, c = np.unique(row << 16 | np.concatenate(ids), return_counts=True)
+    row, t, c = u >> 16, u & 0xFFFF, np.log1p(c)
+    norm = np.sqrt(np.bincount(row, c * c))
+    out = np.stack([np.bincount(row, c * directions[t, d]) for d in range(directions.shape[1])], axis=1) / norm[:, None]
     even = np.vectorize(erf, otypes=[float])(out / np.sqrt(2)) / 2 + 0.5
     return np.minimum((even * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 
