@@ -18,6 +18,7 @@ def build_session(cpus: int | str = 8, app: str = "tidemark") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -33,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
+    elif sc.master == "local" or sc.master.startswith("local["):  # one machine; a local cluster has several executors
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
