@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.session import freeze
+from tidemark.session import freeze, scratch_path
 
 SLAB = 1 << 21
 SHINGLE = 5
@@ -38,13 +38,34 @@ def unique_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 BROADCAST_IDS = 1_000_000
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (frozen, distinct): texts of others are not shuffled.
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (frozen, distinct), or with ``left_anti`` is not: texts of others are not shuffled.
 
     Up to ``BROADCAST_IDS`` ids (8 MB) are counted and sent to the scan; more go by a shuffled join.
     """
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, "id", how)
+
+
+class Scratch:
+    """Tables written mid-job in the shared folder, each deleted once nothing reads it any more.
+
+    A table may go only when what was made from it has been written itself.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = self.paths[name] = scratch_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self, *names: str) -> None:
+        sc = self.spark.sparkContext
+        for n in names:
+            path = sc._jvm.org.apache.hadoop.fs.Path(self.paths.pop(n))
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column, of: int) -> Column:

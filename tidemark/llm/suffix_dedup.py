@@ -71,37 +71,72 @@ def _segments(size: int, length: int):
         yield s, min(size, s + SEGMENT)
 
 
-def anchor_rows(docs: DataFrame, length: int, whole: bool) -> DataFrame:
-    """One row per anchor of every text (id, text): its rank, and with ``whole`` the rank of the bytes its windows cover.
+def anchor_rows(docs: DataFrame, length: int, live=None) -> DataFrame:
+    """Anchors of every text (id, text): their ranks alone, or the whole rows of those that pass the filter ``live``.
 
-    ``at`` is the anchor, ``back`` and ``ahead`` how far before it the first and last of its windows start.
+    ``at`` is the anchor, ``reach`` holds how far before it the first and the last of its windows start;
+    (h1, h2) names the bytes that its windows cover.
     """
 
     def run(batches):
         ranks = Ranks()
+        bits = None if live is None else live.value
         for b in batches:
             data, off = C.utf8(b.column("text"))
             ids = b.column("id").to_numpy()
             for lo, hi in C.slabs(off):
-                out = [[] for _ in range(7)]
+                out = [[] for _ in range(6)]
                 for k in range(lo, hi):
                     for s, e in _segments(int(off[k + 1] - off[k]), length):
                         if e - s < length:
                             continue
                         part = ranks.of(data[off[k] + s:off[k] + e])
                         a, first, last = anchors(data[off[k] + s:off[k] + e], part, length)
-                        out[0].append(part.half(a, a + length // 2).view(np.int64))
-                        if whole:
+                        rank = part.half(a, a + length // 2)
+                        if bits is not None:
+                            keep = np.flatnonzero(may_repeat(bits, rank))
+                            a, first, last, rank = a[keep], first[keep], last[keep], rank[keep]
                             h1, h2 = part.both(first, last + length)
-                            for c, v in zip(out[1:], (np.full(len(a), ids[k]), a + s, a - first, a - last, h1, h2 + (a - first))):
+                            for c, v in zip(out[1:], (np.full(len(a), ids[k]), a + s, (a - first) << 16 | (a - last), h1, h2 + (a - first))):
                                 c.append(v)
-                cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in (out if whole else out[:1])]
-                yield pa.RecordBatch.from_arrays(cols, names=["rank", "id", "at", "back", "ahead", "h1", "h2"][:len(cols)])
+                        out[0].append(rank.view(np.int64))
+                cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in (out[:1] if bits is None else out)]
+                yield pa.RecordBatch.from_arrays(cols, names=["rank", "id", "at", "reach", "h1", "h2"][:len(cols)])
 
-    schema = "rank long, id long, at long, back long, ahead long, h1 long, h2 long" if whole else "rank long"
+    schema = "rank long" if live is None else "rank long, id long, at long, reach long, h1 long, h2 long"
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
+FILTER_BITS = 29  # 64 MB at most
+
+
+def may_repeat(bits: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    at = (rank >> np.uint64(64 - (len(bits).bit_length() + 2))).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def repeat_filter(docs: DataFrame, length: int) -> np.ndarray:
+    """A bit for every rank that more than one anchor has, at a hash position: about 16 bits a rank, up to ``FILTER_BITS``.
+
+    Further ranks only let more unique anchors through to the next round, which drops them.
+    """
+    seen = freeze(anchor_rows(docs, length).groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank"))
+    k = min(FILTER_BITS, max(18, (16 * seen.count()).bit_length()))
+
+    def block(key, rows):
+        at = rows.column("rank").to_numpy().view(np.uint64) >> np.uint64(64 - k)
+        b = np.zeros(1 << 15, np.uint8)
+        b[(at & np.uint64((1 << 15) - 1)).astype(np.int64)] = 1
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(b).tobytes()], pa.binary())})
+
+    got = (seen.withColumn("block", F.shiftrightunsigned("rank", 64 - k + 15)).groupBy("block")
+           .applyInArrow(block, "block long, bits binary").collect())
+    out = np.zeros(1 << (k - 3), np.uint8)
+    for r in got:
+        out[r.block << 12:(r.block + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def repeated(df: DataFrame, *keys: str) -> DataFrame:
     """The keys that stand at more than one place, with the least (id, at) as their holder.
 
@@ -116,35 +151,14 @@ def _is_first() -> Column:
     return (F.col("id") == F.col("_first.id")) & (F.col("at") == F.col("_first.at"))
 
 
-def neighbourhoods(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """``places`` (id, at, back, ahead) as rows of eight windows: (id, at, eighth, low, high, c1, c2, h1, h2, bytes).
-
-    ``at`` is the anchor; windows start at at - low .. at - high. (c1, c2) names what all eight windows share;
-    (h1, h2) what they cover, null where the text's border cuts the eight; ``bytes`` are those covered, for the last round.
-    """
-    grouped = places.groupBy("id").agg(F.collect_list(F.struct("at", "back", "ahead")).alias("places"))
-    wanted = freeze(grouped)
-    rows = C.only(docs, freeze(wanted.select("id"))).join(wanted, "id").select("id", "text", "places")
-
-    def run(batches):
-        ranks = Ranks()
-        for b in batches:
-            ids = b.column("id").to_numpy()
-            for k in range(b.num_rows):
-                data, _ = C.utf8(b.column("text").slice(k, 1))
-                v = b.column("places")[k].values.flatten()
-                at, back, ahead = (x.to_numpy(zero_copy_only=False) for x in v)
-                order = np.argsort(at, kind="stable")
-                for s, e in _stretches(at[order], len(data), length):
-                    here = order[s:e]
-                    lo = max(0, int(at[here[0]]) - length)
-                    yield _eights(ids[k], data[lo:int(at[here[-1]]) + 2 * length], at[here], back[here], ahead[here], lo, len(data), ranks, length)
-
-    return rows.mapInArrow(run, "id long, at long, eighth long, low long, high long, c1 long, c2 long, h1 long, h2 long, bytes binary")
+def by_document(docs: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
+    """(id, text, places): the texts that ``places`` name, each with all its places (structs of ``columns``)."""
+    grouped = freeze(places.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("places")))
+    return C.only(docs, freeze(grouped.select("id"))).join(grouped, "id").select("id", "text", "places")
 
 
-def _stretches(at: np.ndarray, size: int, length: int):
-    """Ranges of sorted anchors that lie within ``SEGMENT`` bytes, 5,000 anchors at most."""
+def _stretches(at: np.ndarray):
+    """Ranges of sorted positions that lie within ``SEGMENT`` bytes, 5,000 of them at most."""
     s = 0
     while s < len(at):
         e = min(s + 5_000, int(np.searchsorted(at, at[s] + SEGMENT)))
@@ -152,71 +166,96 @@ def _stretches(at: np.ndarray, size: int, length: int):
         s = e
 
 
-def _eights(doc: int, data: np.ndarray, at: np.ndarray, back: np.ndarray, ahead: np.ndarray, base: int, size: int, ranks: Ranks,
-            length: int) -> pa.RecordBatch:
-    """Rows of eight for the anchors of one stretch, whose bytes ``data`` start at ``base`` of a text of ``size`` bytes."""
-    n = back // EIGHT - ahead // EIGHT + 1
-    row = np.repeat(np.arange(len(at)), n)
-    eighth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (ahead // EIGHT)[row]
-    a = at[row]
-    low, high = eighth * EIGHT + EIGHT - 1, eighth * EIGHT
-    ranks.of(data)
-    # relative to the anchor, so equal windows fall in equal eighths
-    c1, c2 = ranks.both(a - high - base, a - low + length - base)
-    start, end = np.maximum(0, a - low), np.minimum(size, a - high + length)
-    h1, h2 = ranks.both(start - base, end - base)
-    cut = (start > a - low) | (end < a - high + length)
-    raw = data.tobytes()
-    cols = [np.full(len(a), doc), a, eighth, np.minimum(low, a), np.maximum(high, a + length - size), c1, c2 + eighth]
-    return pa.RecordBatch.from_arrays(
-        [*(pa.array(c, pa.int64()) for c in cols), pa.array(h1, pa.int64(), mask=cut), pa.array(h2, pa.int64(), mask=cut),
-         pa.array([raw[x:y] for x, y in zip((start - base).tolist(), (end - base).tolist())], pa.binary())],
-        names=["id", "at", "eighth", "low", "high", "c1", "c2", "h1", "h2", "bytes"])
-
-
-def single_windows(rows: DataFrame, length: int) -> DataFrame:
-    """(id, at, r1, r2): every window of rows of eight, named by its two halves; ``at`` is now the window's start."""
+def _each_stretch(batches, length: int):
+    """(id, bytes, where they start in the text, size of the text, place columns) of every stretch of places of every text."""
+    for b in batches:
+        ids = b.column("id").to_numpy()
+        for k in range(b.num_rows):
+            data, _ = C.utf8(b.column("text").slice(k, 1))
+            cols = [x.to_numpy(zero_copy_only=False) for x in b.column("places")[k].values.flatten()]
+            order = np.argsort(cols[0], kind="stable")
+            for s, e in _stretches(cols[0][order]):
+                here = [c[order[s:e]] for c in cols]
+                base = max(0, int(here[0][0]) - length)
+                yield ids[k], data[base:int(here[0][-1]) + 2 * length], base, len(data), here
+
+
+def _expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and running number within the row of ``n`` entries for each row."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def eight_rows(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """``places`` (id, at, reach) as rows of eight windows: (id, at, eighth, low, high, c1, c2, h1, h2).
+
+    ``at`` is the anchor; windows start at at - low .. at - high. (c1, c2) names what all eight windows share;
+    (h1, h2) what they cover, null where the text's border cuts the eight.
+    """
+    names = ["id", "at", "eighth", "low", "high", "c1", "c2", "h1", "h2"]
+
+    def run(batches):
+        ranks = Ranks()
+        for doc, data, base, size, (at, reach) in _each_stretch(batches, length):
+            back, ahead = reach >> 16, reach & 0xFFFF
+            row, step = _expand(back // EIGHT - ahead // EIGHT + 1)
+            # relative to the anchor, so equal windows fall in equal eighths
+            eighth, a = step + (ahead // EIGHT)[row], at[row]
+            low, high = eighth * EIGHT + EIGHT - 1, eighth * EIGHT
+            ranks.of(data)
+            c1, c2 = ranks.both(a - high - base, a - low + length - base)
+            start, end = np.maximum(0, a - low), np.minimum(size, a - high + length)
+            h1, h2 = ranks.both(start - base, end - base)
+            cut = (start > a - low) | (end < a - high + length)
+            cols = [np.full(len(a), doc), a, eighth, np.minimum(low, a), np.maximum(high, a + length - size), c1, c2 + eighth]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(h1, pa.int64(), mask=cut),
+                                              pa.array(h2, pa.int64(), mask=cut)], names=names)
+
+    return by_document(docs, places, "at", "reach").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def single_windows(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(id, at, r1, r2): every window of rows of eight (id, at, low, high), named by its two halves; ``at`` is now the window's start."""
 
     def run(batches):
         ranks, half = Ranks(), length // 2
-        for b in batches:
-            ids, at, low, high = (b.column(c).to_numpy() for c in ("id", "at", "low", "high"))
-            data, off = C.utf8(b.column("bytes"))
-            for i, j in C.slabs(off):
-                ranks.of(data[off[i]:off[j]])
-                n = low[i:j] - high[i:j] + 1
-                row = np.repeat(np.arange(i, j), n)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                p = off[row] - off[i] + step
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[row]), pa.array(at[row] - low[row] + step), pa.array(ranks.half(p, p + half).view(np.int64)),
-                    pa.array(ranks.b.ranges(ranks.pb, p + half, p + length).view(np.int64))], names=["id", "at", "r1", "r2"])
+        for doc, data, base, _, (at, low, high) in _each_stretch(batches, length):
+            ranks.of(data)
+            row, step = _expand(low - high + 1)
+            p = np.unique(at[row] - low[row] + step)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(p), doc)), pa.array(p), pa.array(ranks.half(p - base, p - base + half).view(np.int64)),
+                pa.array(ranks.b.ranges(ranks.pb, p - base + half, p - base + length).view(np.int64))], names=["id", "at", "r1", "r2"])
 
-    return rows.select("id", "at", "low", "high", "bytes").mapInArrow(run, "id long, at long, r1 long, r2 long")
+    return by_document(docs, rows, "at", "low", "high").mapInArrow(run, "id long, at long, r1 long, r2 long")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, first, last): window starts whose ``length`` bytes start anywhere else too, as ranges, together all of them."""
-    seen = anchor_rows(docs, length, False).groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank")
-    live = freeze(anchor_rows(docs, length, True).join(seen, "rank"))
+    spark = docs.sparkSession
+    table = C.Scratch(spark)
+    passing = spark.sparkContext.broadcast(repeat_filter(docs, length))
+    live = table.put("live", anchor_rows(docs, length, passing))
+    passing.destroy()
     settled = live.join(repeated(live, "h1", "h2"), ["h1", "h2"], "left")
-    settled = freeze(settled.select("rank", "id", "at", "back", "ahead", "_first"))
-    full = settled.where("_first IS NOT NULL")
-    edge = settled.where("_first IS NULL")
-    holders = full.where(_is_first()).join(edge.select("rank").distinct(), "rank", "left_semi")
-    eights = freeze(neighbourhoods(docs, edge.unionByName(holders).select("id", "at", "back", "ahead"), length))
+    settled = table.put("settled", settled.select("rank", "id", "at", "reach", F.col("_first").isNotNull().alias("full"), _is_first().alias("holds")))
+    table.drop("live")
+    full, edge = settled.where("full"), settled.where("NOT full")
+    holders = full.where("holds").join(edge.select("rank").distinct(), "rank", "left_semi")
+    eights = table.put("eights", eight_rows(docs, edge.unionByName(holders).select("id", "at", "reach"), length))
     # c1, c2 belong to one rank and one eighth, whose windows hold the same anchor
     cores = eights.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
-    alive = eights.join(cores, ["c1", "c2"])
     again = repeated(eights.where("h1 IS NOT NULL"), "h1", "h2", "eighth")
-    tested = freeze(alive.join(again, ["h1", "h2", "eighth"], "left")
-                    .select("id", "at", "low", "high", F.when(F.col("_first").isNull() | _is_first(), F.col("bytes")).alias("bytes"),
-                            F.col("_first").isNotNull().alias("done")))
-    one = freeze(single_windows(tested.where("bytes IS NOT NULL"), length))
+    tested = eights.join(cores, ["c1", "c2"]).join(again, ["h1", "h2", "eighth"], "left")
+    tested = table.put("tested", tested.select("id", "at", "low", "high", F.col("_first").isNotNull().alias("done"),
+                                               (F.col("_first").isNull() | _is_first()).alias("open")))
+    table.drop("eights")
+    one = table.put("one", single_windows(docs, tested.where("open").select("id", "at", "low", "high"), length))
     last = one.join(repeated(one, "r1", "r2").select("r1", "r2"), ["r1", "r2"])
-    ranges = full.select("id", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("ahead")).alias("last"))
+    ranges = full.select("id", (F.col("at") - F.shiftright("reach", 16)).alias("first"), (F.col("at") - F.col("reach").bitwiseAND(0xFFFF)).alias("last"))
     ranges = ranges.unionAll(tested.where("done").select("id", F.col("at") - F.col("low"), F.col("at") - F.col("high")))
-    return ranges.unionAll(last.select("id", "at", "at"))
+    ranges = table.put("ranges", ranges.unionAll(last.select("id", "at", "at")))
+    table.drop("settled", "tested", "one")
+    return ranges
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -228,8 +267,9 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id the least text counts: such rows are one document. ``length`` is even.
     """
     docs = C.unique_texts(df, id_col, text_col)
-    ranges = (repeated_windows(docs, length).select("id", F.shiftleft("first", 32).bitwiseOR(F.col("last")).alias("r"))
-              .groupBy("id").agg(F.collect_list("r").alias("ranges")))
+    ranges = freeze(repeated_windows(docs, length).select("id", F.shiftleft("first", 32).bitwiseOR(F.col("last")).alias("r"))
+                    .groupBy("id").agg(F.collect_list("r").alias("ranges")))
+    touched = freeze(ranges.select("id"))
 
     def run(batches):
         for b in batches:
@@ -254,6 +294,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items())],
                                                  names=["id", *out])
 
-    rows = docs.join(ranges, "id", "left").select("id", "text", "ranges").mapInArrow(
+    # only texts that lose bytes are shuffled to their ranges
+    whole = C.only(docs, touched, "left_anti").withColumn("ranges", F.lit(None).cast("array<long>"))
+    rows = C.only(docs, touched).join(ranges, "id").select("id", "text", "ranges").unionByName(whole).mapInArrow(
         run, "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     return rows.withColumnRenamed("id", id_col)
