@@ -127,13 +127,18 @@ MAX_REFRESH_S = 6 * 3600
 
 
 def due_sources(catalog: DataFrame, last: DataFrame, now: str) -> DataFrame:
-    """Which sources need a refresh: explicit poll, staggered backfill, frequency gate."""
-    j = catalog.join(last, "source_id", "left").withColumn(
-        "age_s", F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds("last_seen"))
+    """Which sources need a refresh: explicit poll, staggered backfill, frequency gate.
+
+    ``last`` has source_id, last_seen and perhaps last_attempt; a source with a
+    poll period counts from the later of the two.
+    """
+    since = lambda c: F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(c)
+    j = catalog.join(last, "source_id", "left").withColumn("age_s", since("last_seen"))
+    tried = F.least("age_s", since("last_attempt")) if "last_attempt" in last.columns else F.col("age_s")
     j = j.withColumn("poll_s", F.expr(T.duration_seconds("poll"))).withColumn("period_s", F.expr(T.duration_seconds("frequency")))
     stagger = F.lit(MIN_REFRESH_S) + (F.crc32("source_id") % 4) * 900
     fast = F.col("period_s").isNull() | (F.col("period_s") <= MIN_REFRESH_S)
-    due = (F.when(F.col("age_s").isNull(), True).when(F.col("poll_s") > 0, F.col("age_s") >= F.col("poll_s"))
+    due = (F.when(F.col("poll_s") > 0, F.coalesce(tried >= F.col("poll_s"), F.lit(True))).when(F.col("age_s").isNull(), True)
            .when(fast & (F.col("window_days") >= 1), F.col("age_s") >= stagger).when(fast, True)
            .otherwise(F.col("age_s") >= F.least("period_s", F.lit(MAX_REFRESH_S))))
     return j.withColumn("due", due)

@@ -67,10 +67,14 @@ def silence_check(spark, sf):
     return O.silence(full_catalog(spark, sf), stored(spark, sf), TODAY).select("source_id", "days", "status")
 
 
-@query("due_sources", "O5")
+@query("due_sources", "O5", f"""WITH {CAT_SQL}, {_OBS_SQL}, l AS (SELECT source_id, max(d) d FROM ob GROUP BY 1), a AS (SELECT cat.source_id, seq, CAST(epoch(TIMESTAMP '{NOW}') - epoch(CAST(d AS TIMESTAMP)) AS BIGINT) age, frequency LIKE 'P%' AND frequency NOT LIKE 'PT%' slow, CASE WHEN seq % 2 = 0 THEN 7200 END tried FROM cat LEFT JOIN l USING (source_id))
+SELECT source_id, CASE WHEN seq % 9 = 0 THEN coalesce(least(age, tried) >= 21600, true) WHEN age IS NULL THEN true WHEN slow THEN age >= 21600 WHEN seq % 5 >= 1 THEN age >= 3600 ELSE true END due, {R('age')} age_s FROM a""")
 def due_sources(spark, sf):
-    last = stored(spark, sf).groupBy("source_id").agg(F.max(F.to_timestamp("scrape_date")).alias("last_seen"))
-    d = O.due_sources(full_catalog(spark, sf).where("NOT disabled"), last, NOW)
+    """Feeds last seen long ago; of those with a poll period of six hours, every other one was tried two hours ago."""
+    seen = stored(spark, sf).groupBy("source_id").agg(F.max(F.to_timestamp("scrape_date")).alias("last_seen"))
+    live = full_catalog(spark, sf).where("NOT disabled")
+    last = live.select("source_id", F.expr(f"CASE WHEN seq % 2 = 0 THEN TIMESTAMP'{NOW}' - INTERVAL 2 HOURS END").alias("last_attempt")).join(seen, "source_id", "left")
+    d = O.due_sources(live, last, NOW)
     return d.select("source_id", "due", rnd(F.col("age_s")).alias("age_s"))
 
 
