@@ -111,7 +111,8 @@ FILTER_BITS = 29  # 64 MB at most
 
 
 def may_repeat(bits: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    at = (rank >> np.uint64(64 - (len(bits).bit_length() + 2))).astype(np.int64)
+    # an anchor has the least hash of its window, so its high bits say little; the low ones are even
+    at = (rank & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
@@ -124,12 +125,11 @@ def repeat_filter(docs: DataFrame, length: int) -> np.ndarray:
     k = min(FILTER_BITS, max(18, (16 * seen.count()).bit_length()))
 
     def block(key, rows):
-        at = rows.column("rank").to_numpy().view(np.uint64) >> np.uint64(64 - k)
         b = np.zeros(1 << 15, np.uint8)
-        b[(at & np.uint64((1 << 15) - 1)).astype(np.int64)] = 1
+        b[rows.column("rank").to_numpy() & ((1 << 15) - 1)] = 1
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(b).tobytes()], pa.binary())})
 
-    got = (seen.withColumn("block", F.shiftrightunsigned("rank", 64 - k + 15)).groupBy("block")
+    got = (seen.withColumn("block", F.shiftright(F.col("rank").bitwiseAND((1 << k) - 1), 15)).groupBy("block")
            .applyInArrow(block, "block long, bits binary").collect())
     out = np.zeros(1 << (k - 3), np.uint8)
     for r in got:
