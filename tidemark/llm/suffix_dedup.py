@@ -84,7 +84,7 @@ def anchor_rows(docs: DataFrame, length: int, live=None) -> DataFrame:
         for b in batches:
             data, off = C.utf8(b.column("text"))
             ids = b.column("id").to_numpy()
-            for lo, hi in C.slabs(off):
+            for lo, hi in C.slabs(off, 1 << 19):
                 out = [[] for _ in range(6)]
                 for k in range(lo, hi):
                     for s, e in _segments(int(off[k + 1] - off[k]), length):
