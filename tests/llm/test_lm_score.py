@@ -75,3 +75,35 @@ def test_order_matters_and_odd_rows(spark):
     assert len(got) == 355 and np.mean([mean[k] for k in range(50)]) > np.mean([mean[1000 + k] for k in range(50)]) + 0.5
     assert mean[900] is None and mean[901] is None and mean[902] < 0
     assert L.scores(df.limit(0), L.fit(df.limit(0).selectExpr("doc_id AS id", "text"))).collect() == []
+
+
+def test_every_word_has_its_own_probability(spark):
+    rng = random.Random(3)
+    names = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(names, weights=[1 / (k + 5) for k in range(3000)], k=80)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (7, texts[7]), (500, None), (501, " ")], "doc_id long, text string")
+    counts = L.word_counts(df)
+    n = {r.name: r.n for r in counts.collect()}
+    model = L.fit(df.selectExpr("doc_id AS id", "text"), counts=counts)
+    enc = L.Encoder(model[0], model[1])
+    name = lambda words: next(enc.words(L.pa.array([" ".join(words)])))[2]
+    size = np.zeros(L.VOCABULARY)
+    for w, k in n.items():
+        size[enc.encode(np.array([w], np.int64).view(np.uint64))] += k
+    got, base = ({(r.doc_id, r.n_tokens): r for r in f.collect()} for f in (L.word_scores(df, model, counts), L.scores(df, model)))
+    assert got.keys() == base.keys() and L.word_scores(df, model, counts).count() == 404 and got[500, 0].mean_log_likelihood is None
+    for k in (0, 7, 100):
+        w = name(texts[k].split())
+        ids = enc.encode(w)
+        own = sum(np.log(n[int(x)] / (size[i] + 1)) for x, i in zip(w.view(np.int64), ids) if i >= L.COMMON)
+        assert own < 0 and abs(got[k, 80].log_likelihood - base[k, 80].log_likelihood - own) < 1e-6
+    # the words of one id share its probability, and a word never seen gets less than any of them
+    bucket = {}
+    for w in n:
+        i = int(enc.encode(np.array([w], np.int64).view(np.uint64))[0])
+        bucket.setdefault(i, []).append(n[w] / (size[i] + 1))
+    assert all(abs(sum(v) - size[i] / (size[i] + 1)) < 1e-9 for i, v in bucket.items() if i >= L.COMMON)
+    real = next(x for x in names if (i := int(enc.encode(name([x]))[0])) >= L.COMMON and n.get(int(name([x]).view(np.int64)[0]), 0) > 3)
+    fake = next(f"zq{k}" for k in range(9999) if enc.encode(name([f"zq{k}"]))[0] == enc.encode(name([real]))[0])
+    two = {r.doc_id: r.log_likelihood for r in L.word_scores(spark.createDataFrame([(1, real), (2, fake)], df.schema), model, counts).collect()}
+    assert two[1] > two[2] + 1

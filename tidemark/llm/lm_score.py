@@ -2,8 +2,11 @@
 
 Each word is predicted from the two words before and the two after it: their
 embeddings feed one hidden layer, whose output gives the probability of the
-word's class and of the word within its class. The sum of the conditional log
-probabilities of all words scores a document. Vocabulary and network come from
+word's class and of the word within its class. Words below the network's
+vocabulary share hash ids there; such a word has its id's probability times its
+own share of the id's words, from a table of the counts of all words of the
+corpus. The sum of the conditional log probabilities of all words scores a
+document. Vocabulary and network come from
 the whole corpus: every task trains on its own documents in numpy, Spark
 averages the networks by words seen, and rounds over disjoint halves of the
 documents together pass every document once.
@@ -16,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import common as C
+from tidemark.session import freeze
 
 COMMON, RARE, CLASS = 768, 256, 32  # words with an id of their own, hash ids of all others, ids in a class
 VOCABULARY = COMMON + RARE
@@ -143,8 +147,8 @@ class Network:
             self.flat += RATE * g / (np.sqrt(squares) + 1e-6)
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted names and ids of the most frequent words of all texts, and the count of every id."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(name, n) of every word of all texts."""
 
     def run(batches):
         enc = Encoder(np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -153,7 +157,12 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 u, c = np.unique(names, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["name", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted names and ids of the most frequent words of all texts, and the count of every id."""
+    counts = word_counts(docs) if counts is None else counts
     rare = F.lit(COMMON) + F.expr(f"pmod(pmod(name, {RARE}), {RARE})")
     top = counts.orderBy(F.desc("n"), "name").limit(COMMON).collect()
     size = np.zeros(VOCABULARY)
@@ -168,10 +177,10 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names[order], order.astype(np.int64), size
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, ids, network weights) from all rows of ``docs`` (id, text)."""
-    names, ids, counts = vocabulary(docs)
-    flat = Network.start(counts).flat
+def fit(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, ids, network weights) from all rows of ``docs`` (id, text); ``counts`` are its word_counts, if they are there already."""
+    names, ids, sizes = vocabulary(docs, counts)
+    flat = Network.start(sizes).flat
     spark = docs.sparkSession.sparkContext
     for r in range(rounds):
         shared = spark.broadcast((names, ids, flat))
@@ -204,7 +213,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray,
 
 
 def scores(df: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: (id, n_tokens, log_likelihood, mean_log_likelihood, pseudo_perplexity) over the whole text.
+    """One row per row: (id, n_tokens, log_likelihood, mean_log_likelihood, pseudo_perplexity) over the whole text, by the network's ids.
 
     A null text, and one without words, has no tokens: sum 0, mean and
     perplexity null. Null ids and repeated rows are scored like any other.
@@ -224,6 +233,69 @@ def scores(df: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_c
                 count[i:i + rows] = np.bincount(row, minlength=rows)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(count), pa.array(total)], names=["id", "n_tokens", "log_likelihood"])
 
+    return _means(docs.mapInArrow(run, "id long, n_tokens long, log_likelihood double").withColumnRenamed("id", id_col))
+
+
+def _means(df: DataFrame) -> DataFrame:
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return (docs.mapInArrow(run, "id long, n_tokens long, log_likelihood double").withColumnRenamed("id", id_col)
-            .withColumn("mean_log_likelihood", mean).withColumn("pseudo_perplexity", F.exp(-mean)))
+    return df.withColumn("mean_log_likelihood", mean).withColumn("pseudo_perplexity", F.exp(-mean))
+
+
+def word_shares(counts: DataFrame, common: np.ndarray) -> tuple[DataFrame, dict[int, float]]:
+    """(name, share) of every word outside ``common``: log of its share of its hash id; and the log share of an unseen word, by id.
+
+    Of the words of an id, one more than were counted stands for all that were not.
+    """
+    shares = counts.sparkSession.createDataFrame([(int(n),) for n in common.view(np.int64)], "name long")
+    rare = counts.join(F.broadcast(shares), "name", "left_anti").withColumn("id", F.expr(f"pmod(name, {RARE})"))
+    sizes = {r.id: r.n for r in rare.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    unseen = {k: -float(np.log(sizes.get(k, 0) + 1)) for k in range(RARE)}
+    total = F.element_at(F.array(*(F.lit(unseen[k]) for k in range(RARE))), (F.col("id") + 1).cast("int"))
+    return rare.select("name", (F.log("n") + total).alias("share")), unseen
+
+
+def word_scores(df: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], counts: DataFrame, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``scores`` with a probability of its own for every word: that of its id times its share of the id's words in ``counts`` (name, n).
+
+    Each row's distinct words below the network's vocabulary meet the counts by
+    name; no such name holds more than one in ``COMMON`` of the words, so no key
+    is hot. Columns and null rules are those of ``scores``.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    shared, scratch = df.sparkSession.sparkContext.broadcast(model), C.Scratch(df.sparkSession)
+
+    def run(batches):
+        names, ids, flat = shared.value
+        enc, net = Encoder(names, ids), Network(flat.copy())
+        for b in batches:
+            total, count, held = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows + 1, np.int64)
+            rare, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for i, rows, words, row in enc.words(b.column("text")):
+                ctx, y = contexts(enc.encode(words), row, rows)
+                lp = np.concatenate([net.log_probabilities(ctx[s:s + BATCH], y[s:s + BATCH]) for s in range(0, len(y), BATCH)] or [np.zeros(0)])
+                total[i:i + rows] = np.bincount(row, weights=lp, minlength=rows)
+                count[i:i + rows] = np.bincount(row, minlength=rows)
+                below = y >= COMMON
+                w, r = words[below], row[below]
+                order = np.lexsort((w, r))
+                w, r = w[order], r[order]
+                first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])][:len(w)])
+                rare.append(w[first].view(np.int64))
+                times.append(np.diff(np.r_[first, len(w)]).astype(np.int32))
+                held[i + 1:i + rows + 1] = np.bincount(r[first], minlength=rows)
+            at = pa.array(np.cumsum(held), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array(count), pa.array(total), pa.ListArray.from_arrays(at, pa.array(np.concatenate(rare))),
+                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(times)))], names=["id", "n_tokens", "log_likelihood", "names", "times"])
+
+    rated = docs.mapInArrow(run, "id long, n_tokens long, log_likelihood double, names array<long>, times array<int>")
+    rated = scratch.put("lm_words", rated.withColumn("row", F.monotonically_increasing_id()))
+    shares, unseen = word_shares(counts, model[0])
+    none = F.element_at(F.array(*(F.lit(unseen[k]) for k in range(RARE))), F.expr(f"CAST(pmod(name, {RARE}) + 1 AS INT)"))
+    words = rated.select("row", F.explode(F.arrays_zip("names", "times")).alias("w")).select("row", F.col("w.names").alias("name"), F.col("w.times").alias("times"))
+    own = words.join(shares, "name", "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce("share", none)).alias("own"))
+    out = freeze(rated.select("row", "id", "n_tokens", "log_likelihood").join(own, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", (F.col("log_likelihood") + F.coalesce("own", F.lit(0.0))).alias("log_likelihood")))
+    scratch.drop("lm_words")
+    return _means(out)

@@ -14,6 +14,7 @@ from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
 from tidemark.registry import QueryFn
+from tidemark.session import freeze
 
 QUERIES: dict[str, QueryFn] = {}
 SQL: dict[str, str] = {}
@@ -89,4 +90,5 @@ def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op1_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
-    return lm_score.scores(docs, lm_score.fit(docs.select(F.col("doc_id").alias("id"), "text")))
+    counts = freeze(lm_score.word_counts(docs))
+    return lm_score.word_scores(docs, lm_score.fit(docs.select(F.col("doc_id").alias("id"), "text"), counts=counts), counts)
