@@ -47,3 +47,27 @@ def test_odd_rows_and_redaction(spark):
     assert not any(r.is_secret for r in S.scan(df.where("doc_id < 40"), S.learn(df, labelled=labelled)).collect() if r.start == 32)
     empty = S.learn(df.limit(0))
     assert S.scan(df.limit(0), empty).collect() == [] and not any(r.is_secret for r in S.scan(df, empty).collect())
+
+
+def test_short_values_and_all_words(spark):
+    rng = random.Random(4)
+    mixed = lambda n: "".join(rng.choice("abcdefghkmnp23456789") for _ in range(n - 2)) + "x7"
+    forms = ['password = "{}" then', "api_key={} then", "DB_PASSWORD: '{}' then", "pwd => {} then"]
+    rows = [(k, "some plain words before " + forms[k % 4].format(mixed(8 + k % 9)), "src/a") for k in range(120)]
+    rows += [(200 + k, "see https://example.org/averylongpathofwords/andmorewords or extraordinarilylongword", "src/b") for k in range(120)]
+    short = {500: ("some plain words before password = \"", "hunter2X9", "\""), 501: ("some plain words before api_key=", "a1b2c3d4e5", " then"),
+             502: ("some plain words before password = \"", "p4.s!w0@r7#d$k2%~", "\" then"), 503: ("some plain words before key: ", "x", " then")}
+    rows += [(k, "".join(v), "src/a") for k, v in short.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    model = S.learn(df)
+    got = {(r.doc_id, r.start, r.end): r.is_secret for r in S.scan(df, model).collect()}
+    assert all((k, len(a), len(a) + len(v)) in got for k, (a, v, _) in short.items())
+    assert all(got[k, len(a), len(a) + len(v)] for k, (a, v, _) in short.items() if k < 503)
+    clean = {r.doc_id: r.text for r in S.redact(df, model).collect()}
+    assert all(clean[k] == a + S.MARK + z for k, (a, _, z) in short.items() if k < 503) and clean[200] == rows[120][1]
+    # a value around a run: both are candidates, and one mark stands for them
+    assert S.spans("token = 'abcdefghijklmnop!234'") == [(9, 25), (9, 29)] and S._merged([(9, 25), (9, 29), (40, 41)]) == [(9, 29), (40, 41)]
+    # transitions count every word, not those of the dictionary alone
+    words = spark.createDataFrame([("abcd", 3), ("zzzz", 1), ("être", 2)], "word string, docs long")
+    moves = S.transitions(words)
+    assert moves.sum() == 3 * 6 and moves[0, 1] == 3 and moves[25, 25] == 3 and moves[27, 19] == 2

@@ -1,9 +1,11 @@
 """Operator 5: secret scan with a random forest that removes false positives.
 
-Long runs of key-like characters in whole texts are candidates. A forest judges
+Long runs of key-like characters in whole texts are candidates, and so is every
+value assigned to a credential name, whatever its length and characters. A forest judges
 each by its length, how usual its character transitions are, how much of it
-dictionary words cover, the path it comes from and the words around it. The
-dictionary and the transitions come from the words of all texts; the forest is
+dictionary words cover, the path it comes from and the words around it. The dictionary
+holds the words that most texts hold; the transitions are counted over all
+words of all texts. The forest is
 trained here on labelled findings, given by the caller or marked by two narrow
 rules.
 """
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-from tidemark.llm import common as C
+from tidemark.session import freeze
 
 DICTIONARY = 20_000
 SAMPLE = 4000
@@ -28,13 +30,32 @@ CREDENTIAL = "token secret password passwd pwd apikey api_key access_key secret_
 #: fixed values: parts of a path that hold samples
 SAMPLE_PATH = "test example sample fixture doc mock demo"
 FEATURES = ("length", "transition", "coverage", "digits", "uppercase", "switches", "distinct", "sample_path", "path_depth",
-            "credential_before", "assigned", "quoted", "address", "words_before", "words_after")
+            "credential_before", "assigned", "quoted", "address", "words_before", "words_after", "symbols")
 MARK = "[SECRET]"
 RUN = "[A-Za-z0-9_+/-]{16,}={0,2}"
+#: a credential name, also as the end of a longer name, and the value assigned to it: quoted, or up to white space
+ASSIGNED = (r"(?i:" + "|".join(sorted(CREDENTIAL.split(), key=len, reverse=True)) + r")[\"'`]?[ \t]*(?::=|=>|=|:(?!//))[ \t]*"
+            r"(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s\"'`,;]+))")
 
 
-def dictionary(texts: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
-    """The ``size`` words of four letters or more that most texts hold, with their numbers of texts, over all rows."""
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of every candidate, in order: long runs and values of credentials; both where they differ."""
+    found = {m.span() for m in re.finditer(RUN, text)}
+    return sorted(found | {m.span(m.lastindex) for m in re.finditer(ASSIGNED, text)})
+
+
+def _merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(hits):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def word_table(texts: DataFrame) -> DataFrame:
+    """(word, docs) of every word of four letters or more with its number of texts, over all rows."""
 
     def run(batches):
         find, seen = re.compile(r"[^\W\d_]{4,24}").findall, Counter()
@@ -51,8 +72,32 @@ def dictionary(texts: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]
                     seen.clear()
         yield flush()
 
-    top = texts.mapInArrow(run, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
-    return [(r.word, r.docs) for r in top.orderBy(F.desc("docs"), "word").limit(size).collect()]
+    return texts.mapInArrow(run, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+
+
+def dictionary(words: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
+    """The ``size`` words of the table that most texts hold, with their numbers of texts."""
+    return [(r.word, r.docs) for r in words.orderBy(F.desc("docs"), "word").limit(size).collect()]
+
+
+def transitions(words: DataFrame) -> np.ndarray:
+    """(28, 28) counts of the transitions between kinds within all words of the table, each as often as texts hold it."""
+
+    def run(batches):
+        count = np.zeros(28 * 28, np.int64)
+        for b in batches:
+            w, n = b.column("word").to_pylist(), b.column("docs").to_numpy()
+            each = [x.lower().encode("latin-1", "replace") for x in w]
+            k, word = kinds("".join(x.decode("latin-1") for x in each)), np.repeat(np.arange(len(w)), [len(x) for x in each])
+            same = np.flatnonzero(word[1:] == word[:-1])
+            np.add.at(count, k[same] * 28 + k[same + 1], n[word[same]])
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["at", "n"])
+
+    out = np.zeros(28 * 28)
+    for r in words.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r.at] = r.n
+    return out.reshape(28, 28)
 
 
 def kinds(s: str) -> np.ndarray:
@@ -64,12 +109,9 @@ def kinds(s: str) -> np.ndarray:
 class Context:
     """What features need from the corpus: words and the log probability of each character transition."""
 
-    def __init__(self, words: list[tuple[str, int]]):
-        self.words = {w for w, _ in words}
-        count = np.full((28, 28), 0.5)
-        for w, n in words:
-            k = kinds(w)
-            np.add.at(count, (k[:-1], k[1:]), n)
+    def __init__(self, words: list[tuple[str, int]], moves: np.ndarray):
+        self.words, self.names = {w for w, _ in words}, set(CREDENTIAL.split())
+        count = moves + 0.5
         self.log = np.log(count / count.sum(axis=1, keepdims=True))
 
     def coverage(self, s: str) -> float:
@@ -92,20 +134,24 @@ class Context:
         words_before = re.findall(r"[^\W\d]+", before.lower())
         words_after = re.findall(r"[^\W\d]+", after.lower())
         known = lambda ws: sum(w in self.words for w in ws) / max(1, len(ws))
-        names = set(CREDENTIAL.split())
-        return [float(len(s)), float(self.log[k[:-1], k[1:]].mean()), self.coverage(s), float(digit.mean()), float(upper.mean()),
-                float((digit[1:] != digit[:-1]).mean()), len(set(s)) / len(s), float(any(p in path for p in SAMPLE_PATH.split())),
-                float(path.count("/")), float(any(w in names for w in words_before[-2:])), float(bool(re.search(r"[=:]\s*[\"']?$", before))),
+        run = re.sub(r"[A-Za-z0-9_+/=-]", "", s)
+        moves = self.log[k[:-1], k[1:]]
+        return [float(len(s)), float(moves.mean()) if len(moves) else 0.0, self.coverage(s), float(digit.mean()), float(upper.mean()),
+                float((digit[1:] != digit[:-1]).mean()) if len(s) > 1 else 0.0, len(set(s)) / len(s), float(any(p in path for p in SAMPLE_PATH.split())),
+                float(path.count("/")), float(any(w in self.names or any(w.endswith("_" + x) for x in self.names) for w in words_before[-2:])), float(bool(re.search(r"[=:]\s*[\"']?$", before))),
                 float(bool(re.search(r"[\"'`]$", before))), float(bool(re.search(r"(://|www\.|@|[/.])\S*$", before))),
-                known(words_before), known(words_after)]
+                known(words_before), known(words_after), len(run) / len(s)]
 
 
 def rule_label(f: list[float]) -> int | None:
     """Narrow rules that label a finding: a mixed value assigned to a credential name is a secret; a run without
-    digits, one of digits alone, or part of an address is not; None where neither holds."""
+    digits, one of digits alone, or part of an address is not; None where neither holds. A credential's value with
+    symbols but no digits stays unlabelled."""
     v = dict(zip(FEATURES, f))
     if v["assigned"] and v["credential_before"] and 0.05 < v["digits"] < 0.95 and v["switches"] > 0.1:
         return 1
+    if v["assigned"] and v["credential_before"] and v["symbols"]:
+        return None
     if v["digits"] in (0.0, 1.0) or v["address"]:
         return 0
     return None
@@ -175,13 +221,13 @@ def candidates(docs: DataFrame, context) -> DataFrame:
     """
 
     def run(batches):
-        find, c = re.compile(RUN).finditer, context.value
+        c = context.value
         for b in batches:
             out = []
             for i, t, p in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("path").to_pylist()):
-                for m in find(t or ""):
-                    f = c.features(t, m.start(), m.end(), p)
-                    out.append((i, m.start(), m.end(), rule_label(f), f))
+                for start, end in spans(t or ""):
+                    f = c.features(t, start, end, p)
+                    out.append((i, start, end, rule_label(f), f))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
                                               pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.float64()))],
@@ -209,7 +255,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_co
           labelled: DataFrame | None = None) -> tuple[Context, Forest]:
     """Corpus context and forest. ``labelled`` (id, start, label), if given, labels the findings at these places instead of the rules."""
     docs = _documents(df, id_col, text_col, path_col)
-    context = Context(dictionary(docs.select("text")))
+    words = freeze(word_table(docs.select("text")))
+    context = Context(dictionary(words), transitions(words))
     found = candidates(docs, df.sparkSession.sparkContext.broadcast(context))
     if labelled is not None:
         found = found.drop("label").join(labelled.select("id", "start", "label"), ["id", "start"])
@@ -252,17 +299,16 @@ def redact(df: DataFrame, model: tuple[Context, Forest], text_col: str = "text",
     at, path = names.index(text_col), path_col if path_col in names else None
 
     def run(batches):
-        find, c, forest_ = re.compile(RUN).finditer, context.value, forest.value
+        c, forest_ = context.value, forest.value
         for b in batches:
             texts = b.column(at).to_pylist()
             paths = b.column(names.index(path)).to_pylist() if path else [None] * len(texts)
             for k, (t, p) in enumerate(zip(texts, paths)):
-                spans = [m.span() for m in find(t or "")]
-                if spans:
-                    hit = forest_.probability(np.array([c.features(t, s, e, p and str(p)) for s, e in spans])) >= threshold
-                    for (s, e), h in zip(reversed(spans), reversed(hit)):
-                        if h:
-                            t = t[:s] + mark + t[e:]
+                found = spans(t or "")
+                if found:
+                    hit = forest_.probability(np.array([c.features(t, s, e, p and str(p)) for s, e in found])) >= threshold
+                    for s, e in reversed(_merged([x for x, h in zip(found, hit) if h])):
+                        t = t[:s] + mark + t[e:]
                     texts[k] = t
             columns = list(b.columns)
             columns[at] = pa.array(texts, pa.string())
