@@ -7,7 +7,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chunk_dedup, language, lm_score, secret_scan, suffix_dedup, toxicity
+from tidemark.llm import chunk_dedup, language, lm_score, secret_scan, sentencepieces, suffix_dedup, toxicity
 from tidemark.llm.common import fold, load
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.fingerprints import edited_fingerprints
@@ -92,3 +92,13 @@ def op1_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
     counts = freeze(lm_score.word_counts(docs))
     return lm_score.word_scores(docs, lm_score.fit(docs.select(F.col("doc_id").alias("id"), "text"), counts=counts), counts)
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepieces.encode(load(spark, sf, "documents"), path, ["doc_id"])
+    digests = ["doc_id", F.size("ids").cast("long").alias("n_tokens"),
+               F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")]
+    got = sentencepieces.decode(coded, path, [*digests])
+    return got.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
