@@ -7,7 +7,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chunk_dedup, language, lm_score, secret_scan, sentencepieces, suffix_dedup, toxicity
+from tidemark.llm import alignment, chunk_dedup, conversations, language, lm_score, secret_scan, sentencepieces, suffix_dedup, toxicity
 from tidemark.llm.common import fold, load
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.fingerprints import edited_fingerprints
@@ -102,3 +102,15 @@ def op13_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
                F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")]
     got = sentencepieces.decode(coded, path, [*digests])
     return got.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "conversations")
+    return conversations.repair_report(conversations.damaged(rows), rows)
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(load(spark, sf, "documents"), a, b, ["doc_id"])[0]
