@@ -306,7 +306,7 @@ def choices(pieces: DataFrame, costs: DataFrame) -> DataFrame:
     c = costs.select(F.col("piece").alias("p"), "cost", "is_first", "is_last")
     rows = pieces.select("conv_id", "piece", "turn", "role", "digest", "symbols", "lengths").join(c, F.col("piece") == F.col("p"))
     rows = rows.select("conv_id", "turn", "role", "digest", "symbols", "lengths", "cost", "is_first", "is_last")
-    spec = StructType(rows.schema.fields[:4]).add("edits", "array<string>").add("exits", "array<int>")
+    spec = StructType(rows.schema.fields[:4] + StructType.fromDDL("edits array<string>, exits array<int>").fields)
 
     def run(batches):
         powers, known = Powers(), {}
