@@ -4,8 +4,8 @@ A text is normalised first: at every position the longest prefix that the
 model's compiled character map holds is replaced, any other character passes,
 and each normalised byte remembers the source byte it stands for. The
 normalised text falls into units (a run of word marks and what follows it up to
-the next mark); no piece crosses a unit, so the merges of a unit are made once
-a task and kept. Piece ends, cumulated over the text, go through the alignment
+the next mark); no piece crosses a unit, so the library merges each unit once a
+task, with its own normalisation off. Piece ends, cumulated over the text, go through the alignment
 back to byte spans of the original text.
 """
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model format
 BPE = 2
 REPLACEMENT = "�"
 UNKNOWN_SURFACE = " ⁇ "  # fixed: what the format decodes the unknown piece to
-KEPT_UNITS = 1 << 18
+KEPT_UNITS = 1 << 19
 
 
 class CharacterMap:
@@ -67,7 +66,7 @@ class Pieces:
     """
 
     def __init__(self, model: bytes):
-        from sentencepiece import sentencepiece_model_pb2
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
@@ -76,18 +75,20 @@ class Pieces:
         if (trainer.model_type != BPE or not trainer.byte_fallback or trainer.treat_whitespace_as_suffix
                 or not norm.escape_whitespaces or kinds - {NORMAL, UNKNOWN, CONTROL, BYTE}):
             raise ValueError("not a byte-pair model with byte fallback and leading word marks")
-        self.score = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
-        self.id = {p.piece: k for k, p in enumerate(proto.pieces) if p.type == NORMAL}
+        plain = {p.piece for p in proto.pieces if p.type == NORMAL}
+        self.words_apart = not any(MARK in p.lstrip(MARK) for p in plain) and MARK in plain
         self.byte = {int(p.piece[3:5], 16): k for k, p in enumerate(proto.pieces) if p.type == BYTE}
         self.dummy, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
         self.map = CharacterMap(norm.precompiled_charsmap) if norm.precompiled_charsmap else None
-        crossing = any(MARK in p.lstrip(MARK) for p in self.score) or MARK not in self.id
-        self.unit = re.compile(r"(?s).+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        self.unit = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.words_apart else r"(?s).+").findall
         self.surface = [p.piece.replace(MARK, " ").encode() if p.type == NORMAL else
                         bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else
                         UNKNOWN_SURFACE.encode() if p.type == UNKNOWN else b"" for p in proto.pieces]
         self.kind = [p.type for p in proto.pieces]
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.size = np.array([1 if p.type == BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        self.kept: dict[str, bytes] = {}
+        norm.precompiled_charsmap, norm.add_dummy_prefix, norm.remove_extra_whitespaces = b"", False, False
+        self.merge = SentencePieceProcessor(model_proto=proto.SerializeToString()).encode
 
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the source byte."""
@@ -137,59 +138,25 @@ class Pieces:
         align.append(at)
         return out.decode(), np.array(align, np.int32)
 
-    def merged(self, unit: str) -> tuple[bytes, bytes]:
-        """Ids and normalised byte lengths of a unit's pieces, both as int32: the best pair merges first, of equal ones the leftmost."""
-        part, score = list(unit), self.score
-        n = len(part)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for k in range(n - 1):
-            s = score.get(part[k] + part[k + 1])
-            if s is not None:
-                queue.append((-s, k, k + 1, len(part[k]) + len(part[k + 1])))
-        heapify(queue)
-        while queue:
-            _, a, b, size = heappop(queue)
-            if part[a] is None or part[b] is None or len(part[a]) + len(part[b]) != size or after[a] != b:
-                continue
-            part[a] += part[b]
-            part[b] = None
-            c = after[a] = after[b]
-            if c < n:
-                before[c] = a
-                s = score.get(part[a] + part[c])
-                if s is not None:
-                    heappush(queue, (-s, a, c, len(part[a]) + len(part[c])))
-            p = before[a]
-            if p >= 0:
-                s = score.get(part[p] + part[a])
-                if s is not None:
-                    heappush(queue, (-s, p, a, len(part[p]) + len(part[a])))
-        ids, sizes = [], []
-        for s in part:
-            if s is None:
-                continue
-            raw = s.encode()
-            if s in self.id:
-                ids.append(self.id[s])
-                sizes.append(len(raw))
-            else:
-                ids += [self.byte[x] for x in raw]
-                sizes += [1] * len(raw)
-        return np.array(ids, np.int32).tobytes(), np.array(sizes, np.int32).tobytes()
+    def merged(self, units: list[str]) -> list[bytes]:
+        """Ids of the pieces of normalised units, as int32; the library merges what is normalised already."""
+        return [np.array(ids, np.int32).tobytes() for ids in self.merge(units, num_threads=1)]
+
+    def learn(self, units: set[str]) -> None:
+        """Looks up units not yet kept, all at once."""
+        if len(self.kept) > KEPT_UNITS:
+            self.kept.clear()
+        new = [u for u in units if u not in self.kept]
+        self.kept.update(zip(new, self.merged(new)))
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, first byte and end byte of every piece in the original text."""
         norm, align = self.normalised(text)
-        kept, units = self.kept, self.unit(norm)
-        if len(kept) > KEPT_UNITS:
-            kept.clear()
-        for u in set(units).difference(kept):
-            kept[u] = self.merged(u)
-        got = [kept[u] for u in units]
-        ids = np.frombuffer(b"".join([x for x, _ in got]), np.int32)
+        units = self.unit(norm)
+        self.learn(set(units))
+        ids = np.frombuffer(b"".join(map(self.kept.__getitem__, units)), np.int32)
         ends = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(np.frombuffer(b"".join([y for _, y in got]), np.int32), out=ends[1:])
+        np.cumsum(self.size[ids], out=ends[1:])
         spans = align[ends]
         return ids, spans[:-1], spans[1:]
 
@@ -294,7 +261,8 @@ def decode(df: DataFrame, model_path: str, keep: list[Column | str], ids_col: st
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                text = [model.decode(x or ()) for x in part.column(len(names)).to_pylist()]
+                ids = part.column(len(names)).fill_null([])
+                text = [model.decode(r.values.to_numpy().tolist()) for r in ids]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(text, pa.string())], names=[*names, "decoded"])
 
     return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add("decoded", StringType()))
