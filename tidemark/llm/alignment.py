@@ -62,7 +62,7 @@ class Aligner:
             raise ValueError("not a byte-level tokenizer without normaliser and prefix space")
         self.a, self.b = Tokenizer.from_str(a_json), Pieces(b_model)
         self.a.encode_special_tokens = True
-        if self.b.map or self.b.squeeze or not self.b.dummy or any(re.search(r"\s", p) or MARK in p.lstrip(MARK) for p in self.b.score):
+        if self.b.map or self.b.squeeze or not self.b.dummy or not self.b.words_apart:
             raise ValueError("pieces join words, or texts are normalised")
         letters = byte_letters()
         self.a_bytes = {i: bytes(letters[c] for c in s) if all(c in letters for c in s) else s.encode() for s, i in self.a.get_vocab().items()}
@@ -81,11 +81,9 @@ class Aligner:
     def learn(self, chunks: set[str]) -> None:
         """Looks up chunks not yet known."""
         new = [c for c in chunks if c not in self.known]
-        for c, e in zip(new, self.a.encode_batch(new, add_special_tokens=False)):
+        for c, a, b in zip(new, self.a.encode_batch(new, add_special_tokens=False), self.b.merge([c.replace(" ", MARK) for c in new], num_threads=1)):
             self.known[c] = len(self.text)
-            norm = c.replace(" ", MARK)
-            b = np.frombuffer(b"".join([self.b.merged(u)[0] for u in self.b.unit(norm)]), np.int32).tolist()
-            self._add(c.encode(), e.ids, b)
+            self._add(c.encode(), a.ids, b)
 
     def _add(self, raw: bytes, a: list[int], b: list[int]) -> None:
         x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
