@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from tidemark.llm.sentencepieces import BYTE, MARK, NORMAL, Pieces
 from tidemark.session import freeze
 
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 13
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 400_000
 CHUNK = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+").findall  # each begins at a space that follows a non-white character, or at the start
 
 
@@ -92,26 +93,22 @@ class Aligner:
             self.text.append(b"")
             self.pairs.append(b"")
             return
-        groups, pairs, i, j, ea, eb = [], [], 0, 0, 0, 0
-        while i < len(a):
-            ga, gb = [a[i]], [b[j]]
+        ends_a, ends_b = list(accumulate(map(len, x))), list(accumulate(map(len, y)))
+        text, pairs, i, j, from_i, from_j, groups = [], array("q"), 0, 0, 0, 0, 0
+        while True:
             pairs.append(a[i] << 32 | b[j])
-            ea, eb = ea + len(x[i]), eb + len(y[j])
-            while ea != eb:
-                if ea < eb:
-                    i += 1
-                    ea += len(x[i])
-                    ga.append(a[i])
-                else:
-                    j += 1
-                    eb += len(y[j])
-                    gb.append(b[j])
-                pairs.append(a[i] << 32 | b[j])
-            groups.append(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}")
-            i, j = i + 1, j + 1
-        self.counts.extend((len(a), len(b), len(groups), len(pairs)))
-        self.text.append(";".join(groups).encode())
-        self.pairs.append(np.array(pairs, np.int64).tobytes())
+            d = ends_a[i] - ends_b[j]
+            i, j = i + (d <= 0), j + (d >= 0)
+            if d == 0:
+                groups += 1
+                text.append(f"{a[from_i]}|{b[from_j]}" if i == from_i + 1 and j == from_j + 1 else
+                            f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
+                if i == len(a):
+                    break
+                from_i, from_j = i, j
+        self.counts.extend((len(a), len(b), groups, len(pairs)))
+        self.text.append(";".join(text).encode())
+        self.pairs.append(pairs.tobytes())
 
 
 def packed_planes(doc: np.ndarray, times: np.ndarray, first: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
