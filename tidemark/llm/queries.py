@@ -28,7 +28,7 @@ def query(fn: QueryFn) -> QueryFn:
 @query
 def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     got = jaccard_components(load(spark, sf, "documents"))
-    return got.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "class_id", "links")
+    return got.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "class_id", "search_links")
 
 
 def _ids_crc32(ids: pd.Series) -> pd.Series:
@@ -71,8 +71,8 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents")
-    return secret_scan.scan(docs, secret_scan.learn(docs))
+    _, found = secret_scan.findings(load(spark, sf, "documents"))
+    return secret_scan.judged(found, secret_scan.train(found))
 
 
 @query

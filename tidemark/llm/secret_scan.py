@@ -76,8 +76,19 @@ def word_table(texts: DataFrame) -> DataFrame:
 
 
 def dictionary(words: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
-    """The ``size`` words of the table that most texts hold, with their numbers of texts."""
-    return [(r.word, r.docs) for r in words.orderBy(F.desc("docs"), "word").limit(size).collect()]
+    """The ``size`` words of the table that most texts hold, with their numbers of texts; of equal ones the first in order.
+
+    A histogram of counts (some hundred steps of an eighth of an octave) first says from which count on words can
+    be among them; those are sorted over all tasks and the first ``size`` rows read. No task sends its own ``size``.
+    """
+    step = F.floor(F.log2("docs") * 8).cast("int")
+    total, least = 0, 0
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        total, least = total + r["count"], r.step
+        if total >= size:
+            break
+    ahead = freeze(words.where(step >= least).sort(F.desc("docs"), "word"))
+    return [(r.word, r.docs) for r in ahead.limit(size).collect()]
 
 
 def transitions(words: DataFrame) -> np.ndarray:
@@ -251,13 +262,21 @@ def _documents(df: DataFrame, id_col: str, text_col: str, path_col: str | None)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
-          labelled: DataFrame | None = None) -> tuple[Context, Forest]:
-    """Corpus context and forest. ``labelled`` (id, start, label), if given, labels the findings at these places instead of the rules."""
+def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> tuple[Context, DataFrame]:
+    """Corpus context and the frozen candidates of all texts: two passes over the texts, however often they are used afterwards."""
     docs = _documents(df, id_col, text_col, path_col)
     words = freeze(word_table(docs.select("text")))
     context = Context(dictionary(words), transitions(words))
-    found = candidates(docs, df.sparkSession.sparkContext.broadcast(context))
+    return context, freeze(candidates(docs, df.sparkSession.sparkContext.broadcast(context)))
+
+
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
+          labelled: DataFrame | None = None) -> tuple[Context, Forest]:
+    """Corpus context and forest. ``labelled`` (id, start, label), if given, labels the findings at these places instead of the rules.
+
+    An empty table gives an empty context and a forest that says 0.
+    """
+    context, found = findings(df, id_col, text_col, path_col)
     if labelled is not None:
         found = found.drop("label").join(labelled.select("id", "start", "label"), ["id", "start"])
     return context, train(found)
@@ -272,9 +291,12 @@ def scan(df: DataFrame, model: tuple[Context, Forest], id_col: str = "doc_id", t
     labels every score is the share of secrets among the labelled ones, else 0.
     """
     docs = _documents(df, id_col, text_col, path_col)
-    spark = df.sparkSession.sparkContext
-    context, forest = spark.broadcast(model[0]), spark.broadcast(model[1])
-    found = candidates(docs, context)
+    return judged(candidates(docs, df.sparkSession.sparkContext.broadcast(model[0])), model[1], id_col, threshold)
+
+
+def judged(found: DataFrame, forest: Forest, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """Candidates with the forest's score, as ``scan`` returns them; a score at the threshold counts as a secret."""
+    forest = found.sparkSession.sparkContext.broadcast(forest)
 
     def judge(batches):
         for b in batches:
