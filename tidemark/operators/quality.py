@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark import dims
@@ -47,27 +43,6 @@ def assess_series(bins: DataFrame, keys: list[str], ts: str, value: str, min_len
     return j.withColumn("failures", F.expr(fails)).withColumn("ok", F.size("failures") == 0).drop("ss", "lo", "hi")
 
 
-def spectral_diagnostics(windows: DataFrame, key: str, values: str) -> DataFrame:
-    """Spectral flatness of each served window (Arrow batches; the window length is bounded)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for x in b[values]:
-                x = np.asarray(x, float)
-                x = x[np.isfinite(x)]
-                if x.size < 8:
-                    out.append(np.nan)
-                    continue
-                t = np.arange(x.size)
-                y = (x - np.polyval(np.polyfit(t, x, 1), t)) * np.hanning(x.size)
-                power = (np.abs(np.fft.rfft(y)) ** 2 + 1e-20)[1:]
-                out.append(float(np.exp(np.log(power).mean()) / power.mean()))
-            yield pd.DataFrame({key: b[key], "flatness": out})
-
-    return windows.select(key, values).mapInPandas(run, f"{key} string, flatness double")
-
-
 def predictability(lags: tuple[int, ...] = (1, 2, 3, *dims.SEASONAL_PERIODS)) -> str:
     """Largest |autocorrelation| of a context over the fixed lag set (columns of with_context_stats)."""
     arr = ", ".join(str(p) for p in lags)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark import dims
+from tidemark.operators.bounded import running_total
+from tidemark.operators.spectrum import entropy_rows
+from tidemark.session import freeze
 
 LAPLACE = 1e-6
 DIVERGENCE_STEPS = 20
@@ -134,22 +137,90 @@ def largest_exponent(points: DataFrame, key: str, steps: int = DIVERGENCE_STEPS,
     return curve.groupBy(key).agg((F.regr_slope("y", "h") / per_time).alias("exponent"))
 
 
-FEATURES = ("acf1", "flat_spots", "skew")
+FEATURES = ("acf1", "arch_lm", "spec_entropy", "kpss", "flat_spots", "skew")
 MIN_POINTS = 30
+ARCH_LAGS = 12
+
+
+def lag_sums(points: DataFrame, lags: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
+    """(keys, _lag, _s): sums of value[i] * value[i + lag] for lag = 1 … ``_lags`` of ``lags`` (keys, _lags); a series and a lag have one row if any pair."""
+    a = points.select(*keys, F.col(index).alias("_i"), F.col(value).alias("_a")).join(lags, keys)
+    a = a.select(*keys, "_a", F.col("_i"), F.explode(F.sequence(F.lit(1), F.greatest(F.col("_lags"), F.lit(1)).cast("int"))).alias("_lag")).withColumn("_i", F.col("_i") + F.col("_lag"))
+    b = points.select(*keys, F.col(index).alias("_i"), F.col(value).alias("_b"))
+    return a.join(b, [*keys, "_i"]).groupBy(*keys, "_lag").agg(F.sum(F.col("_a") * F.col("_b")).alias("_s"))
+
+
+def stationarity(points: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
+    """(keys, kpss): squared partial sums of a centred series over its long-run variance, lags chosen from its autocovariances.
+
+    ``index`` numbers a series from 0. Partial sums run over range pieces, lagged
+    sums are joins, so a series need not lie in one task.
+    """
+    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(value) * F.col(value)).alias("_s2"))
+    few = n.select(*keys, F.floor(F.pow("_n", F.lit(2 / 9))).cast("int").alias("_lags"))
+    half = lag_sums(points, few, keys, index, value).join(n, keys).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.first("_s2").alias("_s2"), F.sum(F.col("_s") / (F.col("_n") / 2)).alias("_c0"), F.sum(F.col("_lag") * F.col("_s") / (F.col("_n") / 2)).alias("_c1"))
+    ratio = F.col("_c1") / (F.col("_s2") / F.col("_n") + F.col("_c0"))
+    auto = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1 / 3)) * F.pow("_n", F.lit(1 / 3)))
+    lags = freeze(half.select(*keys, "_n", "_s2", F.least(F.coalesce(auto, F.lit(0)), F.col("_n") - 1).cast("int").alias("_lags")))
+    long = lag_sums(points, lags.select(*keys, "_lags"), keys, index, value).join(lags.select(*keys, "_lags"), keys)
+    long = long.where("_lag <= _lags").groupBy(*keys).agg(F.sum(2 * F.col("_s") * (1 - F.col("_lag") / (F.col("_lags") + 1))).alias("_more"))
+    part = running_total(points.select(*keys, index, value), keys, index, value, "_sum").groupBy(*keys).agg(F.sum(F.col("_sum") * F.col("_sum")).alias("_eta"))
+    j = lags.join(part, keys).join(long, keys, "left")
+    spread = (F.col("_s2") + F.coalesce("_more", F.lit(0.0))) / F.col("_n")
+    return j.select(*keys, (F.col("_eta") / F.col("_n") / F.col("_n") / spread).alias("kpss"))
+
+
+def eliminated(matrix: str, columns: str) -> str:
+    """SQL of a symmetric matrix (array of rows) after elimination of its first ``columns`` columns.
+
+    What is left in a later diagonal place is the sum of squared residuals of
+    that column regressed on those. A column that depends on earlier ones is passed over.
+    """
+    row = "if(r_ <= p_, row_, zip_with(row_, m_[p_], (x_, y_) -> x_ - row_[p_] / m_[p_][p_] * y_))"
+    step = f"if(m_[p_][p_] <= 1e-10D * d_[p_][p_], m_, transform(m_, (row_, r_) -> {row}))"
+    return f"transform(array({matrix}), d_ -> aggregate(sequence(0, {columns} - 1), d_, (m_, p_) -> {step}))[0]"
+
+
+def arch(points: DataFrame, keys: list[str], index: str, value: str, lags: int = ARCH_LAGS) -> DataFrame:
+    """(keys, arch_lm): R^2 of the squares of a standardised series regressed on their ``lags`` predecessors, a quarter of the series at most.
+
+    One pass sums the products of all pairs of columns before the shuffle; the small matrix is then solved within its row.
+    """
+    w = Window.partitionBy(*keys).orderBy(index)
+    sized = points.join(points.groupBy(*keys).agg(F.least(F.lit(lags), F.expr("count(1) div 4")).cast("int").alias("_m")), keys)
+    y = sized.withColumn("_y", F.col(value) * F.col(value) - 1)
+    cols = [F.when(F.col("_m") >= k, F.lag("_y", k).over(w)).otherwise(0.0).alias(f"_c{k}") for k in range(1, lags + 1)]
+    x = y.select(*keys, index, "_m", F.lit(1.0).alias("_c0"), *cols, F.col("_y").alias(f"_c{lags + 1}")).where((F.col(index) >= F.col("_m")) & (F.col("_m") > 0))
+    size = lags + 2
+    sums = [F.sum(F.col(f"_c{a}") * F.col(f"_c{b}")).alias(f"g{a}_{b}") for a in range(size) for b in range(a, size)]
+    matrix = F.array(*[F.array(*[F.col(f"g{min(a, b)}_{max(a, b)}") for b in range(size)]) for a in range(size)])
+    m = x.groupBy(*keys).agg(*sums).select(*keys, matrix.alias("_g"))
+    end = size - 1
+    total = f"(_g[{end}][{end}] - _g[0][{end}] * _g[0][{end}] / _g[0][0])"
+    fit = m.select(*keys, F.expr(total).alias("_t"), F.expr(f"{eliminated('_g', str(end))}[{end}][{end}]").alias("_r"))
+    fit = fit.select(*keys, F.when(F.col("_t") > 1e-12, 1 - F.col("_r") / F.col("_t")).otherwise(0.0).alias("arch_lm"))
+    return points.select(*keys).distinct().join(fit, keys, "left").select(*keys, F.coalesce("arch_lm", F.lit(0.0)).alias("arch_lm"))
 
 
 def feature_table(points: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Lag-1 autocorrelation, longest constant stretch and skewness of each series of clock bins or bounded windows.
+    """Six features of each series of clock bins or bounded windows.
 
+    Lag-1 autocorrelation, dependence of squares on earlier squares, spectral
+    entropy, stationarity statistic, longest constant stretch and skewness.
     Series under ``MIN_POINTS`` points or without variation give no row.
     """
     w, whole = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
     z = points.where(F.col(value).isNotNull()).withColumn("_z", F.col(value) - F.avg(value).over(whole))
-    z = z.withColumns({"_next": F.lead("_z").over(w), "_new": (F.lag(value).over(w) != F.col(value)).cast("int")})
-    z = z.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    z = z.withColumns({"_next": F.lead("_z").over(w), "_new": (F.lag(value).over(w) != F.col(value)).cast("int"), "_i": F.row_number().over(w) - 1})
+    z = freeze(z.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).select(key, "_i", "_z", "_next", "_run"))
     sums = z.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_z") * F.col("_z")).alias("s2"), F.avg(F.col("_z") * F.col("_z") * F.col("_z")).alias("m3"),
                               F.sum(F.col("_z") * F.col("_next")).alias("s1"))
     flat = z.groupBy(key, "_run").agg(F.count(F.lit(1)).alias("_len")).groupBy(key).agg(F.max("_len").alias("flat"))
-    j = sums.join(flat, key).where((F.col("n") >= MIN_POINTS) & (F.col("s2") > 0))
-    return j.select(key, (F.col("s1") / F.col("s2")).alias("acf1"), (F.col("flat") / F.col("n")).alias("flat_spots"),
+    j = freeze(sums.join(flat, key).where((F.col("n") >= MIN_POINTS) & (F.col("s2") > 0)))
+    x = freeze(z.join(j.select(key, F.sqrt(F.col("s2") / F.col("n")).alias("_sd")), key).select(key, "_i", (F.col("_z") / F.col("_sd")).alias("_x")))
+    more = [arch(x, [key], "_i", "_x"), entropy_rows(x, [key], "_i", "_x"), stationarity(x, [key], "_i", "_x")]
+    for f in more:
+        j = j.join(f, key)
+    return j.select(key, (F.col("s1") / F.col("s2")).alias("acf1"), "arch_lm", "spec_entropy", "kpss", (F.col("flat") / F.col("n")).alias("flat_spots"),
                     (F.col("m3") / F.pow(F.col("s2") / F.col("n"), F.lit(1.5))).alias("skew"))
