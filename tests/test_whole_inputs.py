@@ -2,6 +2,9 @@
 
 import unicodedata
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import functions as F
 from tidemark.functions import text as X, timeparse as T
 from tidemark.operators import novelty as N, series as Q
@@ -28,7 +31,7 @@ def test_tables_survive_a_restart_and_a_retried_batch(spark, tmp_path):
     row = lambda k, day, v: spark.sql(f"SELECT '{k}' k, TIMESTAMP'2024-01-{day:02d}' ts, {v}L v")
 
     def merge():
-        t = J.VersionedTable(spark, str(tmp_path / "t"), schema)
+        t = J.KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], fold=2)
         return t, J.upsert_latest(t, ["k"], "ts")
 
     merge()[1](row("a", 1, 1), 0)
@@ -53,3 +56,38 @@ def test_files_of_one_name_in_two_folders_are_two(spark, tmp_path):
         next((tmp_path / d).glob("part-*")).rename(tmp_path / d / "day.parquet")
     got = {r.key for r in L.file_listing(spark, str(tmp_path), "day.parquet").collect()}
     assert got == {"a/day.parquet", "b/day.parquet"}
+
+
+def test_versions_hold_only_changed_keys(spark, tmp_path):
+    t = J.KeyedTable(spark, str(tmp_path / "t"), "k int, ts int, v string", ["k"], fold=3)
+    merge = J.upsert_latest(t, ["k"], "ts")
+    merge(spark.createDataFrame([(k, 0, "old") for k in range(500)], "k int, ts int, v string"), 0)
+    want = {k: (0, "old") for k in range(500)}
+    for e in range(1, 9):
+        rows = [(e, e, f"new{e}"), (e + 1, -1, "late"), (600 + e, e, "added")]
+        merge(spark.createDataFrame(rows, "k int, ts int, v string"), e)
+        for k, ts, v in rows:
+            if k not in want or ts > want[k][0]:
+                want[k] = (ts, v)
+        assert spark.read.parquet(f"{t.root}/v={e}").count() == 3
+        assert {r.k: (r.ts, r.v) for r in t.read().collect()} == want
+    assert len(t._parts(None)[1]) < 3  # folded on the way
+
+
+def test_levels_equal_a_plain_fold_over_batches_and_buckets(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    t0 = pd.Timestamp("2024-01-01")
+    rows = [("hot", t0 + pd.Timedelta(seconds=int(s)), float(v)) for s, v in zip(np.sort(rng.choice(40_000, 3000, replace=False)), rng.normal(size=3000))]
+    rows += [("cold", t0 + pd.Timedelta(seconds=17), 4.0)]
+    rows = sorted(rows, key=lambda r: r[1])
+    table = J.KeyedTable(spark, str(tmp_path / "levels"), "k string, level double, n long", ["k"])
+    fold = J.ewma_levels(table, "k", "ts", "v", 0.3, bucket_seconds=600)
+    for e, cut in enumerate(np.array_split(np.arange(len(rows)), 4)):
+        batch = spark.createDataFrame(pd.DataFrame([rows[i] for i in cut], columns=["k", "ts", "v"]))
+        fold(batch, e)
+        fold(batch, e)  # a batch tried again counts once
+    want = {}
+    for k, _, v in rows:
+        want[k] = (v, 1) if k not in want else (0.3 * v + 0.7 * want[k][0], want[k][1] + 1)
+    got = {r.k: (r.level, r.n) for r in table.read().collect()}
+    assert set(got) == set(want) and all(got[k][1] == n and abs(got[k][0] - x) < 1e-9 for k, (x, n) in want.items())

@@ -66,7 +66,7 @@ def stream_upsert(spark, sf):
     """Later reports win per (user, type); rows dated past the horizon never enter."""
     e = events(spark, sf)
     s = arrivals(spark, e)
-    t = J.VersionedTable(spark, scratch_path(spark, "latest"), "user_id long, event_type string, ts timestamp, value double")
+    t = J.KeyedTable(spark, scratch_path(spark, "latest"), "user_id long, event_type string, ts timestamp, value double", ["user_id", "event_type"])
     J.drain_batches(s, J.upsert_latest(t, ["user_id", "event_type"], "ts", "2024-01-28 00:00:00"), scratch_path(spark, "ck"))
     return t.read().select("user_id", "event_type", F.unix_micros("ts").alias("last_us"), "value")
 
@@ -88,7 +88,7 @@ def stream_novelty(spark, sf):
     """Two arrivals of vectors: each is admitted against everything served so far."""
     v = unit_vectors(spark, sf).withColumn("ts", F.expr("if(vec_id % 2 = 0, TIMESTAMP'2024-01-01', TIMESTAMP'2024-01-02')"))
     s = arrivals(spark, v, splits=("2024-01-02",))
-    t = J.VersionedTable(spark, scratch_path(spark, "served"), "vec_id long, vec array<double>")
+    t = J.KeyedTable(spark, scratch_path(spark, "served"), "vec_id long, vec array<double>", ["vec_id"])
     J.drain_batches(s, J.served_memory(t, "vec_id", "vec", EMB_DIM, NEAR), scratch_path(spark, "ck"))
     return t.read().select("vec_id")
 
@@ -97,11 +97,9 @@ def stream_novelty(spark, sf):
 def stream_ewma(spark, sf):
     e = events(spark, sf).select("event_type", "ts", "value")
     s = arrivals(spark, e)
-    out = scratch_path(spark, "levels")
-    J.drain_batches(J.ewma_levels(s, "event_type", "ts", "value"), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/b{i}"), scratch_path(spark, "ck"), "update")
-    got = spark.read.option("recursiveFileLookup", True).parquet(out)
-    last = got.groupBy("event_type").agg(F.max_by(F.struct("level", "n"), "n").alias("r"))
-    return last.select("event_type", F.col("r.n").alias("n"), rnd(F.col("r.level")).alias("level"))
+    t = J.KeyedTable(spark, scratch_path(spark, "levels"), "event_type string, level double, n long", ["event_type"])
+    J.drain_batches(s, J.ewma_levels(t, "event_type", "ts", "value"), scratch_path(spark, "ck"))
+    return t.read().select("event_type", "n", rnd(F.col("level")).alias("level"))
 
 
 @query("stream_silence", "Z7 O1", """SELECT user_id, CAST(epoch_us(max(ts)) // 1000 AS BIGINT) last_ms FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
@@ -119,6 +117,6 @@ def stream_ledger(spark, sf):
     p = events(spark, sf).selectExpr("ts", "event_id AS seq", "concat(event_type, '|', user_id % 20) AS key", "concat('u', user_id) AS name", "event_type AS domain",
                                      "'PT1H' AS frequency", "if(event_type = 'error' AND event_id % 5 = 0, 'reject', 'accept') AS verdict")
     s = arrivals(spark, p)
-    t = J.VersionedTable(spark, scratch_path(spark, "ledger"), "key string, name string, domain string, frequency string, status string, first_proposed string, times_proposed long")
-    J.drain_batches(s, lambda b, i: t.write(C.ledger_upsert(t.read(i), b, f"batch-{i}"), i), scratch_path(spark, "ck"))
+    t = J.KeyedTable(spark, scratch_path(spark, "ledger"), "key string, name string, domain string, frequency string, status string, first_proposed string, times_proposed long", ["key"])
+    J.drain_batches(s, lambda b, i: t.write(C.ledger_upsert(t.rows_of(b, i), b, f"batch-{i}"), i), scratch_path(spark, "ck"))
     return t.read().select("key", "name", "times_proposed", "status")

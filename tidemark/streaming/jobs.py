@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -79,16 +79,53 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
 
 
-def upsert_latest(table: VersionedTable, keys: list[str], order: str, horizon: str | None = None) -> Callable[[DataFrame, int], None]:
+class KeyedTable(VersionedTable):
+    """A durable table of one row per key; a version holds only the keys that its batch changed.
+
+    What is written follows the batch and not the table. A read takes each
+    key's newest row from the last whole table and the versions after it; after
+    every ``fold`` versions they are folded into a new whole table.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str], fold: int = 16) -> None:
+        super().__init__(spark, root, schema)
+        self.keys, self.fold = keys, fold
+        self.whole = VersionedTable(spark, f"{root}-whole", schema)
+
+    def _parts(self, below: int | None) -> tuple[int, list[int]]:
+        bases = [v for v in self.whole._versions() if below is None or v < below]
+        base = bases[-1] if bases else -1
+        return base, [v for v in self._versions() if v > base and (below is None or v < below)]
+
+    def read(self, below: int | None = None) -> DataFrame:
+        base, parts = self._parts(below)
+        rows = self.whole.read(base + 1).withColumn("_v", F.lit(base).cast("long"))
+        for v in parts:
+            rows = rows.unionByName(self.spark.read.schema(self.schema).parquet(f"{self.root}/v={v}").withColumn("_v", F.lit(v).cast("long")))
+        cols = [c for c in rows.columns if c not in [*self.keys, "_v"]]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*cols), "_v").alias("_r")).select(*self.keys, "_r.*")
+
+    def rows_of(self, batch: DataFrame, below: int) -> DataFrame:
+        """The present rows of the keys in ``batch``."""
+        return self.read(below).join(batch.select(*self.keys).distinct(), self.keys, "left_semi")
+
+    def write(self, df: DataFrame, version: int) -> None:
+        """The changed rows of a batch; a batch tried again rewrites its version."""
+        super().write(df, version)
+        if len(self._parts(version + 1)[1]) >= self.fold:
+            self.whole.write(self.read(version + 1), version)
+
+
+def upsert_latest(table: KeyedTable, keys: list[str], order: str, horizon: str | None = None) -> Callable[[DataFrame, int], None]:
     """Last-write-wins merge of each batch; rows planned past the horizon never enter.
 
-    A retried batch rewrites the same version, so a lost executor or driver does
-    not apply it twice.
+    Only the keys of the batch are written. A retried batch rewrites the same
+    version, so a lost executor or driver does not apply it twice.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = batch if horizon is None else batch.where(F.col(order) <= F.lit(horizon).cast("timestamp"))
-        old = table.read(epoch)
+        old = table.rows_of(rows, epoch)
         cols = [c for c in old.columns if c not in keys]
         both = old.unionByName(rows.select(*keys, *cols))
         best = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(*keys, "_r.*")
@@ -97,37 +134,50 @@ def upsert_latest(table: VersionedTable, keys: list[str], order: str, horizon: s
     return merge
 
 
-def served_memory(table: VersionedTable, id_: str, vec: str, dim: int, threshold: float) -> Callable[[DataFrame, int], None]:
+def served_memory(table: KeyedTable, id_: str, vec: str, dim: int, threshold: float) -> Callable[[DataFrame, int], None]:
     """Admit only vectors unlike anything ever served, and remember the admitted ones."""
     from tidemark.operators.novelty import admit_batch
 
     def admit(batch: DataFrame, epoch: int) -> None:
         seen = table.read(epoch)
         fresh = batch.select(id_, vec).join(admit_batch(batch.select(id_, vec), seen, id_, vec, dim, threshold).select(id_), id_, "left_semi")
-        table.write(seen.unionByName(fresh.select(*seen.columns)), epoch)
+        table.write(fresh.select(*seen.columns), epoch)
 
     return admit
 
 
-def ewma_levels(df: DataFrame, key: str, ts: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """Running exponential level per series; the state is one number.
+def level_maps(rows: DataFrame, key: str, ts: str, value: str, alpha: float, bucket_seconds: int) -> DataFrame:
+    """(key, n, first, gain): what the rows of a batch do to a running exponential level.
 
-    Rows of one trigger are ordered inside their series; the trigger's file limit
-    bounds how many there are.
+    A row is the affine map level -> alpha * value + (1 - alpha) * level, so n
+    rows in order are level -> gain + (1 - alpha)^n * level. Rows are combined
+    within (key, clock bucket), where each weighs by how many follow it there;
+    then the few bucket maps of a key in order of their buckets. No task meets
+    a key's rows of a whole trigger.
     """
+    later = Window.partitionBy(key, "_b").orderBy(F.col(ts).desc(), F.col(value).desc())
+    r = rows.withColumn("_b", F.floor(F.unix_micros(ts) / (bucket_seconds * 1_000_000))).withColumn("_k", F.row_number().over(later) - 1)
+    weight = alpha * F.pow(F.lit(1 - alpha), F.col("_k"))
+    bucket = r.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("n"), F.sum(weight * F.col(value)).alias("gain"), F.min_by(value, F.struct(ts, value)).alias("first"))
+    behind = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    bucket = bucket.withColumn("_after", F.coalesce(F.sum("n").over(behind), F.lit(0)))
+    return bucket.groupBy(key).agg(F.sum("n").alias("n"), F.min_by("first", "_b").alias("first"), F.sum(F.col("gain") * F.pow(F.lit(1 - alpha), F.col("_after"))).alias("gain"))
 
-    def fold(k, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values(ts)
-        level, n = state.get if state.exists else (None, 0)
-        for v in rows[value]:
-            level = float(v) if level is None else alpha * float(v) + (1 - alpha) * level
-        n += len(rows)
-        state.update((level, n))
-        yield pd.DataFrame({key: [k[0]], "level": [level], "n": [n]})
 
-    kind = dict(df.dtypes)[key]
-    return df.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, level double, n long", "level double, n long", "update",
-                                                  GroupStateTimeout.NoTimeout)
+def ewma_levels(table: KeyedTable, key: str, ts: str, value: str, alpha: float = 0.3, bucket_seconds: int = 60) -> Callable[[DataFrame, int], None]:
+    """Running exponential level per series over batches in time order; ``table`` holds (key, level double, n long).
+
+    A series' first value is its first level. Rows of one instant go by value.
+    """
+
+    def fold(batch: DataFrame, epoch: int) -> None:
+        maps = level_maps(batch.where(F.col(value).isNotNull()), key, ts, value, alpha, bucket_seconds)
+        old = table.read(epoch).select(key, "level", F.col("n").alias("_n"))
+        new = maps.join(old, key, "left")
+        level = F.col("gain") + F.pow(F.lit(1 - alpha), F.col("n")) * F.coalesce("level", "first")
+        table.write(new.select(key, level.alias("level"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), epoch)
+
+    return fold
 
 
 def silence_alerts(df: DataFrame, key: str, ts: str, limit_ms: int, delay: str) -> DataFrame:
