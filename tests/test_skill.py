@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import dims
+from tidemark.functions import tails
 from tidemark.operators import forecast as M, scoring as S, significance as E
 
 FIELDS = ("challenge_id string, draw int, source_id string, series_key string, domain string, dgp_class string, cadence string, "
@@ -39,7 +40,7 @@ def test_column_models_on_known_series(spark):
 def test_backtest_takes_the_best_candidate_and_defaults_when_short(spark):
     line = [float(k) for k in range(120)]
     rows = [("up", 0, "s", "a", "d", "k", "daily", "P1D", 120, 12, 0.5, line, line[:12]), ("short", 0, "s", "b", "d", "k", "daily", "P1D", 20, 12, 0.5, line[:20], line[:12])]
-    got = dict(M.backtest_choices(spark.createDataFrame(rows, FIELDS)).collect())
+    got = dict(M.backtest_choices(M.panel_rows(spark.createDataFrame(rows, FIELDS))).collect())
     assert got["short"] == "hw_ar" and got["up"] in ("decomp", "drift")
 
 
@@ -85,6 +86,29 @@ def test_wilcoxon_statistic_with_ties_and_zeros(spark):
     assert r["win_rate"] == pytest.approx((d < 0).mean())
 
 
+def test_exact_tails_of_few_blocks(spark):
+    """All sign patterns counted; Student's t against its integral and a table value."""
+    import itertools
+
+    for d, alternative in (([-1.0, -2.0, -3.0, -4.0, 5.0], "two-sided"), ([-1.0, -2.0, -3.0, -4.0, -5.0], "less"), ([3.0, -1.5, 2.5, 0.5, -4.0, 6.0, 7.0], "less")):
+        s = score_rows(spark, d, [0.0] * len(d))
+        r = E.paired_test(E.pairs_against(s, "crps", "challenge_id", None), alternative).where("model_a = 'a' AND model_b = 'b'").first()
+        ranks = np.argsort(np.argsort(np.abs(d))) + 1
+        plus = ranks[np.array(d) > 0].sum()
+        sums = [np.dot(p, ranks) for p in itertools.product((0, 1), repeat=len(d))]
+        low, high = np.mean(np.array(sums) <= plus), np.mean(np.array(sums) >= plus)
+        assert r["wilcoxon_p"] == pytest.approx(low if alternative == "less" else min(1, 2 * min(low, high)), abs=1e-12)
+    got = spark.createDataFrame([(2.7764451051977987, 4), (12.706204736432095, 1), (0.3, 7), (-1.2, 30), (5.0, 9), (0.0, 3), (1.0, 5000), (1.96, 10**7)], "t double, v int")
+    rows = got.selectExpr("t", "v", f"{tails.t_two_sided('t', 'v')} p", f"{tails.t_less('t', 'v')} q").collect()
+    assert [rows[0].p, rows[1].p] == pytest.approx([0.05, 0.05], abs=1e-9) and rows[5].p == 1.0 and rows[7].p == pytest.approx(0.0499958, abs=1e-6)
+    for r in rows[2:5]:
+        x = np.linspace(abs(r.t), 400, 4_000_001)
+        y = (1 + x * x / r.v) ** (-(r.v + 1) / 2)
+        whole = np.linspace(-400, 400, 4_000_001)
+        area = np.trapezoid((1 + whole * whole / r.v) ** (-(r.v + 1) / 2), whole)
+        assert r.p == pytest.approx(2 * np.trapezoid(y, x) / area, abs=1e-6) and r.q == pytest.approx(r.p / 2 if r.t <= 0 else 1 - r.p / 2)
+
+
 def test_holm_and_bh(spark):
     p = [0.01, 0.04, 0.03, 0.5]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i int, p double")

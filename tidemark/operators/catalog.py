@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import dims
 from tidemark.functions import text as X, timeparse as T
+from tidemark.session import freeze
 
 
 def live(catalog: DataFrame) -> DataFrame:
@@ -212,3 +213,19 @@ def wiring_decision(items: DataFrame, existing: DataFrame, gate: DataFrame) -> D
                         .when(~F.col("domain").isin(*dims.DOMAINS), "bad-domain")
                         .when(F.coalesce(F.col("_twin") < F.col("seq"), F.lit(False)), "duplicate")
                         .when(F.col("gate") == "pass", "wire").otherwise("verify-fail")).drop("_dup_id", "_dup_lane", "_twin")
+
+
+def pool_mix(sources: DataFrame, cell: list[str], source: str, series: str) -> tuple[DataFrame, DataFrame]:
+    """Expected mix and totals of a pool.
+
+    ``sources`` has one row per live source with its number of eligible series
+    (null: none). The mix has a row per cell with eligible series: their number
+    and the share of draws it gets when all such cells weigh alike. The totals are one row.
+    """
+    s = freeze(sources.select(*cell, source, series))
+    cells = s.where(F.col(series).isNotNull()).groupBy(*cell).agg(F.sum(series).alias("cell_series"))
+    totals = s.agg(F.count(source).alias("live_sources"), F.count(series).alias("eligible_sources"), F.count_if(F.col(series).isNull()).alias("ineligible_sources"),
+                   F.coalesce(F.sum(series), F.lit(0)).alias("eligible_series"))
+    totals = totals.join(cells.agg(F.count(F.lit(1)).alias("cells")))  # two single rows
+    mix = cells.join(F.broadcast(totals.select("cells"))).select(*cell, "cell_series", (1 / F.col("cells")).alias("draw_share"))
+    return mix, totals

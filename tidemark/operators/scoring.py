@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import dims
+from tidemark.functions.hashing import uniform
 from tidemark.functions import arrays as A
 
 NQ = len(dims.DECILES)
@@ -154,3 +155,17 @@ def leaderboard(scores: DataFrame, primary: str = "mase", eps: float = dims.EPS)
     # one row per model: the ordering window is over the model list only
     return board.select("model", *finish_metrics(), "mase_rel", "crps_rel").withColumn(
         "rank", F.row_number().over(Window.orderBy(F.round(f"{primary}_rel", 9), "model")))
+
+
+def bootstrap_totals(rows: DataFrame, group: str, unit: str, sums: list[str], seed: str, boots: int) -> DataFrame:
+    """(group, boot, sums): resampled totals, every row counted a hash-drawn Poisson(1) number of times in each of ``boots`` samples.
+
+    The number depends on (seed, boot, unit) alone, so groups that share units
+    are resampled alike. Rows meet their samples within their task and are summed
+    there: what is shuffled is one row per group, sample and task.
+    """
+    steps = (0.3678794411714423, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+    u = uniform(seed, F.col("boot"), F.col(unit))
+    times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
+    drawn = rows.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(boots - 1)))).withColumn("_t", times).where("_t > 0")
+    return drawn.groupBy(group, "boot").agg(*[F.sum(F.col("_t") * F.col(c)).alias(c) for c in sums])

@@ -9,6 +9,7 @@ from tidemark.operators.bounded import exact_percentiles, value_ranks
 from tidemark.session import freeze
 
 PAIR = ["model_a", "model_b"]
+EXACT_RANKS = 50
 
 
 def pairs_against(scores: DataFrame, metric: str, block: str, baseline: str | None) -> DataFrame:
@@ -29,7 +30,11 @@ def pairs_against(scores: DataFrame, metric: str, block: str, baseline: str | No
 
 
 def paired_test(pairs: DataFrame, alternative: str = "two-sided") -> DataFrame:
-    """Wilcoxon signed-rank (normal tail, tie-corrected) and paired t per model pair."""
+    """Wilcoxon signed-rank and paired t per model pair.
+
+    Up to ``EXACT_RANKS`` blocks without ties and zero differences the rank sum
+    has its exact distribution, else the tie-corrected normal one.
+    """
     base = pairs.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"),
         F.avg((F.col("d") < 0).cast("double")).alias("win_rate"),
@@ -47,17 +52,16 @@ def paired_test(pairs: DataFrame, alternative: str = "two-sided") -> DataFrame:
     t = "(mean_diff / (sd / sqrt(n)))"
     df = df.withColumn("z", F.expr(f"CASE WHEN m >= 1 THEN {z} END")).withColumn(
         "t_stat", F.expr(f"CASE WHEN n >= 2 AND sd > 0 THEN {t} END"))
-    df = df.withColumn("tz", F.expr(tails.t_to_z("t_stat", "(n-1)")))
     if alternative == "less":
-        wp, tp = tails.normal_sf("(-z)"), tails.normal_sf("(-tz)")
-        stat = "w_plus"
+        wp, exact, tp, stat = tails.normal_sf("(-z)"), tails.signed_rank_cdf("w_plus", "m"), tails.t_less("t_stat", "(n-1)"), "w_plus"
     else:
-        wp, tp = tails.normal_two_sided("z"), tails.normal_two_sided("tz")
         stat = "least(w_plus, w_minus)"
+        wp, exact, tp = tails.normal_two_sided("z"), f"least(1D, 2D * {tails.signed_rank_cdf(stat, 'm')})", tails.t_two_sided("t_stat", "(n-1)")
+    small = f"m <= {EXACT_RANKS} AND m = n AND tie_term = 0"
     return df.select(
         *PAIR, "n", "median_diff", "mean_diff", "win_rate", F.expr(stat).alias("wilcoxon_stat"),
-        F.expr(f"CASE WHEN z IS NULL THEN 1.0D ELSE {wp} END").alias("wilcoxon_p"), "t_stat",
-        F.expr(f"CASE WHEN tz IS NULL THEN 1.0D ELSE {tp} END").alias("t_p"))
+        F.expr(f"CASE WHEN z IS NULL THEN 1.0D WHEN {small} THEN {exact} ELSE {wp} END").alias("wilcoxon_p"), "t_stat",
+        F.expr(f"CASE WHEN t_stat IS NULL THEN 1.0D ELSE {tp} END").alias("t_p"))
 
 
 def holm(df: DataFrame, p: str, out: str) -> DataFrame:

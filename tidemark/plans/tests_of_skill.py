@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window, functions as F
 
 from tidemark import dims
 from tidemark.functions import tails
-from tidemark.functions.hashing import uniform, uniform_sql
+from tidemark.functions.hashing import uniform_sql
 from tidemark.operators import scoring as S, significance as E
-from tidemark.operators.bounded import exact_percentiles, running_total
+from tidemark.operators.bounded import exact_percentiles
 from tidemark.plans.board import (METRICS, SCORE_SQL, metrics_sql, score_table, sel_metrics, sel_metrics_sql)
 from tidemark.plans.views import R, rnd
 from tidemark.registry import query
@@ -17,8 +19,17 @@ from tidemark.session import freeze
 
 def paired_sql(frm: str, alternative: str, blk: str = "challenge_id") -> str:
     """CTEs mk/res over a relation ``frm(model_a, model_b, <block>, xa, xb)``."""
-    wp, tp, stat = ((tails.normal_sf("(-z)"), tails.normal_sf("(-tz)"), "w_plus") if alternative == "less" else
-                    (tails.normal_two_sided("z"), tails.normal_two_sided("tz"), "least(w_plus, w_minus)"))
+    less = alternative == "less"
+    stat = "w_plus" if less else "least(w_plus, w_minus)"
+    wp = tails.normal_sf("(-z)") if less else tails.normal_two_sided("z")
+    # the exact rank sum by inversion of its characteristic function, Student's t by its finite series: not the forms of the operator
+    half, turns = "m*(m+1)/2", "range(0, (m*(m+1)/2)::BIGINT + 1)"
+    mass = f"list_sum(list_transform({turns}, lambda j: list_product(list_transform(range(1, m::BIGINT + 1), lambda k: cos(pi()*j*k/({half} + 1))))*cos(pi()*j*({half} - 2*s)/({half} + 1))))/({half} + 1)"
+    cdf = f"list_sum(list_transform(range(0, {stat}::BIGINT + 1), lambda s: {mass}))"
+    exact = cdf if less else f"least(1.0, 2*{cdf})"
+    even = "sin(th)*list_sum(list_transform(range(0, (v//2)::BIGINT), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0))/sqrt(pi())*pow(cos(th), 2*j)))"
+    odd = "2/pi()*(th + CASE WHEN v = 1 THEN 0 ELSE sin(th)*list_sum(list_transform(range(0, ((v-1)//2)::BIGINT), lambda j: sqrt(pi())/2*exp(lgamma(j + 1.0) - lgamma(j + 1.5))*pow(cos(th), 2*j+1))) END)"
+    tp = "(1 + sign(t_stat)*inner_p)/2" if less else "1 - inner_p"
     return f"""
 dd AS (SELECT *, round(xa-xb, 10) d FROM {frm}),
 rk AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) +
@@ -30,9 +41,10 @@ bs AS (SELECT model_a, model_b, count(*) n, avg(d) mean_diff, median(d) median_d
    avg(CASE WHEN d<0 THEN 1.0 ELSE 0 END) win_rate, stddev_samp(d) sd FROM dd GROUP BY 1,2),
 z0 AS (SELECT *, CASE WHEN m>=1 THEN (w_plus - m*(m+1)/4.0)/sqrt(m*(m+1)*(2*m+1)/24.0 - tie_term/48.0) END z,
    CASE WHEN n>=2 AND sd>0 THEN mean_diff/(sd/sqrt(n)) END t_stat FROM bs LEFT JOIN ws USING (model_a, model_b)),
-z1 AS (SELECT *, {tails.t_to_z('t_stat', '(n-1)')} tz FROM z0),
+z1 AS (SELECT *, CASE WHEN v % 2 = 0 THEN {even} ELSE {odd} END inner_p FROM (SELECT *, n - 1 v, atan(abs(t_stat)/sqrt(n - 1)) th FROM z0)),
+ex AS (SELECT model_a, model_b, {exact} exact_p FROM z0 WHERE m <= 50 AND m = n AND tie_term = 0),
 res AS (SELECT model_a, model_b, n, median_diff, mean_diff, win_rate, {stat} wilcoxon_stat,
-   CASE WHEN z IS NULL THEN 1.0 ELSE {wp} END wilcoxon_p, t_stat, CASE WHEN tz IS NULL THEN 1.0 ELSE {tp} END t_p FROM z1)
+   CASE WHEN z IS NULL THEN 1.0 WHEN exact_p IS NOT NULL THEN exact_p ELSE {wp} END wilcoxon_p, t_stat, CASE WHEN t_stat IS NULL THEN 1.0 ELSE {tp} END t_p FROM z1 LEFT JOIN ex USING (model_a, model_b))
 """
 
 
@@ -158,32 +170,23 @@ _BOOT_SEED = "boot-v1"
 _BOOT_METRICS = ("mase", "wql", "crps")
 
 
+# distribution function of a Poisson number of mean 1
+_POISSON = [sum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in range(8)]
+
+
 @query("pooled_bootstrap", "G10", f"""WITH {SCORE_SQL},
-nu AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY challenge_id)-1 i, count(*) OVER (PARTITION BY model) n FROM sc),
-bo AS (SELECT model, i slot, n, unnest(range({N_BOOT})) boot FROM nu),
-pk AS (SELECT model, boot, CAST(floor({uniform_sql(_BOOT_SEED, 'boot', 'slot')}*n) AS BIGINT) i FROM bo),
-bs AS (SELECT pk.model, boot, sum(weight*mase)/sum(weight) mase, sum(weight*wql_num)/(9*sum(weight*abs_truth)) wql,
-  sum(weight*crps)/sum(weight) crps FROM pk JOIN nu USING (model, i) GROUP BY 1,2),
+bd AS (SELECT sc.*, boot, {uniform_sql(_BOOT_SEED, 'boot', 'challenge_id')} u FROM sc, range({N_BOOT}) b(boot)),
+pk AS (SELECT *, {' + '.join(f'CASE WHEN u >= {p!r} THEN 1 ELSE 0 END' for p in _POISSON)} t FROM bd),
+bs AS (SELECT model, boot, sum(t*weight*mase)/sum(t*weight) mase, sum(t*weight*wql_num)/(9*sum(t*weight*abs_truth)) wql, sum(t*weight*crps)/sum(t*weight) crps FROM pk WHERE t > 0 GROUP BY 1, 2),
 l AS (UNPIVOT bs ON mase, wql, crps INTO NAME metric VALUE v)
 SELECT model, metric, {R('quantile_cont(v,0.025)')} lo95, {R('quantile_cont(v,0.975)')} hi95, {R('stddev_pop(v)')} boot_std, count(*) n_boot FROM l GROUP BY 1,2""")
 def pooled_bootstrap(spark, sf):
-    """Resample stored contributions: every slot draws ``N_BOOT`` rows by hash, joined on row number."""
+    """Resample stored contributions: each counts a hash-drawn number of times in each of ``N_BOOT`` samples."""
     s = score_table(spark, sf).select(
         "model", "challenge_id", "weight", (F.col("weight") * F.col("mase")).alias("mase_w"),
-        (F.col("weight") * F.col("wql_num")).alias("wql_w"), (F.col("weight") * F.col("abs_truth")).alias("abs_w"),
-        (F.col("weight") * F.col("crps")).alias("crps_w"), F.lit(1).cast("bigint").alias("one"))
-    num = running_total(s, ["model"], "challenge_id", "one", "upto").withColumn("i", F.col("upto") - 1)
-    size = num.groupBy("model").agg(F.max("upto").alias("n"))
-    slots = num.select("model", "i").join(size, "model").withColumn(
-        "boot", F.explode(F.sequence(F.lit(0), F.lit(N_BOOT - 1))))
-    picks = slots.select("model", "boot", F.floor(
-        uniform(_BOOT_SEED, F.col("boot"), F.col("i")) * F.col("n")).cast("bigint").alias("i"))
-    picks = picks.groupBy("model", "boot", "i").agg(F.count(F.lit(1)).alias("k"))
-    k = F.col("k")
-    b = picks.join(num, ["model", "i"]).groupBy("model", "boot").agg(
-        (F.sum(k * F.col("mase_w")) / F.sum(k * F.col("weight"))).alias("mase"),
-        (F.sum(k * F.col("wql_w")) / (9 * F.sum(k * F.col("abs_w")))).alias("wql"),
-        (F.sum(k * F.col("crps_w")) / F.sum(k * F.col("weight"))).alias("crps"))
+        (F.col("weight") * F.col("wql_num")).alias("wql_w"), (F.col("weight") * F.col("abs_truth")).alias("abs_w"), (F.col("weight") * F.col("crps")).alias("crps_w"))
+    t = S.bootstrap_totals(s, "model", "challenge_id", ["weight", "mase_w", "wql_w", "abs_w", "crps_w"], _BOOT_SEED, N_BOOT)
+    b = t.select("model", "boot", (F.col("mase_w") / F.col("weight")).alias("mase"), (F.col("wql_w") / (9 * F.col("abs_w"))).alias("wql"), (F.col("crps_w") / F.col("weight")).alias("crps"))
     long = b.unpivot(["model", "boot"], list(_BOOT_METRICS), "metric", "v")
     # N_BOOT rows per group: a parameter, so the built-in percentile is bounded
     return long.groupBy("model", "metric").agg(

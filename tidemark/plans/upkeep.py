@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import dims
-from tidemark.operators import forecast as M, monitor as O, publish as P, scoring as S, significance as E
+from tidemark.operators import catalog as C, forecast as M, monitor as O, publish as P, scoring as S, significance as E
 from tidemark.operators.bounded import running_total
 from tidemark.plans.board import _M as _FREQ_M, CH_SQL, REL_SQL, SCORE_SQL, challenge_table, metrics_sql, score_table
 from tidemark.plans.curation import _CAT, CAT_SQL, catalog, live_catalog
@@ -96,6 +96,19 @@ def pool_report(spark, sf):
     return j.groupBy("domain", "cadence").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_series"), F.count("k").alias("n_sources"), F.count_if(F.col("k").isNull()).alias("n_ineligible"))
 
 
+@query("pool_totals", "G19", f"""WITH {CAT_SQL}, n AS (SELECT s_name source_id, l_returnflag p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 12 <> 11 GROUP BY 1,2 HAVING count(*) >= 200),
+j AS (SELECT cat."domain", cadence, source_id, p FROM cat LEFT JOIN n USING (source_id)), c AS (SELECT "domain", cadence, count(*) k FROM j WHERE p IS NOT NULL GROUP BY 1, 2), w AS (SELECT *, 1.0/count(*) OVER ()/1.0 share FROM c)
+SELECT "domain", cadence, {R('share')} draw_share, k cell_series, (SELECT count(DISTINCT source_id) FROM j) live_sources, (SELECT count(DISTINCT source_id) FROM j WHERE p IS NOT NULL) eligible_sources,
+ (SELECT count(DISTINCT source_id) FROM j WHERE p IS NULL) ineligible_sources, (SELECT count(p) FROM j) eligible_series, (SELECT count(*) FROM c) cells FROM w""")
+def pool_totals(spark, sf):
+    """Totals of the pool beside the mix that equal weights of the eligible cells draw on average."""
+    li, s = load(spark, sf, "lineitem"), load(spark, sf, "supplier").where("s_suppkey % 12 <> 11")
+    rows = li.join(s, li.l_suppkey == s.s_suppkey).select(F.col("s_name").alias("source_id"), F.col("l_returnflag").alias("_panel_flag"))
+    idx = L.series_index(rows, 200).groupBy("source_id").agg(F.count(F.lit(1)).alias("k"))
+    mix, totals = C.pool_mix(live_catalog(spark, sf).select("source_id", "domain", "cadence").join(idx, "source_id", "left"), ["domain", "cadence"], "source_id", "k")
+    return mix.join(F.broadcast(totals)).withColumn("draw_share", rnd(F.col("draw_share")))  # one row of totals
+
+
 @query("depth_backlog", "J2", f"""WITH {CAT_SQL}, n AS (SELECT DISTINCT s_name source_id FROM (SELECT l_suppkey, l_returnflag FROM lineitem GROUP BY 1,2 HAVING count(*) >= 200) JOIN supplier ON l_suppkey = s_suppkey) SELECT source_id FROM cat WHERE source_id NOT IN (SELECT source_id FROM n)""")
 def depth_backlog(spark, sf):
     li, s = load(spark, sf, "lineitem"), load(spark, sf, "supplier")
@@ -223,10 +236,10 @@ def report_table(spark, sf):
     return back.select("model", *[rnd(F.col(c)).alias(c) for c in ("mase_mean", "mase_std", "crps_mean", "crps_std")], F.col("n_runs").cast("bigint").alias("n_runs"))
 
 
-@query("model_intersection", "U5", "SELECT DISTINCT p_brand model FROM part WHERE p_size < 10 INTERSECT SELECT DISTINCT p_brand FROM part WHERE p_retailprice > 1500")
+@query("model_intersection", "U5", "SELECT DISTINCT p_brand model FROM part WHERE p_size < 4 INTERSECT SELECT DISTINCT p_brand FROM part WHERE p_retailprice > 915")
 def model_intersection(spark, sf):
     p = load(spark, sf, "part")
-    return p.where("p_size < 10").select(F.col("p_brand").alias("model")).intersect(p.where("p_retailprice > 1500").select("p_brand"))
+    return p.where("p_size < 4").select(F.col("p_brand").alias("model")).intersect(p.where("p_retailprice > 915").select("p_brand"))
 
 
 @query("snapshot_diff", "A21")
@@ -315,7 +328,7 @@ def comparison_run(spark, sf):
     """End to end: challenges, panel, paired tests against the floor, one row per model."""
     from tidemark.session import freeze
     ch = challenge_table(spark, sf)
-    fc = M.strong_forecasts(ch).unionByName(M.parrot_forecasts(ch)).unionByName(M.column_forecasts(ch))
+    fc = M.panel_forecasts(ch).where(~F.col("model").isin(*M.DECOMPOSED_PATHS))
     s = freeze(S.contributions(M.gaussian_band(fc)))
     vs = E.compare_to_baseline(s).select(F.col("model_a").alias("model"), "median_diff", "win_rate", "wilcoxon_p_holm", "significant")
     board = S.leaderboard(s, "crps", dims.EPS_REL).select("model", "rank", "crps_rel", "mase_rel")
