@@ -108,6 +108,21 @@ def test_augmentations_preserve_shape_and_history_only_cutout(spark):
             assert max(r["context"] + r["truth"]) <= max(r["c0"] + r["t0"]) + 1e-9
 
 
+def test_time_warp_reads_along_summed_speeds(spark):
+    """Against prefix sums of the speed and linear reading, for windows of several lengths."""
+    rng = np.random.default_rng(7)
+    rows = [(f"w{k}", rng.normal(0, 0.6, 4).tolist(), np.cumsum(rng.normal(size=n)).tolist()) for k, n in enumerate([4, 5, 7, 31, 100, 257, 271, 600])]
+    df = spark.createDataFrame(rows, "id string, knots array<double>, w array<double>").withColumn("wn", F.size("w"))
+    df = df.withColumn("warp", F.expr(U._warp_pieces()))
+    df = df.withColumn("warp_total", F.expr(U._elapsed("(wn - 1)")))
+    got = {r.id: r.x for r in df.select("id", F.expr(f"transform(sequence(0, wn - 1), i -> {U._warped_value()})").alias("x")).collect()}
+    for name, knots, w in rows:
+        n = len(w)
+        speed = np.interp(np.arange(n), np.linspace(0, n - 1, 4), np.clip(1 + np.array(knots), 0.2, None))
+        cum = np.cumsum(speed)
+        np.testing.assert_allclose(got[name], np.interp(np.arange(n), cum / cum[-1] * (n - 1), w), atol=1e-8)
+
+
 def test_a_dropped_item_suppresses_nothing(spark):
     a = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] + [0.0] * 30
     df = spark.createDataFrame([(0, a(0)), (1, a(8)), (2, a(16)), (3, a(24)), (4, a(90))], "id long, vec array<double>")
@@ -115,6 +130,44 @@ def test_a_dropped_item_suppresses_nothing(spark):
     assert got == {0, 2, 4}
 
 
+def test_greedy_admission_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """A cluster of 300 near copies, a chain and single items: the walk in id order, without all pairs of the cluster."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=32)
+    x = [centre + 0.01 * rng.normal(size=32) for _ in range(300)] + [rng.normal(size=32) for _ in range(40)]
+    x += [centre * np.cos(t) + np.roll(centre, 1) * np.sin(t) for t in np.linspace(0.05, 1.2, 30)]
+    x = [v / np.linalg.norm(v) for v in x]
+    order = rng.permutation(len(x))
+    rows = [(int(i), [float(q) for q in x[k]]) for i, k in enumerate(order)]
+    t = 0.985
+    admitted, want = [], set()
+    for i, v in rows:
+        if any(np.dot(v, w) >= t for w in admitted):
+            want.add(i)
+        else:
+            admitted.append(v)
+    made, whole = [], N.near_pairs
+    monkeypatch.setattr(N, "near_pairs", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    assert {r.id for r in N.greedy_repeats(df, "id", "vec", 32, t).collect()} == want
+    assert sum(p.count() for p in made) < 500
+
+
+def test_mixture_draw_with_uneven_weights(spark):
+    from tidemark.functions.hashing import uniform
+    from tidemark.operators import sampling
+
+    weights = [("a", 1e6), ("b", 0.0)] + [(f"f{k:03d}", 1.0 + k % 7) for k in range(200)] + [("z", 5e5)]
+    df = spark.createDataFrame(weights, "feed string, weight double")
+    got = {r.id: r.feed for r in sampling.mixture_draw(df, 5000, "s").collect()}
+    ends = np.cumsum([w for _, w in sorted(weights)])
+    names = [f for f, _ in sorted(weights)]
+    u = [r.u for r in spark.range(5000).select("id", uniform("s", F.lit("mix"), F.col("id")).alias("u")).orderBy("id").collect()]
+    want = [names[int(np.searchsorted(ends, x * ends[-1], side="right"))] for x in u]
+    assert [got[k] for k in range(5000)] == want and "b" not in want
+    assert sampling.mixture_draw(df.where("weight = 0"), 10, "s").collect() == []
+
+
 def test_largest_exponent_of_a_cycle_and_of_chaos(spark):
     z, rows = 0.3, []
     for k in range(700):

@@ -131,18 +131,51 @@ def repeats_of_lower(reps: DataFrame, id_: str, vec: str, dim: int, threshold: f
     return settled.unionByName(found)
 
 
+SETTLING_ROUNDS = 4
+
+
+def _offsets() -> Column:
+    return F.array(*[F.struct(*[F.lit(o).alias(n) for n, o in zip(_CELL, off)]) for off in itertools.product((-1, 0, 1), repeat=len(_CELL))])
+
+
+def _around(df: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` of ``df`` at its cell and at every cell next to it."""
+    return df.withColumn("_o", F.explode(_offsets())).select(*cols, *[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in _CELL])
+
+
+def settle(rest: DataFrame, id_: str, vec: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(still open, dropped ids) after one round: the lowest item of its cell and all cells next to it is admitted, what resembles it drops.
+
+    No two such items lie next to each other, so every item is compared with a
+    few of them at most, however many near copies a cell holds.
+    """
+    low = rest.groupBy(*_CELL).agg(F.min(id_).alias("_m"))
+    low = _around(low, "_m").groupBy(*_CELL).agg(F.min("_m").alias("_m"))
+    first = freeze(rest.join(low, _CELL).where(F.col(id_) == F.col("_m")).drop("_m"))
+    near = _around(first.select(F.col(id_).alias("_lead"), F.col(vec).alias("_lv"), *_CELL), "_lead", "_lv")
+    gone = freeze(rest.join(near, _CELL).where((F.col("_lead") != F.col(id_)) & (F.expr(A.dot(vec, "_lv")) >= threshold)).select(id_).distinct())
+    still = rest.join(first.select(id_), id_, "left_anti").join(gone, id_, "left_anti")
+    return freeze(still), gone
+
+
 def greedy_repeats(reps: DataFrame, id_: str, vec: str, dim: int, threshold: float = dims.DUP_COSINE) -> DataFrame:
     """Ids that resemble an admitted one with a lower id, when items are admitted in id order.
 
-    Worked in rounds on the similar pairs: an item without a lower open neighbour
-    is admitted and its higher neighbours are dropped. That is the greedy result
-    without one task walking the order; there are as many rounds as the longest
-    chain of decisions that hang on each other.
+    First a few settling rounds take whole clusters of near copies at one
+    comparison each. What stays open is worked in rounds on its similar pairs: an
+    item without a lower open neighbour is admitted and its higher neighbours are
+    dropped. That is the greedy result without one task walking the order; there
+    are as many rounds as the longest chain of decisions that hang on each other.
     """
     cells = freeze(placed(reps.select(id_, vec), vec, dim, threshold))
+    dropped = cells.select(id_).limit(0)
+    for _ in range(SETTLING_ROUNDS):
+        cells, gone = settle(cells, id_, vec, threshold)
+        if gone.isEmpty():
+            break
+        dropped = dropped.unionByName(gone)
     pairs = near_pairs(cells, cells.withColumnRenamed(id_, "_low"), id_, "_low", vec, dim, threshold, ordered=True)
     pairs = freeze(pairs.select("_low", F.col(id_).alias("_high")))
-    dropped = pairs.select(F.col("_high").alias(id_)).limit(0)
     while not pairs.isEmpty():
         admitted = pairs.select("_low").distinct().join(pairs.select(F.col("_high").alias("_low")).distinct(), "_low", "left_anti")
         gone = freeze(pairs.join(admitted, "_low", "left_semi").select(F.col("_high").alias(id_)).distinct())

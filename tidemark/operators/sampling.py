@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.hashing import uniform
+from tidemark.operators.bounded import running_total
 
 MIN_CLASS_SLOTS = 3  # --- fixed value: slots a class needs to clear the breadth gate
 
@@ -114,16 +115,20 @@ def rotate_classes(series: DataFrame, quotas: DataFrame, seed: str, keep_frac: f
 def mixture_draw(components: DataFrame, n: int, seed: str) -> DataFrame:
     """``n`` draws from weighted feeds: cumulative weights and a hash uniform per draw.
 
-    The registry of feeds is sorted once into a cumulative array, so a draw is a
-    lookup on its own row.
+    The line of cumulative weights is cut into as many equal buckets as there
+    are feeds. A feed goes to every bucket it reaches into, a draw to its own, and
+    takes the first feed there that ends behind it: two candidates per draw on
+    average whatever the weights, and no table of all feeds in one place.
+    Feeds without weight are never drawn; without any weight there are no draws.
     """
-    w = Window.orderBy("feed").rowsBetween(Window.unboundedPreceding, 0)  # one row per feed of the registry
-    c = components.select("feed", F.sum("weight").over(w).alias("hi"))
-    table = c.agg(F.array_sort(F.collect_list(F.struct("hi", "feed"))).alias("t"))
-    draws = components.sparkSession.range(n).withColumn("u", uniform(seed, F.lit("mix"), F.col("id")))
-    total = F.element_at("t", -1)["hi"]
-    hit = F.filter("t", lambda s: s["hi"] > F.col("u") * total)
-    return draws.join(F.broadcast(table)).select("id", F.coalesce(F.get(hit, F.lit(0))["feed"], F.element_at("t", -1)["feed"]).alias("feed"))
+    c = running_total(components.where("weight > 0").select("feed", "weight"), [], "feed", "weight", "hi")
+    line = c.agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("k"))  # one row
+    c = c.join(F.broadcast(line))
+    place = lambda x: F.least(F.floor(x / F.col("total") * F.col("k")), F.col("k") - 1)
+    ends = c.select("feed", "hi", F.explode(F.sequence(F.greatest(place(F.col("hi") - F.col("weight")), F.lit(0)), place(F.col("hi")))).alias("_b"))
+    draws = components.sparkSession.range(n).withColumn("u", uniform(seed, F.lit("mix"), F.col("id"))).join(F.broadcast(line))
+    draws = draws.select("id", (F.col("u") * F.col("total")).alias("x"), place(F.col("u") * F.col("total")).alias("_b"))
+    return draws.join(ends, "_b").where("hi > x").groupBy("id").agg(F.min_by("feed", "hi").alias("feed"))
 
 
 def redraw_pool(series: DataFrame, usable: Column, quotas: DataFrame, cell: list[str], key: str, seed: str,

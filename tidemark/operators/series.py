@@ -12,16 +12,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark import dims
 from tidemark.functions import arrays as A, timeparse as T
 from tidemark.functions.hashing import uniform
-from tidemark.operators.bounded import previous_in_time, running_count_in_time
+from tidemark.operators.bounded import previous_in_time, running_count_in_time, running_total
 from tidemark.operators.clean import degenerate_reason, median_fill
 from tidemark.session import freeze
 
 GAP_FACTOR = 8.0
 
 
-def chronological(df: DataFrame, ts: str, seq: str) -> DataFrame:
-    """Chronological order with unreadable stamps last, stable on arrival order."""
-    return df.orderBy(F.col(ts).asc_nulls_last(), F.col(seq))
+READABLE = 0.9  # share of readable stamps above which a series is put in their order
+
+
+def chronological(df: DataFrame, keys: list[str], ts: str, seq: str) -> DataFrame:
+    """``df`` with position, each row's place from 1 on along its series: by stamp, unreadable ones last, equal ones by arrival.
+
+    A series with too few readable stamps stays in order of arrival. ``seq``
+    numbers arrivals and is unique in a series. Positions are running counts over
+    range pieces, so a long series is not ordered in one task.
+    """
+    share = df.groupBy(*keys).agg(F.avg(F.col(ts).isNotNull().cast("double")).alias("_share"))
+    stamp = F.when(F.col("_share") > READABLE, F.col(ts))
+    rows = df.join(share, keys).withColumn("_o", F.struct(stamp.isNull().alias("late"), stamp.alias("at"), F.col(seq).alias("seq"))).withColumn("_one", F.lit(1).cast("long"))
+    return running_total(rows, keys, "_o", "_one", "position").drop("_share", "_o", "_one")
+
+
+def rejection_summary(judged: DataFrame, reason: str) -> DataFrame:
+    """(reason, n_series): how many series each reason rejected, without the figures in brackets behind it."""
+    plain = F.trim(F.split(reason, "\\(")[0])
+    return judged.where(F.col(reason).isNotNull()).groupBy(plain.alias("reason")).agg(F.count(F.lit(1)).alias("n_series"))
 
 
 def gap_table(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int = 60) -> DataFrame:

@@ -8,7 +8,8 @@ from tidemark import dims
 from tidemark.functions import arrays as A
 from tidemark.functions.hashing import beacon_seed, crc_bag, md5_bag, uniform_sql
 from tidemark.operators import augment as U, forecast as M, quality as Q, sampling as S
-from tidemark.plans.board import SCORE_SQL, STATS_SQL, challenge_table
+from tidemark.operators.spectrum import flatness_windows
+from tidemark.plans.board import CH_SQL, SCORE_SQL, STATS_SQL, challenge_table
 from tidemark.plans.views import BINS_SQL, R, load, rnd, series_bins
 from tidemark.registry import query
 
@@ -43,12 +44,29 @@ def stratified_draw(spark, sf):
     return S.pick(p, S.equal_weight_quotas(p, N_DRAW), ["domain", "dgp_class", "cadence"], "key", SEED, N_DRAW)
 
 
-@query("jittered_quotas", "T5")
+# the split over domains: gamma shares by hash, largest remainders of blocks, the rest to the largest; seats where blocks are too few
+_BLOCK, _BLOCKS = S.MIN_CLASS_SLOTS, 128 // S.MIN_CLASS_SLOTS
+_GAMMA = " + ".join(f"""ln(greatest({uniform_sql(SEED, "'gamma'", '"domain"', str(i))}, 1e-12))""" for i in range(4))
+_JQ = f"""ser AS ({_SER}), g AS (SELECT "domain", count(*) OVER () k, -({_GAMMA}) g FROM (SELECT DISTINCT "domain" FROM ser)),
+jr AS (SELECT *, greatest({_BLOCKS}-k, 0) avail, g/sum(g) OVER ()*greatest({_BLOCKS}-k, 0) raw FROM g),
+jo AS (SELECT *, avail - sum(floor(raw)) OVER () rem, row_number() OVER (ORDER BY raw - floor(raw) DESC, "domain") ord FROM jr), jb AS (SELECT *, floor(raw) + CASE WHEN ord <= rem THEN 1 ELSE 0 END + 1 blocks FROM jo),
+jt AS (SELECT *, row_number() OVER (ORDER BY blocks DESC, "domain") top, row_number() OVER (ORDER BY {uniform_sql(SEED, "'seat'", '"domain"')}, "domain") - 1 seat FROM jb),
+jq AS (SELECT "domain", CAST(CASE WHEN k > {_BLOCKS} THEN CASE WHEN seat < {_BLOCKS} THEN 128 // {_BLOCKS} + CASE WHEN seat < 128 % {_BLOCKS} THEN 1 ELSE 0 END ELSE 0 END
+ ELSE blocks*{_BLOCK} + CASE WHEN top = 1 THEN {128 - _BLOCKS * _BLOCK} ELSE 0 END END AS BIGINT) quota FROM jt)"""
+_CR = _JQ + f""", cs AS (SELECT "domain", dgp_class, count(*) size, any_value(quota) quota FROM ser JOIN jq USING ("domain") WHERE quota > 0 GROUP BY 1, 2),
+ck AS (SELECT *, {uniform_sql(SEED, "'mask'", '"domain"', 'dgp_class')} < 0.6 keep, row_number() OVER (PARTITION BY "domain" ORDER BY {uniform_sql(SEED, "'one'", '"domain"', 'dgp_class')}, dgp_class) = 1 fb FROM cs),
+ca AS (SELECT *, max(keep::INT) OVER (PARTITION BY "domain") kept FROM ck), cd AS (SELECT *, -ln(greatest({uniform_sql(SEED, "'draw'", '"domain"', 'dgp_class')}, 1e-12))/least(size, {_BLOCK}) x FROM ca WHERE keep OR (kept = 0 AND fb)),
+cw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "domain" ORDER BY x, dgp_class) r FROM cd) WHERE r <= greatest(1, quota // {_BLOCK})),
+ce AS (SELECT *, count(*) OVER (PARTITION BY "domain") n, row_number() OVER (PARTITION BY "domain" ORDER BY dgp_class) - 1 i FROM cw),
+cq AS (SELECT "domain", dgp_class, CAST(quota // n + CASE WHEN i < quota % n THEN 1 ELSE 0 END AS BIGINT) quota FROM ce)"""
+
+
+@query("jittered_quotas", "T5", f"WITH {_JQ} SELECT * FROM jq")
 def jittered_quotas(spark, sf):
     return S.jittered_quotas(pool(spark, sf), 128, SEED)
 
 
-@query("class_rotation", "T5 T7")
+@query("class_rotation", "T5 T7", f"WITH {_CR} SELECT * FROM cq")
 def class_rotation(spark, sf):
     p = pool(spark, sf)
     return S.rotate_classes(p, S.jittered_quotas(p, 128, SEED), SEED, 0.6)
@@ -126,9 +144,12 @@ def series_quality(spark, sf):
     return r.select("series_key", F.col("n").cast("bigint").alias("n"), *[rnd(F.col(c)).alias(c) for c in ("finite_frac", "unique_ratio", "flat_frac", "spike")], F.concat_ws(",", "failures").alias("failures"))
 
 
-@query("spectral_flatness", "Q2")
+@query("spectral_flatness", "Q2", f"""WITH {CH_SQL}, d AS (SELECT challenge_id, context x, len(context) n, list_avg(context) mu FROM ch WHERE len(context) >= 8),
+sl AS (SELECT *, list_sum(list_transform(range(0, n), lambda i: x[i+1]*(i-(n-1)/2.0)))*12.0/(n*(n*n-1.0)) s FROM d), y AS (SELECT challenge_id, n, i, (x[i+1]-mu-s*(i-(n-1)/2.0))*(0.5-0.5*cos(2*pi()*i/(n-1))) y FROM (SELECT *, unnest(range(0, n)) i FROM sl)),
+fr AS (SELECT challenge_id, unnest(range(1, n//2+1)) f FROM d), pw AS (SELECT challenge_id, pow(sum(y*cos(2*pi()*((f*i)%n)/n)), 2) + pow(sum(y*sin(2*pi()*((f*i)%n)/n)), 2) + 1e-20 p FROM y JOIN fr USING (challenge_id) GROUP BY challenge_id, f),
+fl AS (SELECT challenge_id, exp(avg(ln(p)))/avg(p) v FROM pw GROUP BY 1) SELECT challenge_id, {R("coalesce(v, 'nan'::DOUBLE)", 5)} flatness FROM ch LEFT JOIN fl USING (challenge_id)""")
 def spectral_flatness(spark, sf):
-    return Q.spectral_diagnostics(challenge_table(spark, sf), "challenge_id", "context")
+    return flatness_windows(challenge_table(spark, sf), "challenge_id", "context").withColumn("flatness", rnd(F.col("flatness"), 5))
 
 
 _DISC = f"""dl AS (SELECT challenge_id, unnest([1,2,3,12,24,36]) p FROM st), dp AS (SELECT st.challenge_id, max(abs(list_sum(list_transform(range(1, n-p+1), lambda i: x[i]*x[i+p]))/denom)) pr FROM dl JOIN st USING (challenge_id) WHERE p < n GROUP BY 1),

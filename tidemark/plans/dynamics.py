@@ -80,15 +80,29 @@ def cloud_spread(spark, sf):
     return c.select("label", "n", rnd(F.col("spread")).alias("spread"), rnd(F.col("centroid_distance")).alias("centroid_distance"))
 
 
-@query("cloud_coverage", "X3 J13", f"""WITH q AS (SELECT vec_id, "label", embedding[1]::DOUBLE x, embedding[2]::DOUBLE y FROM embeddings), d AS (SELECT a.vec_id, a."label", min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) dist FROM q a, q b WHERE a."label" <> 0 AND b."label" = 0 GROUP BY 1,2)
-SELECT "label", {R('median(dist)')} median_nn, {R('quantile_cont(dist, 0.95)')} p95_nn FROM d GROUP BY 1""")
+# two components by the power method: the covariance times a vector, again and again, then with the first component taken out
+_PCA = """v AS MATERIALIZED (SELECT vec_id, "label", list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings), mu AS (SELECT i, avg(e[i]) m, count(*) n FROM (SELECT e, unnest(range(1, 65)) i FROM v) GROUP BY 1),
+ml AS (SELECT list(m ORDER BY i) m, any_value(n) n FROM mu), c0 AS MATERIALIZED (SELECT vec_id, "label", list_transform(range(1, 65), lambda i: e[i] - m[i]) e FROM v, ml),
+cx AS (SELECT vec_id, i, e[i] x FROM (SELECT vec_id, e, unnest(range(1, 65)) i FROM c0)), cv AS (SELECT a.i, b.i j, sum(a.x*b.x)/(SELECT n FROM ml) s FROM cx a JOIN cx b USING (vec_id) GROUP BY 1, 2),
+cm AS MATERIALIZED (SELECT list(r ORDER BY i) c FROM (SELECT i, list(s ORDER BY j) r FROM cv GROUP BY 1)),
+p1 AS (SELECT 0 k, list_transform(range(1, 65), lambda i: 1.0 + i/100.0) w UNION ALL SELECT k+1, list_transform(u, lambda q: q/sqrt(list_sum(list_transform(u, lambda z: z*z)))) FROM (SELECT k, list_transform(c, lambda r: list_dot_product(r, w)) u FROM p1, cm) WHERE k < 3000),
+w1 AS MATERIALIZED (SELECT w FROM p1 WHERE k = 3000), d1 AS MATERIALIZED (SELECT list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - l*w[i]*w[j])) c FROM (SELECT c, w, list_dot_product(w, list_transform(c, lambda r: list_dot_product(r, w))) l FROM cm, w1)),
+p2 AS (SELECT 0 k, list_transform(range(1, 65), lambda i: 1.0 - i/90.0) w UNION ALL SELECT k+1, list_transform(u, lambda q: q/sqrt(list_sum(list_transform(u, lambda z: z*z)))) FROM (SELECT k, list_transform(c, lambda r: list_dot_product(r, w)) u FROM p2, d1) WHERE k < 3000),
+q AS MATERIALIZED (SELECT vec_id, "label", list_dot_product(e, w1.w) x, list_dot_product(e, p2.w) y FROM c0, w1, p2 WHERE k = 3000)"""
+
+
+@query("cloud_coverage", "X3 J13", f"""WITH RECURSIVE {_PCA}, d AS (SELECT a.vec_id, a."label", min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) dist FROM q a, q b WHERE a."label" <> 0 AND b."label" = 0 GROUP BY 1,2)
+SELECT "label", {R('median(dist)', 4)} median_nn, {R('quantile_cont(dist, 0.95)', 4)} p95_nn FROM d GROUP BY 1""")
 def cloud_coverage(spark, sf):
-    """Distance of every other cloud's points to the nearest reference point: exact, on a growing grid."""
-    e = load(spark, sf, "embeddings").selectExpr("vec_id", "label", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y")
-    d = N.nearest_distance(e.where("label <> 0"), e.where("label = 0"), "vec_id", ["x", "y"], 0.05)
+    """Distance of every other cloud's points to the nearest reference point in the plane of two components of all coordinates."""
+    dims = [f"e{k}" for k in range(64)]
+    e = load(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(dims)])
+    e = freeze(X.principal_components(freeze(e), ["vec_id", "label"], dims, 2))
+    step = e.agg(((F.max("pc1") - F.min("pc1")) / 40).alias("s")).first().s or 1.0
+    d = N.nearest_distance(e.where("label <> 0"), e.where("label = 0"), "vec_id", ["pc1", "pc2"], step)
     j = d.join(e.select("vec_id", "label"), "vec_id")
     p = exact_percentiles(j, ["label"], "distance", {"median_nn": 0.5, "p95_nn": 0.95})
-    return p.select("label", rnd(F.col("median_nn")).alias("median_nn"), rnd(F.col("p95_nn")).alias("p95_nn"))
+    return p.select("label", rnd(F.col("median_nn"), 4).alias("median_nn"), rnd(F.col("p95_nn"), 4).alias("p95_nn"))
 
 
 _Z2 = """z AS (SELECT series_key, ts, ("value" - avg("value") OVER w)/stddev_pop("value") OVER w x FROM bins WINDOW w AS (PARTITION BY series_key)),
@@ -106,10 +120,29 @@ def largest_exponents(spark, sf):
     return X.largest_exponent(points, "series_key").withColumn("exponent", rnd(F.col("exponent"), 5))
 
 
-@query("feature_table", "X1", f"""WITH {BINS_SQL}, z AS (SELECT series_key, ts, "value", "value" - avg("value") OVER (PARTITION BY series_key) z FROM bins),
+# squares regressed on twelve squares before: products of all columns, then elimination row by row
+_ARCH = """zl AS (SELECT series_key, count(*) n, list(z ORDER BY ts) z0, sqrt(sum(z*z)/count(*)) sd FROM y GROUP BY 1 HAVING count(*) >= 30 AND sum(z*z) > 0),
+zn AS MATERIALIZED (SELECT series_key, n, list_transform(z0, lambda v: v/sd) z, least(12, n//4) m FROM zl), sq AS (SELECT series_key, n, m, list_transform(z, lambda v: v*v - 1) q FROM zn),
+ct AS MATERIALIZED (SELECT series_key, a, t, CASE WHEN a = 0 THEN 1.0::DOUBLE WHEN a = 13 THEN q[t] WHEN a <= m THEN q[t-a] ELSE 0 END c FROM (SELECT series_key, m, q, unnest(range(m+1, n+1)) t FROM sq), range(0, 14) r(a)),
+g1 AS (SELECT x.series_key, x.a, y.a b, sum(x.c*y.c) v FROM ct x JOIN ct y ON x.series_key = y.series_key AND x.t = y.t GROUP BY 1, 2, 3), g2 AS (SELECT series_key, a, list(v ORDER BY b) v FROM g1 GROUP BY 1, 2),
+el AS (SELECT series_key, list(v ORDER BY a) m, list(v ORDER BY a) d, 1 p FROM g2 GROUP BY 1 UNION ALL SELECT series_key, CASE WHEN m[p][p] <= 1e-10*d[p][p] THEN m ELSE
+ list_transform(m, lambda w, r: CASE WHEN r <= p THEN w ELSE list_transform(w, lambda x, c: x - w[p]/m[p][p]*m[p][c]) END) END, d, p+1 FROM el WHERE p <= 13),
+ar AS (SELECT series_key, CASE WHEN d[14][14] - d[1][14]*d[1][14]/d[1][1] > 1e-12 THEN 1 - m[14][14]/(d[14][14] - d[1][14]*d[1][14]/d[1][1]) ELSE 0 END arch_lm FROM el WHERE p = 14)"""
+_KPSS = """lg AS (SELECT series_key, n, l, list_sum(list_transform(range(1, n-l+1), lambda t: z[t]*z[t+l])) s FROM (SELECT *, unnest(range(1, floor(pow(n, 2/9.0))::BIGINT + 1)) l FROM zn)),
+hh AS (SELECT series_key, n, sum(l*s/(n/2))/(1 + sum(s/(n/2))) r FROM lg GROUP BY 1, 2), al AS (SELECT series_key, least(n-1, floor(1.1447*pow(r*r, 1/3.0)*pow(n, 1/3.0)))::BIGINT k FROM hh),
+lv AS (SELECT series_key, n + coalesce(sum(2*list_sum(list_transform(range(1, n-l+1), lambda t: z[t]*z[t+l]))*(1 - l/(k+1.0))), 0) v FROM (SELECT zn.*, k, unnest(range(1, k+1)) l FROM zn JOIN al USING (series_key)) GROUP BY series_key, n),
+ps AS (SELECT series_key, n, sum(c*c) e FROM (SELECT series_key, n, sum(x) OVER (PARTITION BY series_key ORDER BY i) c FROM (SELECT series_key, n, unnest(z) x, unnest(range(0, n)) i FROM zn)) GROUP BY 1, 2),
+kp AS (SELECT series_key, e/n/(coalesce(v, n)) kpss FROM ps LEFT JOIN lv USING (series_key))"""
+_ENTROPY = """hn AS (SELECT series_key, n, i, z[i+1]*(0.5 - 0.5*cos(2*pi()*i/(n-1))) h FROM (SELECT *, unnest(range(0, n)) i FROM zn)), fq AS (SELECT series_key, unnest(range(1, n//2+1)) f FROM zn),
+pw AS (SELECT series_key, f, pow(sum(h*cos(2*pi()*((f*i)%n)/n)), 2) + pow(sum(h*sin(2*pi()*((f*i)%n)/n)), 2) p FROM hn JOIN fq USING (series_key) GROUP BY 1, 2),
+en AS (SELECT series_key, -sum(CASE WHEN p > 0 THEN p*ln(p) ELSE 0 END)/ln(any_value(c)) e FROM (SELECT series_key, p/sum(p) OVER (PARTITION BY series_key) p, count(*) OVER (PARTITION BY series_key) c FROM pw) GROUP BY 1)"""
+
+
+@query("feature_table", "X1", f"""WITH RECURSIVE {BINS_SQL}, z AS (SELECT series_key, ts, "value", "value" - avg("value") OVER (PARTITION BY series_key) z FROM bins),
 y AS (SELECT *, lead(z) OVER w nx, sum(CASE WHEN p <> "value" THEN 1 ELSE 0 END) OVER w run FROM (SELECT *, lag("value") OVER (PARTITION BY series_key ORDER BY ts) p FROM z) WINDOW w AS (PARTITION BY series_key ORDER BY ts)),
-f AS (SELECT series_key, max(k) k FROM (SELECT series_key, run, count(*) k FROM y GROUP BY 1, 2) GROUP BY 1), s AS (SELECT series_key, count(*) n, sum(z*z) s2, avg(z*z*z) m3, sum(z*nx) s1 FROM y GROUP BY 1)
-SELECT series_key, {R('s1/s2')} acf1, {R('k/n')} flat_spots, {R('m3/pow(s2/n, 1.5)')} skew FROM s JOIN f USING (series_key) WHERE n >= 30 AND s2 > 0""")
+f AS (SELECT series_key, max(k) k FROM (SELECT series_key, run, count(*) k FROM y GROUP BY 1, 2) GROUP BY 1), s AS (SELECT series_key, count(*) n, sum(z*z) s2, avg(z*z*z) m3, sum(z*nx) s1 FROM y GROUP BY 1), {_ARCH}, {_KPSS}, {_ENTROPY}
+SELECT series_key, {R('s1/s2')} acf1, {R('arch_lm')} arch_lm, {R('e')} spec_entropy, {R('kpss')} kpss, {R('k/n')} flat_spots, {R('m3/pow(s2/n, 1.5)')} skew
+FROM s JOIN f USING (series_key) JOIN ar USING (series_key) JOIN kp USING (series_key) JOIN en USING (series_key) WHERE n >= 30 AND s2 > 0""")
 def feature_table(spark, sf):
     f = X.feature_table(freeze(series_bins(spark, sf).select("series_key", "ts", "value")), "series_key", "ts", "value")
     return f.select("series_key", *[rnd(F.col(c)).alias(c) for c in X.FEATURES])
@@ -132,21 +165,29 @@ def robust_scaling(spark, sf):
     return z.groupBy(F.col("dim").cast("bigint").alias("dim")).agg(rnd(F.avg("v")).alias("mean_z"), rnd(F.max("v")).alias("max_z"))
 
 
-_ROLL = f"""WITH {BINS_SQL}, s0 AS (SELECT series_key, list("value" ORDER BY ts) v FROM bins GROUP BY 1), s1 AS (SELECT series_key, v[1:len(v)//2] c, v[len(v)//2+1:] t, len(v)//2 n FROM s0 WHERE len(v) >= 200),
-x AS (SELECT *, list_transform(c, lambda q: q - list_avg(c)) x FROM s1), ca AS (SELECT series_key, p, list_sum(list_transform(range(1, n-p+1), lambda i: x[i]*x[i+p]))/list_sum(list_transform(x, lambda q: q*q)) r FROM (SELECT *, unnest([12, 24, 36]) p FROM x)),
-b AS (SELECT series_key, p FROM ca WHERE r > 0.2 QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY r DESC, p) = 1), g AS (SELECT x.series_key, t, c, n, coalesce(p, 0) p, list_stddev_pop(t) sd FROM x LEFT JOIN b USING (series_key)),
-h AS (SELECT *, unnest(range(0, 24)) k FROM g)
-SELECT series_key, {R("coalesce(min(CASE WHEN abs((CASE WHEN p < 2 THEN c[n] ELSE c[n-p+k%p+1] END) - t[k+1])/(CASE WHEN sd > 0 THEN sd ELSE 1 END) > 0.4 THEN k END), 24)")} vpt FROM h GROUP BY 1"""
+ROLL_BLOCK = 128
+_RHO = "list_sum(list_transform(range(1, len(x)-{p}+1), lambda i: x[i]*x[i+{p}]))/list_sum(list_transform(x, lambda q: q*q)) r{p}"
+_ROLL = f"""WITH RECURSIVE {BINS_SQL}, s0 AS (SELECT series_key, list("value" ORDER BY ts) v FROM bins GROUP BY 1), s1 AS (SELECT series_key, v[1:len(v)//2] c, v[len(v)//2+1:] t, len(v) - len(v)//2 total FROM s0 WHERE len(v) >= 2),
+rl AS (SELECT series_key, total, len(c) n, c h FROM s1 UNION ALL
+ SELECT series_key, total, n, list_concat(h, list_transform(range(0, {ROLL_BLOCK}), lambda k: CASE WHEN p < 2 THEN h[len(h)] ELSE h[len(h)-p+k%p+1] END)) FROM
+ (SELECT *, CASE WHEN greatest(r12, r24, r36) > 0.2 THEN CASE greatest(r12, r24, r36) WHEN r12 THEN 12 WHEN r24 THEN 24 ELSE 36 END ELSE 0 END p FROM
+ (SELECT *, {", ".join(_RHO.format(p=p) for p in (12, 24, 36))} FROM (SELECT series_key, total, n, h, list_transform(h, lambda q: q - m) x FROM (SELECT *, list_avg(h) m FROM rl WHERE len(h) - n < total))))),
+g AS (SELECT series_key, h[n+1:n+total] g FROM rl WHERE len(h) - n >= total), e AS (SELECT s1.series_key, total, t, g, list_stddev_pop(t) sd, unnest(range(0, total)) k FROM s1 JOIN g USING (series_key))
+SELECT series_key, any_value(total) steps, {R("coalesce(min(CASE WHEN abs(g[k+1] - t[k+1])/(CASE WHEN sd > 0 THEN sd ELSE 1 END) > 0.4 THEN k END), any_value(total))")} vpt,
+ {R("sqrt(avg(pow(g[k+1] - t[k+1], 2)))/(CASE WHEN any_value(sd) > 0 THEN any_value(sd) ELSE 1 END)")} nrmse FROM e GROUP BY 1"""
 
 
 @query("rollout_report", "M13 X9", _ROLL)
 def rollout_report(spark, sf):
-    """Roll the seasonal model on from the first half of each whole series; steps until it leaves the second half by 0.4 of that half's spread."""
+    """Roll the seasonal model on from the first half of each whole series over all of its second half, block by block.
+
+    ``vpt`` is the first step that is off by 0.4 of the second half's spread, else the half's length; ``nrmse``
+    is over all steps. Series of one point have no first half and give no row.
+    """
     t = series_bins(spark, sf).groupBy("series_key").agg(F.expr("transform(array_sort(collect_list(struct(ts, value))), p -> p.value)").alias("v"))
-    t = freeze(t.where("size(v) >= 200").selectExpr("series_key", "slice(v, 1, size(v) div 2) AS context", "slice(v, size(v) div 2 + 1, size(v)) AS truth"))
-    run = M.free_run(t.select("series_key", "context"), "series_key", 24, 24)
+    t = freeze(t.where("size(v) >= 2").selectExpr("series_key", "slice(v, 1, size(v) div 2) AS context", "slice(v, size(v) div 2 + 1, size(v)) AS truth"))
+    run = M.free_run(t.withColumn("total", F.size("truth")), "series_key", "total", ROLL_BLOCK)
     spread = t.select("series_key", F.expr(A.std_pop("truth")).alias("sd"), "truth")
     pairs = run.join(spread, "series_key").select("series_key", F.expr("if(sd > 0, sd, 1D)").alias("sd"), F.posexplode(F.arrays_zip("generated", "truth")).alias("step", "p"))
-    off = F.abs(F.col("p.generated") - F.col("p.truth")) / F.col("sd") > 0.4
-    pairs = pairs.where("p.generated IS NOT NULL")
-    return pairs.groupBy("series_key").agg(rnd(F.coalesce(F.min(F.when(off, F.col("step"))), F.lit(24))).alias("vpt"))
+    off = F.abs(F.col("p.generated") - F.col("p.truth")) / F.col("sd")
+    return pairs.groupBy("series_key").agg(F.count(F.lit(1)).alias("steps"), rnd(F.coalesce(F.min(F.when(off > 0.4, F.col("step"))), F.count(F.lit(1)))).alias("vpt"), rnd(F.sqrt(F.avg(off * off))).alias("nrmse"))

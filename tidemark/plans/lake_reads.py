@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import uniform_sql
 from tidemark.operators import clean as K, series as Q
 from tidemark.plans.views import BINS_SQL, R, load, rnd, series_bins
+from tidemark.functions import timeparse as T
 from tidemark.registry import query
 from tidemark.session import scratch_path
 from tidemark.sources import lake as L
@@ -176,7 +177,7 @@ def strided_windows(spark, sf):
 _SEED = "motif-v1"
 
 
-@query("motif_extraction", "C1 T10 W2 G29", f"""WITH {BINS_SQL}, b2 AS (SELECT * FROM bins WHERE NOT (hash_gap(series_key, ts))),
+@query("motif_extraction", "C1 T10 W2", f"""WITH {BINS_SQL}, b2 AS (SELECT * FROM bins WHERE NOT (hash_gap(series_key, ts))),
 g AS (SELECT series_key, ts, "value" v, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY series_key ORDER BY ts)) gap FROM b2), m AS (SELECT series_key, median(gap) med FROM g WHERE gap > 0 GROUP BY 1),
 s AS (SELECT g.*, sum(CASE WHEN gap > 8*med THEN 1 ELSE 0 END) OVER (PARTITION BY g.series_key ORDER BY ts) seg FROM g LEFT JOIN m USING (series_key)),
 p AS (SELECT series_key, seg, count(*) n, count(*) OVER (PARTITION BY series_key) nseg, sum(count(*)) OVER (PARTITION BY series_key) tot FROM s GROUP BY 1,2 QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY n DESC, seg) = 1),
@@ -194,6 +195,28 @@ def motif_extraction(spark, sf):
                     F.coalesce(F.size("motif"), F.lit(0)).cast("bigint").alias("len"), F.unix_seconds(F.array_max("motif_ts")).alias("last_ts"))
 
 
+@query("rejection_summary", "G29", f"""WITH {BINS_SQL}, b2 AS (SELECT * FROM bins WHERE NOT (series_key LIKE 'ship_day|%' AND dayofmonth(ts) > 20) AND NOT (series_key LIKE 'order_week|%' AND year(ts) > 1993)),
+g AS (SELECT series_key, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY series_key ORDER BY ts)) gap FROM b2), m AS (SELECT series_key, median(gap) med FROM g WHERE gap > 0 GROUP BY 1),
+s AS (SELECT g.*, sum(CASE WHEN gap > 8*med THEN 1 ELSE 0 END) OVER (PARTITION BY g.series_key ORDER BY ts) seg FROM g LEFT JOIN m USING (series_key)), p AS (SELECT series_key, seg, count(*) n FROM s GROUP BY 1, 2), l AS (SELECT series_key, max(n) n FROM p GROUP BY 1)
+SELECT 'longest contiguous segment under floor' reason, count(*) n_series FROM l WHERE n < 128 HAVING count(*) > 0""")
+def rejection_summary(spark, sf):
+    """Why series give no window: the shipping days lose a third of every month, the weekly orders all but their first years."""
+    b = series_bins(spark, sf).where("NOT (series_key LIKE 'ship\\_day|%' AND dayofmonth(ts) > 20) AND NOT (series_key LIKE 'order\\_week|%' AND year(ts) > 1993)")
+    return Q.rejection_summary(Q.extract_motifs(b, ["series_key"], "ts", "value", 320, _SEED, 0.5), "reason")
+
+
+_STAMP = "event_id % (CASE WHEN event_type = 'error' THEN 4 ELSE 25 END) = 0"
+
+
+@query("chronological_order", "W3", f"""WITH e AS (SELECT event_type, event_id, CASE WHEN {_STAMP} THEN NULL ELSE date_trunc('second', ts) END t FROM events), s AS (SELECT *, avg(CASE WHEN t IS NULL THEN 0.0 ELSE 1 END) OVER (PARTITION BY event_type) r FROM e)
+SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN r > 0.9 THEN t END NULLS LAST, event_id) "position" FROM s""")
+def chronological_order(spark, sf):
+    """Stamps arrive as text; some cannot be read, of one type too many."""
+    e = load(spark, sf, "events").selectExpr("event_type", "event_id", f"if({_STAMP}, 'not known', date_format(ts, 'yyyy-MM-dd HH:mm:ss')) AS stamp")
+    e = e.withColumn("t", F.expr(T.parse_ts("stamp")))
+    return Q.chronological(e, ["event_type"], "t", "event_id").select("event_type", "event_id", "position")
+
+
 @query("longest_flow_series", "G25", """WITH s AS (SELECT p_type flow, concat(p_brand, '.', l_returnflag) skey, CASE CAST(regexp_extract(p_brand, '[0-9]+') AS INT) % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'Q' WHEN 2 THEN 'W' ELSE 'A' END code, count(DISTINCT date_trunc('month', l_shipdate)) n
  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1,2,3)
 SELECT flow, skey, code, n n_periods FROM s WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY flow ORDER BY CASE code WHEN 'M' THEN 0 WHEN 'W' THEN 1 WHEN 'Q' THEN 2 ELSE 3 END, n DESC, skey) = 1""")
