@@ -22,12 +22,12 @@ def test_query_on_whole_table(spark):
 def test_odd_rows(spark):
     schema = "doc_id long, text string, lang string, score double, lang_pred string"
     rows = [(1, "the cat and the dog", "en", 0.1, "x"), (2, "le chat et le chien", "fr", 0.1, "x"), (3, None, "en", 0.1, "x"), (4, "", "fr", 0.1, "x"),
-            (5, "12 34 !", None, 0.1, "x"), (6, "z" * 50000, None, 0.1, "x"), (None, "the dog", None, 0.1, "x"), (1, "the cat and the dog", "en", 0.1, "x")]
+            (5, "12 34 !", None, 0.1, "x"), (6, "z" * 50000, None, 0.1, "x"), (7, "½ ² ① ٣ _", None, 0.1, "x"), (None, "the dog", None, 0.1, "x"), (1, "the cat and the dog", "en", 0.1, "x")]
     df = spark.createDataFrame(rows, schema)
     model = language.fit(df.selectExpr("doc_id AS id", "text", "lang"))
     got = language.predict(df, model, ["doc_id"]).collect()
     assert len(got) == len(rows)
-    assert {r.doc_id: r.lang_pred for r in got} | {6: None} == {1: "en", 2: "fr", 3: "und", 4: "und", 5: "und", 6: None, None: "en"}
+    assert {r.doc_id: r.lang_pred for r in got} | {6: None} == {1: "en", 2: "fr", 3: "und", 4: "und", 5: "und", 6: None, 7: "und", None: "en"}
     assert language.fit(df.limit(0).selectExpr("doc_id AS id", "text", "lang")) is None
     assert {r.lang_pred for r in language.predict(df, None, ["doc_id"]).collect()} == {"und"}
 

@@ -9,7 +9,6 @@ probabilities. Prediction reads whole texts.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,6 @@ class Grams:
     """Distinct hashed n-grams of a text and their counts."""
 
     def __init__(self):
-        self.letter = re.compile(r"[^\W\d_]").search
         self.odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +174,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 def predict(df: DataFrame, model: Model | None, keep: list[Column | str]) -> DataFrame:
     """``keep`` (columns of ``df``) with lang_pred and score from the whole ``text``.
 
-    A null text, one without a letter, and any text without a model give ``und`` with score 0.
+    A null text, one without a letter (``str.isalpha``: digits in circles and fractions are none), and any text
+    without a model give ``und`` with score 0. Of languages of equal probability the first in order is taken. Every
+    row is judged on its own: repeated rows give repeated results, an empty table none. Columns of ``df`` called
+    lang_pred or score clash only if they are kept.
     """
     rows = df.select(*keep, "text")
     names = rows.columns[:-1]
@@ -187,7 +188,7 @@ def predict(df: DataFrame, model: Model | None, keep: list[Column | str]) -> Dat
         for b in batches:
             lang, score = [], []
             for t in b.column("text").to_pylist():
-                if m is None or t is None or not grams.letter(t):
+                if m is None or t is None or not any(map(str.isalpha, t)):
                     lang.append(UNKNOWN)
                     score.append(0.0)
                     continue
