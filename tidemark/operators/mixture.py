@@ -86,15 +86,17 @@ def _round(points: DataFrame, live: DataFrame, keys: list[str], x: list[str], co
 
 
 def mixture_divergence(truth: DataFrame, generated: DataFrame, keys: list[str], x: list[str], components: int = COMPONENTS,
-                       draws: int = DRAWS, seed: int = 0) -> DataFrame:
+                       draws: int = DRAWS, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
     """(keys, d_stsp): mean log ratio of the truth's mixture to the generated one's at points of the truth, not below 0.
 
     Beyond ``draws`` points of a group those least by a seeded hash of their
     coordinates count: the estimator is a Monte-Carlo mean. Mixtures of equal
     groups are equal, so a group against itself gives 0.
     """
-    t = fit(truth, keys, x, components, seed=seed).select(*keys, "n", F.col("mixture").alias("_t"))
-    g = fit(generated, keys, x, components, seed=seed).select(*keys, F.col("mixture").alias("_g"))
+    both = truth.select(*keys, *x, F.lit("t").alias("_kind")).unionByName(generated.select(*keys, *x, F.lit("g").alias("_kind")))
+    made = fit(both, [*keys, "_kind"], x, components, rounds, seed)  # all groups of both sides share the rounds
+    t = made.where("_kind = 't'").select(*keys, "n", F.col("mixture").alias("_t"))
+    g = made.where("_kind = 'g'").select(*keys, F.col("mixture").alias("_g"))
     p = truth.where(" AND ".join(f"{c} IS NOT NULL" for c in x)).select(*keys, *x).join(t, keys)
     first = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed + 1), *x), *x)
     few = p.where(F.col("n") > draws).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= draws).drop("_r")

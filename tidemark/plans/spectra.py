@@ -36,11 +36,14 @@ def series_flatness(spark, sf):
     return S.flatness_rows(freeze(points), ["series_key"], "i", "value").withColumn("flatness", rnd(F.col("flatness"), 5))
 
 
+MIXTURE_ROUNDS = 8
+
+
 @query("mixture_divergence", "X5")
 def mixture_divergence(spark, sf):
-    """Four delayed coordinates, where a histogram is too sparse; both series take the truth's delay."""
+    """Four delayed coordinates, where a histogram is too sparse; both series take the truth's delay. ``MIXTURE_ROUNDS`` rounds at most."""
     t, g = _generated(spark, sf)
     tau = freeze(Q.embedding_delay(t, ["series_key"], "ts", "value"))
     x = [f"x{k}" for k in range(4)]
     a, b = (freeze(Q.embed_points(df, ["series_key"], "ts", "value", tau, 4).select("series_key", *x)) for df in (t, g))
-    return mixture.mixture_divergence(a, b, ["series_key"], x).withColumn("d_stsp", rnd(F.col("d_stsp"), 4))
+    return mixture.mixture_divergence(a, b, ["series_key"], x, components=4, rounds=MIXTURE_ROUNDS).withColumn("d_stsp", rnd(F.col("d_stsp"), 4))
