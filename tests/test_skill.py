@@ -133,3 +133,11 @@ def test_user_forecaster_and_free_run(spark):
     assert all(set(r["mean"]) == {7.0} for r in f)
     runs = M.free_run(ch.select("series_key", "context"), "series_key", 50, 24).collect()
     assert all(len(r["generated"]) == 50 for r in runs)
+
+
+def test_bootstrap_samples_have_as_many_rows_as_the_group(spark):
+    rows = spark.createDataFrame([(m, f"c{i:02d}", 1.0, float(i)) for m, n in (("a", 37), ("b", 5), ("c", 1)) for i in range(n)], "model string, challenge_id string, one double, v double")
+    got = S.bootstrap_totals(rows, "model", "challenge_id", ["one", "v"], "seed", 50).collect()
+    assert len(got) == 150
+    assert all(r.one == {"a": 37, "b": 5, "c": 1}[r.model] for r in got)
+    assert len({r.v for r in got if r.model == "a"}) > 20  # the samples differ

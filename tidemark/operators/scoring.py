@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark import dims
 from tidemark.functions.hashing import uniform
 from tidemark.functions import arrays as A
+from tidemark.operators.bounded import running_total
+from tidemark.session import freeze
 
 NQ = len(dims.DECILES)
 
@@ -158,14 +160,15 @@ def leaderboard(scores: DataFrame, primary: str = "mase", eps: float = dims.EPS)
 
 
 def bootstrap_totals(rows: DataFrame, group: str, unit: str, sums: list[str], seed: str, boots: int) -> DataFrame:
-    """(group, boot, sums): resampled totals, every row counted a hash-drawn Poisson(1) number of times in each of ``boots`` samples.
+    """(group, boot, sums): resampled totals; each of ``boots`` samples of a group draws as many rows as the group has, with replacement.
 
-    The number depends on (seed, boot, unit) alone, so groups that share units
-    are resampled alike. Rows meet their samples within their task and are summed
-    there: what is shuffled is one row per group, sample and task.
+    Rows are numbered by ``unit`` within their group. Slot k of a sample takes the
+    row that a hash of (seed, boot, k) names, so groups of one size are resampled
+    alike. Draws of the same row are counted first, then meet their row once.
     """
-    steps = (0.3678794411714423, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
-    u = uniform(seed, F.col("boot"), F.col(unit))
-    times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    drawn = rows.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(boots - 1)))).withColumn("_t", times).where("_t > 0")
-    return drawn.groupBy(group, "boot").agg(*[F.sum(F.col("_t") * F.col(c)).alias(c) for c in sums])
+    num = freeze(running_total(rows.withColumn("_one", F.lit(1).cast("bigint")), [group], unit, "_one", "_upto").withColumn("_i", F.col("_upto") - 1))
+    size = num.groupBy(group).agg(F.max("_upto").alias("_n"))
+    slots = num.select(group, "_i").join(size, group).withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
+    drawn = slots.select(group, "boot", F.floor(uniform(seed, F.col("boot"), F.col("_i")) * F.col("_n")).cast("bigint").alias("_i"))
+    times = drawn.groupBy(group, "boot", "_i").agg(F.count(F.lit(1)).alias("_t"))
+    return times.join(num.select(group, "_i", *sums), [group, "_i"]).groupBy(group, "boot").agg(*[F.sum(F.col("_t") * F.col(c)).alias(c) for c in sums])

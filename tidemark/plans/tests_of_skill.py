@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window, functions as F
 
 from tidemark import dims
@@ -170,18 +168,16 @@ _BOOT_SEED = "boot-v1"
 _BOOT_METRICS = ("mase", "wql", "crps")
 
 
-# distribution function of a Poisson number of mean 1
-_POISSON = [sum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in range(8)]
-
-
 @query("pooled_bootstrap", "G10", f"""WITH {SCORE_SQL},
-bd AS (SELECT sc.*, boot, {uniform_sql(_BOOT_SEED, 'boot', 'challenge_id')} u FROM sc, range({N_BOOT}) b(boot)),
-pk AS (SELECT *, {' + '.join(f'CASE WHEN u >= {p!r} THEN 1 ELSE 0 END' for p in _POISSON)} t FROM bd),
-bs AS (SELECT model, boot, sum(t*weight*mase)/sum(t*weight) mase, sum(t*weight*wql_num)/(9*sum(t*weight*abs_truth)) wql, sum(t*weight*crps)/sum(t*weight) crps FROM pk WHERE t > 0 GROUP BY 1, 2),
+nu AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY challenge_id)-1 i, count(*) OVER (PARTITION BY model) n FROM sc),
+bo AS (SELECT model, i slot, n, unnest(range({N_BOOT})) boot FROM nu),
+pk AS (SELECT model, boot, CAST(floor({uniform_sql(_BOOT_SEED, 'boot', 'slot')}*n) AS BIGINT) i FROM bo),
+bs AS (SELECT pk.model, boot, sum(weight*mase)/sum(weight) mase, sum(weight*wql_num)/(9*sum(weight*abs_truth)) wql,
+  sum(weight*crps)/sum(weight) crps FROM pk JOIN nu USING (model, i) GROUP BY 1,2),
 l AS (UNPIVOT bs ON mase, wql, crps INTO NAME metric VALUE v)
 SELECT model, metric, {R('quantile_cont(v,0.025)')} lo95, {R('quantile_cont(v,0.975)')} hi95, {R('stddev_pop(v)')} boot_std, count(*) n_boot FROM l GROUP BY 1,2""")
 def pooled_bootstrap(spark, sf):
-    """Resample stored contributions: each counts a hash-drawn number of times in each of ``N_BOOT`` samples."""
+    """Resample stored contributions: each of ``N_BOOT`` samples draws as many rows by hash as there are, with replacement."""
     s = score_table(spark, sf).select(
         "model", "challenge_id", "weight", (F.col("weight") * F.col("mase")).alias("mase_w"),
         (F.col("weight") * F.col("wql_num")).alias("wql_w"), (F.col("weight") * F.col("abs_truth")).alias("abs_w"), (F.col("weight") * F.col("crps")).alias("crps_w"))
