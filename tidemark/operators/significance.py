@@ -94,10 +94,13 @@ def pairwise(scores: DataFrame, metric: str = "crps", block: str = "challenge_id
 
 
 def block_ranks(scores: DataFrame, metric: str) -> DataFrame:
-    """Rank of every model inside each challenge, ties averaged (group = model roster)."""
-    w = Window.partitionBy("challenge_id")
-    lo = F.rank().over(w.orderBy(metric))
-    same = F.count(F.lit(1)).over(Window.partitionBy("challenge_id", metric))
+    """Rank of every model inside each challenge, ties averaged (group = model roster).
+
+    Scores that agree to nine decimals are tied: what lies below is rounding of sums.
+    """
+    scores = scores.withColumn("_score", F.round(metric, 9))
+    lo = F.rank().over(Window.partitionBy("challenge_id").orderBy("_score"))
+    same = F.count(F.lit(1)).over(Window.partitionBy("challenge_id", "_score"))
     return scores.select("model", "challenge_id", (lo + (same - 1) / 2).alias("block_rank"))
 
 
