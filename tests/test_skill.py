@@ -141,3 +141,20 @@ def test_bootstrap_samples_have_as_many_rows_as_the_group(spark):
     assert len(got) == 150
     assert all(r.one == {"a": 37, "b": 5, "c": 1}[r.model] for r in got)
     assert len({r.v for r in got if r.model == "a"}) > 20  # the samples differ
+
+
+def test_scores_equal_but_for_rounding_share_a_rank(spark):
+    rows = [(m, "c", v) for m, v in (("a", 0.1 + 0.2), ("b", 0.3), ("c", 0.1), ("d", 0.30001))]
+    got = {r.model: r.block_rank for r in E.block_ranks(spark.createDataFrame(rows, "model string, challenge_id string, crps double"), "crps").collect()}
+    assert got == {"c": 1.0, "a": 2.5, "b": 2.5, "d": 4.0}
+
+
+def test_sweeps_of_one_second_go_by_their_place_in_the_log(spark):
+    from tidemark.operators import monitor as O
+
+    line = "2024-01-01 00:00:0{},123 INFO sweep finished: 5 ok, {} failed, {} skipped of 9 in 1.5s"
+    rows = [("x", k, line.format(1, k, k % 2)) for k in range(12)] + [("x", 99, line.format(0, 77, 1))]
+    for order in (rows, rows[::-1], rows[6:] + rows[:6]):
+        df = spark.createDataFrame(order, "log string, line_no long, line string").coalesce(1)
+        got = O.recent_sweeps(O.parse_sweeps(df, "line", "log", "line_no"), ["log"], "line_no").collect()
+        assert [(r.seen, r.skipping, r.skipped_last, r.failed_last, r.chronic) for r in got] == [(8, 4, 1, 11, False)]

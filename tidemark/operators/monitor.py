@@ -72,9 +72,13 @@ def parse_sweeps(log: DataFrame, line: str, *keep: str) -> DataFrame:
         g(4).cast("bigint").alias("skipped"), g(5).cast("bigint").alias("total"), g(6).cast("double").alias("seconds"))
 
 
-def recent_sweeps(sweeps: DataFrame, keys: list[str], keep: int = 8) -> DataFrame:
-    """The last ``keep`` sweeps per log and whether every one of them hit its deadline."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("at"))
+def recent_sweeps(sweeps: DataFrame, keys: list[str], position: str, keep: int = 8) -> DataFrame:
+    """The last ``keep`` sweeps per log and whether every one of them hit its deadline.
+
+    Log lines are stamped to the second; within one second the line further down
+    the log (``position``) is the later one.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc(position))
     r = sweeps.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep)
     return r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("seen"), F.count_if(F.col("skipped") > 0).alias("skipping"),

@@ -133,14 +133,14 @@ def heartbeats(spark, sf):
 
 def sweep_log(spark, sf):
     return load(spark, sf, "events").selectExpr(
-        "event_type AS log", "if(event_id % 5 = 4, concat('debug line ', event_id), concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ',123 INFO sweep finished: ', user_id, ' ok, ', event_id % 3, ' failed, ', "
+        "event_type AS log", "event_id AS line_no", "if(event_id % 5 = 4, concat('debug line ', event_id), concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ',123 INFO sweep finished: ', user_id, ' ok, ', event_id % 3, ' failed, ', "
         "if(event_type = 'error', event_id % 7 + 1, event_id % 7), ' skipped of ', user_id + 10, ' in ', value, 's')) AS line")
 
 
-@query("sweep_log", "O2", """WITH s AS (SELECT event_type log, ts, event_id % 3 failed, CASE WHEN event_type = 'error' THEN event_id % 7 + 1 ELSE event_id % 7 END sk FROM events WHERE event_id % 5 <> 4 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('second', ts) DESC) <= 8)
-SELECT log, count(*) seen, count(CASE WHEN sk > 0 THEN 1 END) skipping, CAST(arg_max(sk, ts) AS BIGINT) skipped_last, CAST(arg_max(failed, ts) AS BIGINT) failed_last, count(CASE WHEN sk > 0 THEN 1 END) = count(*) AND count(*) > 2 chronic FROM s GROUP BY 1""")
+@query("sweep_log", "O2", """WITH s AS (SELECT event_type log, ts, event_id, event_id % 3 failed, CASE WHEN event_type = 'error' THEN event_id % 7 + 1 ELSE event_id % 7 END sk FROM events WHERE event_id % 5 <> 4 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('second', ts) DESC, event_id DESC) <= 8)
+SELECT log, count(*) seen, count(CASE WHEN sk > 0 THEN 1 END) skipping, CAST(arg_max(sk, (date_trunc('second', ts), event_id)) AS BIGINT) skipped_last, CAST(arg_max(failed, (date_trunc('second', ts), event_id)) AS BIGINT) failed_last, count(CASE WHEN sk > 0 THEN 1 END) = count(*) AND count(*) > 2 chronic FROM s GROUP BY 1""")
 def sweep_log_query(spark, sf):
-    return O.recent_sweeps(O.parse_sweeps(sweep_log(spark, sf), "line", "log"), ["log"])
+    return O.recent_sweeps(O.parse_sweeps(sweep_log(spark, sf), "line", "log", "line_no"), ["log"], "line_no")
 
 
 def error_log(spark, sf):
