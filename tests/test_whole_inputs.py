@@ -91,3 +91,21 @@ def test_levels_equal_a_plain_fold_over_batches_and_buckets(spark, tmp_path):
         want[k] = (v, 1) if k not in want else (0.3 * v + 0.7 * want[k][0], want[k][1] + 1)
     got = {r.k: (r.level, r.n) for r in table.read().collect()}
     assert set(got) == set(want) and all(got[k][1] == n and abs(got[k][0] - x) < 1e-9 for k, (x, n) in want.items())
+
+
+def test_source_verdicts_of_repeating_series(spark, tmp_path):
+    """Sixty months with the same values: long enough, but too few distinct values to pass; query and SQL say so."""
+    import os
+
+    from compare import DATA, diff, duck
+    from tidemark.registry import load_all
+
+    for name in os.listdir(f"{DATA}/sf0.001"):
+        if name != "events.parquet":
+            os.symlink(f"{DATA}/sf0.001/{name}", tmp_path / name)
+    con = duck(f"{DATA}/sf0.001")
+    con.execute(f"COPY (SELECT * REPLACE (event_id + 1000*i AS event_id, ts + to_days((30*i)::INT) AS ts) FROM events, range(60) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    q = load_all()["source_verdicts"]
+    df = q.run(spark, str(tmp_path)).localCheckpoint()
+    assert {r.reasons for r in df.collect() if r.source_id == "event_hour"} == {"too few series pass"}
+    assert diff(df, duck(str(tmp_path)), q.sql) is None

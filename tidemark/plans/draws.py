@@ -169,7 +169,11 @@ def discrimination(spark, sf):
     return d.select("source_id", rnd(F.col("predictability")).alias("predictability"), rnd(F.col("naive_error")).alias("naive_error"), "n_windows", "ok")
 
 
-@query("source_verdicts", "Q4 Q3 Q1", f"""WITH {SCORE_SQL}, {_DISC}, s AS (SELECT source_id, series_key, count(*) n FROM bins GROUP BY 1,2), v AS (SELECT source_id, count(*) n_series, count(CASE WHEN n >= {Q.SERIES_LEN} THEN 1 END) n_ok FROM s GROUP BY 1)
+@query("source_verdicts", "Q4 Q3 Q1", f"""WITH {SCORE_SQL}, {_DISC}, md AS (SELECT series_key, median(round("value", 10)) med FROM bins GROUP BY 1),
+fl AS (SELECT series_key, max(c)::DOUBLE/sum(c) flat FROM (SELECT series_key, run, count(*) c FROM (SELECT series_key, sum(ch) OVER (PARTITION BY series_key ORDER BY ts) run FROM (SELECT series_key, ts, CASE WHEN "value" <> lag("value") OVER (PARTITION BY series_key ORDER BY ts) THEN 1 ELSE 0 END ch FROM bins)) GROUP BY 1,2) GROUP BY 1),
+a AS (SELECT source_id, bins.series_key, count(*) n, count(DISTINCT round("value", 10)) u, avg("value") m, stddev_pop("value") sd, sum(("value"-med)*("value"-med)) ss, max(("value"-med)*("value"-med)) mx FROM bins JOIN md USING (series_key) GROUP BY 1,2),
+s AS (SELECT source_id, n >= {Q.SERIES_LEN} AND NOT (n >= 8 AND (sd <= 1e-6*(abs(m)+1e-8) OR sd = 0 OR u::DOUBLE/n < 0.05 OR flat > 0.5 OR (ss > 0 AND mx/ss > 0.5))) ok FROM a JOIN fl USING (series_key)),
+v AS (SELECT source_id, count(*) n_series, count(CASE WHEN ok THEN 1 END) n_ok FROM s GROUP BY 1)
 SELECT source_id, n_series, n_ok, CASE WHEN n_ok < 0.6*n_series THEN 'too few series pass' WHEN nw IS NULL OR nw < 4 THEN 'too few windows' ELSE concat_ws(',', CASE WHEN pr < 0.15 THEN 'unforecastable' END, CASE WHEN ne < 0.1 THEN 'trivial' END) END reasons FROM v LEFT JOIN dd2 USING (source_id)""")
 def source_verdicts(spark, sf):
     q = Q.assess_series(series_bins(spark, sf), ["source_id", "series_key"], "ts", "value")
