@@ -188,3 +188,29 @@ def test_kaplan_yorke_known_spectra(spark):
     rows = [("lorenz", i, v) for i, v in enumerate((0.906, 0.0, -14.57))] + [("sink", i, v) for i, v in enumerate((-1.0, -2.0))] + [("full", i, v) for i, v in enumerate((1.0, 0.5))]
     r = {x["s"]: x["dimension"] for x in X.kaplan_yorke(spark.createDataFrame(rows, "s string, idx int, l double"), ["s"], "l").collect()}
     assert r["lorenz"] == pytest.approx(2.0622, abs=1e-3) and r["sink"] == 0.0 and r["full"] == 2.0
+
+
+def test_spread_vectors_meet_block_by_block(spark, monkeypatch):
+    """Blocks of 50 rows: first lower neighbours, matches and pairs equal brute force, and no row travels more often than there are blocks."""
+    monkeypatch.setattr(N, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(230, 32))
+    x = np.vstack([x, x[:60] + 0.05 * rng.normal(size=(60, 32)), np.repeat(x[:1], 30, axis=0) + 0.02 * rng.normal(size=(30, 32))])
+    x = x[rng.permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0])], "id long, vec array<double>")
+    near = x @ x.T >= 0.985
+    want = {i: int(np.flatnonzero(near[i, :i])[0]) for i in range(len(x)) if near[i, :i].any()}
+    assert {r.id: r.low for r in N.lowest_like(df, "id", "vec", 32).collect()} == want and len(want) > 80
+    assert {r.id for r in N.repeats_of_lower(df, "id", "vec", 32).collect()} == set(want)
+    got = {r.id for r in N.like_any(df.where("id < 200"), df.where("id >= 200"), "id", "vec", 32).collect()}
+    assert got == {i for i in range(200) if near[i, 200:].any()}
+    pairs = N.near_pairs(df.withColumnRenamed("id", "a"), df.withColumnRenamed("id", "b"), "a", "b", "vec", 32, ordered=True).collect()
+    assert sorted((r.a, r.b) for r in pairs) == [(i, j) for i in range(len(x)) for j in range(i) if near[i, j]]
+    kept = []
+    for i in range(len(x)):
+        if not near[i, kept].any():
+            kept.append(i)
+    assert {r.id for r in N.greedy_repeats(df.where("id < 900"), "id", "vec", 32).collect()} == set(range(len(x))) - set(kept)
+    rows, _ = N._units(df, None, "id", "vec", 32)
+    assert rows.count() == len(x) * -(-len(x) // 50)

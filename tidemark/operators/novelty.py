@@ -1,20 +1,24 @@
 """Signatures, near-duplicate joins, as-of gates and leakage probes.
 
-The near-duplicate join is exact. Two unit vectors with cosine >= t lie within
-r = sqrt(2 - 2t), so their projections on any orthonormal direction differ by at
-most r: vectors are cut into cells of width r along a few fixed directions and
-only the neighbouring cells are compared. Identical vectors collapse to one row
-before the join, and candidates that match the cell's first member are settled
-before the full comparison, so a mass of copies costs one comparison each.
+The near-duplicate join is exact. Identical vectors collapse to one row before
+it. Rows are dealt to blocks by a hash of their ids, every two blocks meet in a
+task of their own, and a task compares its two blocks tile by tile. Two unit
+vectors with cosine >= t lie within sqrt(2 - 2t), and so do their projections on
+any few orthonormal directions: one small matrix product per tile leaves out
+almost all pairs, what is left is decided by the whole dot product. Spread
+vectors of many dimensions have no cells that part them, so all pairs of blocks
+are met; what is shuffled is each row once per block of the other side.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark import dims
 from tidemark.functions import arrays as A
@@ -45,25 +49,11 @@ def directions(dim: int, k: int) -> np.ndarray:
     return q.T
 
 
-N_DIRECTIONS = 16  # the first few cut the grid, all of them filter pairs
-
-
-_CELL = ["_c0", "_c1", "_c2"]
-_PROJ = [f"_p{i}" for i in range(N_DIRECTIONS)]
-
-
-def radius(threshold: float) -> float:
-    return math.sqrt(2 - 2 * threshold) + 1e-9
-
-
-def placed(df: DataFrame, vec: str, dim: int, threshold: float) -> DataFrame:
-    """Add the coordinates along the fixed directions and the grid cell of the first three."""
-    if "_p0" in df.columns:
-        return df
-    rows = ", ".join("array(" + ", ".join(f"{v:.17g}D" for v in d) + ")" for d in directions(dim, N_DIRECTIONS))
-    df = df.withColumn("_proj", F.expr(f"transform(array({rows}), d_ -> {A.dot(vec, 'd_')})"))
-    df = df.select("*", *[F.col("_proj")[i].alias(p) for i, p in enumerate(_PROJ)]).drop("_proj")
-    return df.select("*", *[F.floor(F.col(p) / radius(threshold)).cast("int").alias(c) for p, c in zip(_PROJ, _CELL)])
+N_DIRECTIONS = 16  # directions of the first comparison
+BLOCK = 1 << 16  # most rows of a block; a task holds two blocks
+PIECE, PIECES = 1 << 12, 8  # smaller inputs are cut into up to so many blocks of at least so many rows, to keep all cores busy
+TILE = (512, 2048)
+SLACK = 1e-5  # more than single precision loses on unit vectors
 
 
 def collapse(df: DataFrame, id_: str, vec: str) -> DataFrame:
@@ -71,109 +61,208 @@ def collapse(df: DataFrame, id_: str, vec: str) -> DataFrame:
     return df.groupBy(vec).agg(F.min(id_).alias(id_), F.count(F.lit(1)).alias("copies"))
 
 
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of the rows of x with the same rows of y, summed in order of the dimensions."""
+    out = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        out += x[:, k] * y[:, k]
+    return out
+
+
+class _Side:
+    """Vectors of one side with what the first comparison needs."""
+
+    def __init__(self, x: np.ndarray, turn: np.ndarray, left: bool) -> None:
+        self.x, self.single = x, x.astype(np.float32)
+        p = self.single @ turn
+        half, one = -(p * p).sum(axis=1, keepdims=True) / 2, np.ones((len(x), 1), np.float32)
+        self.small = np.hstack([p, half, one] if left else [p, one, half])
+
+
+def _tile(a: _Side, rows: np.ndarray, b: _Side, lo: int, hi: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``rows``, column) of the pairs of a tile with dot product >= t, row by row and columns ascending."""
+    i, j = np.nonzero(a.small[rows] @ b.small[lo:hi].T >= t - 1 - SLACK)
+    if len(i) > len(rows) * (hi - lo) // 16:
+        dots = a.single[rows] @ b.single[lo:hi].T
+        i, j = np.nonzero(dots >= t - SLACK)
+        sure = dots[i, j] >= t + SLACK
+    else:
+        sure = np.zeros(len(i), bool)
+    open_ = np.flatnonzero(~sure)
+    for k in range(0, len(open_), 1 << 16):
+        at = open_[k:k + (1 << 16)]
+        sure[at] = _dots(a.x[rows[i[at]]], b.x[lo + j[at]]) >= t
+    return i[sure], lo + j[sure]
+
+
+def _first_hits(a: _Side, b: _Side, t: float, before: np.ndarray) -> np.ndarray:
+    """For each row of a its first similar row of b among the first ``before``, else -1; a row that has one is done."""
+    first = np.full(len(a.x), -1, np.int64)
+    for r in range(0, len(a.x), TILE[0]):
+        rows = np.arange(r, min(r + TILE[0], len(a.x)))
+        end = int(before[rows].max())
+        for lo in range(0, end, TILE[1]):
+            i, j = _tile(a, rows, b, lo, min(lo + TILE[1], end), t)
+            if len(i):
+                head = np.flatnonzero(np.diff(i, prepend=-1))
+                i, j = rows[i[head]], j[head]
+                ok = j < before[i]
+                first[i[ok]] = j[ok]
+                rows = rows[first[rows] < 0]
+                if not len(rows):
+                    break
+    return first
+
+
+def _units(left: DataFrame, right: DataFrame | None, id_: str, vec: str, dim: int) -> tuple[DataFrame, str]:
+    """Rows (unit, side, id, vec) with one unit per partition: each block of ``left`` with each of ``right``, or with each of its own."""
+    ok = F.expr(f"size({vec}) = {dim} AND NOT exists({vec}, v -> v IS NULL)")
+    kind = left.schema[id_].dataType.simpleString()
+
+    def dealt(df: DataFrame) -> tuple[DataFrame, int]:
+        df = df.where(ok).select(F.col(id_).alias("id"), F.col(vec).alias("vec"))
+        rows = df.count()
+        n = max(1, -(-rows // BLOCK), min(PIECES, rows // PIECE))
+        return df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n))), n
+
+    a, na = dealt(left)
+    if right is None:
+        other = a.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
+        lo, hi = F.least("_b", "_k"), F.greatest("_b", "_k")
+        rows = other.select((hi * (hi + 1) / 2 + lo).cast("int").alias("unit"), (F.col("_b") == hi).cast("int").alias("side"), "id", "vec")
+        n = na * (na + 1) // 2
+    else:
+        b, nb = dealt(right)
+        x = a.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).select((F.col("_b") * nb + F.col("_k")).cast("int").alias("unit"), F.lit(0).alias("side"), "id", "vec")
+        y = b.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(na - 1)))).select((F.col("_k") * nb + F.col("_b")).cast("int").alias("unit"), F.lit(1).alias("side"), "id", "vec")
+        rows, n = x.unionAll(y), na * nb
+    return rows.repartitionById(n, "unit"), kind
+
+
+def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(side, ids, vectors) of the unit of a partition, ids ascending."""
+    got: dict[int, list] = {}
+    for b in batches:
+        unit = b.column("unit").to_numpy()
+        for u in np.unique(unit):
+            part = b.filter(pa.array(unit == u))
+            got.setdefault(int(u), []).append((part.column("side").to_numpy(), part.column("id"), part.column("vec").flatten().to_numpy().reshape(part.num_rows, -1)))
+    for parts in got.values():
+        ids = pa.concat_arrays([p[1] for p in parts])
+        order = pc.sort_indices(ids).to_numpy()
+        yield np.concatenate([p[0] for p in parts])[order], ids.take(pa.array(order)), np.concatenate([p[2] for p in parts])[order]
+
+
+def lowest_like(df: DataFrame, id_: str, vec: str, dim: int, threshold: float = dims.DUP_COSINE) -> DataFrame:
+    """(id, low): the lowest id whose vector resembles that of ``id`` and that is lower, where there is one."""
+    rows, kind = _units(df, None, id_, vec, dim)
+    turn = directions(dim, min(dim, N_DIRECTIONS)).T.astype(np.float32)
+
+    def run(batches):
+        for side, ids, x in _collected(batches):
+            mixed = 0 < side.sum() < len(side)
+            for s in (0, 1) if mixed else (side[0],):
+                mine = np.flatnonzero(side == s)
+                theirs = np.flatnonzero(side != s) if mixed else mine
+                first = _first_hits(_Side(x[mine], turn, True), _Side(x[theirs], turn, False), threshold, np.searchsorted(theirs, mine))
+                hit = np.flatnonzero(first >= 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine[hit])), ids.take(pa.array(theirs[first[hit]]))], names=["id", "low"])
+
+    found = rows.mapInArrow(run, f"id {kind}, low {kind}")
+    return found.groupBy("id").agg(F.min("low").alias("low")).withColumnRenamed("id", id_)
+
+
+def like_any(left: DataFrame, right: DataFrame, id_: str, vec: str, dim: int, threshold: float = dims.DUP_COSINE) -> DataFrame:
+    """Ids of ``left`` whose vector resembles one of ``right``."""
+    rows, kind = _units(left, right, id_, vec, dim)
+    turn = directions(dim, min(dim, N_DIRECTIONS)).T.astype(np.float32)
+
+    def run(batches):
+        for side, ids, x in _collected(batches):
+            mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            first = _first_hits(_Side(x[mine], turn, True), _Side(x[theirs], turn, False), threshold, np.full(len(mine), len(theirs)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine[first >= 0]))], names=["id"])
+
+    return rows.mapInArrow(run, f"id {kind}").distinct().withColumnRenamed("id", id_)
+
+
 def near_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, vec: str, dim: int,
                threshold: float = dims.DUP_COSINE, ordered: bool = False) -> DataFrame:
     """(lid, rid, cosine) of every pair at or above the threshold, for distinct unit vectors.
 
-    The join carries ids and projections only; vectors are fetched for the pairs
-    whose projections all agree within r. ``ordered`` keeps right ids below left
-    ids only.
+    ``ordered`` keeps right ids below left ids only.
     """
-    r = radius(threshold)
-    left, right = placed(left, vec, dim, threshold), placed(right, vec, dim, threshold)
-    a = left.select(lid, *[F.col(p).alias(f"_a{p}") for p in _PROJ], *[F.col(c).alias(f"_a{c}") for c in _CELL])
-    probes = F.array(*[F.struct(*[F.lit(o).alias(n) for n, o in zip(_CELL, off)]) for off in itertools.product((-1, 0, 1), repeat=len(_CELL))])
-    b = right.withColumn("_o", F.explode(probes)).select(
-        rid, *[F.col(p).alias(f"_b{p}") for p in _PROJ], *[(F.col(c) + F.col(f"_o.{c}")).alias(f"_b{c}") for c in _CELL])
-    cond = (b[rid] < a[lid]) if ordered else F.lit(True)
-    for c in _CELL:
-        cond = cond & (a[f"_a{c}"] == b[f"_b{c}"])
-    for p in _PROJ:
-        cond = cond & (F.abs(a[f"_a{p}"] - b[f"_b{p}"]) <= r)
-    pairs = a.join(b, cond).select(lid, rid)
-    pairs = pairs.join(left.select(lid, F.col(vec).alias("_va")), lid).join(right.select(rid, F.col(vec).alias("_vb")), rid)
-    pairs = pairs.withColumn("cosine", F.expr(A.dot("_va", "_vb")))
-    return pairs.where(F.col("cosine") >= threshold).select(lid, rid, "cosine")
+    rows, kind = _units(left.withColumnRenamed(lid, "id"), right.withColumnRenamed(rid, "id"), "id", vec, dim)
+    turn = directions(dim, min(dim, N_DIRECTIONS)).T.astype(np.float32)
+
+    def run(batches):
+        for side, ids, x in _collected(batches):
+            mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            a, b = _Side(x[mine], turn, True), _Side(x[theirs], turn, False)
+            for r in range(0, len(mine), TILE[0]):
+                for lo in range(0, len(theirs), TILE[1]):
+                    i, j = _tile(a, np.arange(r, min(r + TILE[0], len(mine))), b, lo, min(lo + TILE[1], len(theirs)), threshold)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine[r + i])), ids.take(pa.array(theirs[j])), pa.array(_dots(a.x[r + i], b.x[j]))],
+                                                         names=["l", "r", "cosine"])
+
+    pairs = rows.mapInArrow(run, f"l {kind}, r {kind}, cosine double")
+    return (pairs.where("r < l") if ordered else pairs).toDF(lid, rid, "cosine")
 
 
 def seen_before(cands: DataFrame, history: DataFrame, id_: str, vec: str, dim: int,
                 threshold: float = dims.DUP_COSINE) -> DataFrame:
     """Ids of candidates that repeat history (cosine >= threshold); zero signatures never do.
 
-    Distinct vectors only, placed once and frozen; a settling pass against one
-    member per cell removes copies of a hot group before the full neighbour
-    comparison.
+    Only distinct vectors meet; a candidate is done with its first match.
     """
     zero = F.expr(f"{A.sum_sq(vec)} > 1e-20")
-    place = lambda d: freeze(placed(collapse(d.where(zero), id_, vec), vec, dim, threshold))
-    c, h = place(cands), place(history).withColumnRenamed(id_, "_hid")
-    pivot = h.groupBy(*_CELL).agg(F.min_by(vec, "_hid").alias("_pv"))
-    settled = c.join(pivot, _CELL).where(F.expr(A.dot(vec, "_pv")) >= threshold).select(id_)
-    rest = c.join(settled, id_, "left_anti")
-    found = near_pairs(rest, h, id_, "_hid", vec, dim, threshold).select(id_).distinct()
-    hit = settled.unionByName(found).distinct()
+    c, h = (freeze(collapse(d.where(zero), id_, vec).select(id_, vec)) for d in (cands, history))
+    hit = like_any(c, h, id_, vec, dim, threshold)
     # back from representatives to every copy
     return cands.join(c.join(hit, id_, "left_semi").select(vec), vec, "left_semi").select(id_)
 
 
 def repeats_of_lower(reps: DataFrame, id_: str, vec: str, dim: int, threshold: float = dims.DUP_COSINE) -> DataFrame:
-    """Ids of distinct vectors that resemble one with a lower id.
-
-    A vector like its cell's lowest member is settled by that one comparison, so
-    a cluster of near copies costs one comparison each instead of all pairs; only
-    the unsettled rest meets its neighbours.
-    """
-    cells = freeze(placed(reps.select(id_, vec), vec, dim, threshold))
-    pivot = cells.groupBy(*_CELL).agg(F.min(id_).alias("_pid"), F.min_by(vec, id_).alias("_pv"))
-    settled = cells.join(pivot, _CELL).where((F.col("_pid") < F.col(id_)) & (F.expr(A.dot(vec, "_pv")) >= threshold)).select(id_)
-    rest = cells.join(settled, id_, "left_anti")
-    found = near_pairs(rest, cells.withColumnRenamed(id_, "_low"), id_, "_low", vec, dim, threshold, ordered=True).select(id_).distinct()
-    return settled.unionByName(found)
+    """Ids of distinct vectors that resemble one with a lower id."""
+    return lowest_like(freeze(reps.select(id_, vec)), id_, vec, dim, threshold).select(id_)
 
 
 SETTLING_ROUNDS = 4
 
 
-def _offsets() -> Column:
-    return F.array(*[F.struct(*[F.lit(o).alias(n) for n, o in zip(_CELL, off)]) for off in itertools.product((-1, 0, 1), repeat=len(_CELL))])
-
-
-def _around(df: DataFrame, *cols: str) -> DataFrame:
-    """``cols`` of ``df`` at its cell and at every cell next to it."""
-    return df.withColumn("_o", F.explode(_offsets())).select(*cols, *[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in _CELL])
-
-
-def settle(rest: DataFrame, id_: str, vec: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(still open, dropped ids) after one round: the lowest item of its cell and all cells next to it is admitted, what resembles it drops.
+def settle(rest: DataFrame, id_: str, vec: str, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(still open, dropped ids) after one round: items unlike every lower open one are admitted, what resembles them drops.
 
-    No two such items lie next to each other, so every item is compared with a
-    few of them at most, however many near copies a cell holds.
+    Most items drop by their lowest neighbour alone, which a group of near copies
+    has in common; the others are compared with all that is admitted.
     """
-    low = rest.groupBy(*_CELL).agg(F.min(id_).alias("_m"))
-    low = _around(low, "_m").groupBy(*_CELL).agg(F.min("_m").alias("_m"))
-    first = freeze(rest.join(low, _CELL).where(F.col(id_) == F.col("_m")).drop("_m"))
-    near = _around(first.select(F.col(id_).alias("_lead"), F.col(vec).alias("_lv"), *_CELL), "_lead", "_lv")
-    gone = freeze(rest.join(near, _CELL).where((F.col("_lead") != F.col(id_)) & (F.expr(A.dot(vec, "_lv")) >= threshold)).select(id_).distinct())
-    still = rest.join(first.select(id_), id_, "left_anti").join(gone, id_, "left_anti")
-    return freeze(still), gone
+    low = freeze(lowest_like(rest, id_, vec, dim, threshold))
+    led = low.join(low.select(F.col(id_).alias("low")), "low", "left_anti").select(id_)
+    other = freeze(rest.join(low.join(led, id_, "left_anti"), id_, "left_semi"))
+    if other.isEmpty():
+        return other, freeze(led)
+    admitted = freeze(rest.join(low.select(id_), id_, "left_anti"))
+    gone = freeze(led.unionByName(like_any(other, admitted, id_, vec, dim, threshold)))
+    return freeze(other.join(gone, id_, "left_anti")), gone
 
 
 def greedy_repeats(reps: DataFrame, id_: str, vec: str, dim: int, threshold: float = dims.DUP_COSINE) -> DataFrame:
     """Ids that resemble an admitted one with a lower id, when items are admitted in id order.
 
-    First a few settling rounds take whole clusters of near copies at one
-    comparison each. What stays open is worked in rounds on its similar pairs: an
+    First a few settling rounds take whole clusters of near copies without their
+    pairs. What stays open is worked in rounds on its similar pairs: an
     item without a lower open neighbour is admitted and its higher neighbours are
     dropped. That is the greedy result without one task walking the order; there
     are as many rounds as the longest chain of decisions that hang on each other.
     """
-    cells = freeze(placed(reps.select(id_, vec), vec, dim, threshold))
+    cells = freeze(reps.select(id_, vec))
     dropped = cells.select(id_).limit(0)
     for _ in range(SETTLING_ROUNDS):
-        cells, gone = settle(cells, id_, vec, threshold)
-        if gone.isEmpty():
-            break
+        cells, gone = settle(cells, id_, vec, dim, threshold)
         dropped = dropped.unionByName(gone)
+        if cells.isEmpty():
+            return dropped
     pairs = near_pairs(cells, cells.withColumnRenamed(id_, "_low"), id_, "_low", vec, dim, threshold, ordered=True)
     pairs = freeze(pairs.select("_low", F.col(id_).alias("_high")))
     while not pairs.isEmpty():
