@@ -52,7 +52,7 @@ def directions(dim: int, k: int) -> np.ndarray:
 N_DIRECTIONS = 16  # directions of the first comparison
 BLOCK = 1 << 16  # most rows of a block; a task holds two blocks
 PIECE, PIECES = 1 << 12, 8  # smaller inputs are cut into up to so many blocks of at least so many rows, to keep all cores busy
-TILE = (512, 2048)
+TILE = (256, 768)
 SLACK = 1e-5  # more than single precision loses on unit vectors
 
 
@@ -69,6 +69,14 @@ def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _product(x: np.ndarray, y: np.ndarray, step: int, out: np.ndarray) -> np.ndarray:
+    """Products of all rows of x with all rows of y, in stacks of ``step`` rows: so small that the BLAS library keeps to this task's thread."""
+    stacks = -(-len(x) // step)
+    x = np.concatenate([x, np.zeros((stacks * step - len(x), x.shape[1]), x.dtype)])
+    np.matmul(x.reshape(stacks, step, -1), y.T, out=out[:stacks * step * len(y)].reshape(stacks, step, len(y)))
+    return out
+
+
 class _Side:
     """Vectors of one side with what the first comparison needs."""
 
@@ -77,13 +85,18 @@ class _Side:
         p = self.single @ turn
         half, one = -(p * p).sum(axis=1, keepdims=True) / 2, np.ones((len(x), 1), np.float32)
         self.small = np.hstack([p, half, one] if left else [p, one, half])
+        if left:  # reused by every tile: fresh memory costs more than the product
+            self.room, self.over = np.empty(TILE[0] * TILE[1], np.float32), np.empty(TILE[0] * TILE[1], bool)
 
 
 def _tile(a: _Side, rows: np.ndarray, b: _Side, lo: int, hi: int, t: float) -> tuple[np.ndarray, np.ndarray]:
     """(position in ``rows``, column) of the pairs of a tile with dot product >= t, row by row and columns ascending."""
-    i, j = np.nonzero(a.small[rows] @ b.small[lo:hi].T >= t - 1 - SLACK)
-    if len(i) > len(rows) * (hi - lo) // 16:
-        dots = a.single[rows] @ b.single[lo:hi].T
+    size = len(rows) * (hi - lo)
+    product = _product(a.small[rows], b.small[lo:hi], 16, a.room)
+    over = np.greater_equal(product[:size], np.float32(t - 1 - SLACK), out=a.over[:size])
+    i, j = np.divmod(np.flatnonzero(over), hi - lo)
+    if len(i) > size // 16:
+        dots = _product(a.single[rows], b.single[lo:hi], 4, a.room)[:size].reshape(len(rows), -1)
         i, j = np.nonzero(dots >= t - SLACK)
         sure = dots[i, j] >= t + SLACK
     else:
