@@ -63,10 +63,7 @@ def collapse(df: DataFrame, id_: str, vec: str) -> DataFrame:
 
 def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Dot products of the rows of x with the same rows of y, summed in order of the dimensions."""
-    out = np.zeros(len(x))
-    for k in range(x.shape[1]):
-        out += x[:, k] * y[:, k]
-    return out
+    return np.cumsum(x * y, axis=1)[:, -1]
 
 
 def _product(x: np.ndarray, y: np.ndarray, step: int, out: np.ndarray) -> np.ndarray:
@@ -94,7 +91,10 @@ def _tile(a: _Side, rows: np.ndarray, b: _Side, lo: int, hi: int, t: float) -> t
     size = len(rows) * (hi - lo)
     product = _product(a.small[rows], b.small[lo:hi], 16, a.room)
     over = np.greater_equal(product[:size], np.float32(t - 1 - SLACK), out=a.over[:size])
-    i, j = np.divmod(np.flatnonzero(over), hi - lo)
+    at = np.flatnonzero(over)
+    if not len(at):
+        return at, at
+    i, j = np.divmod(at, hi - lo)
     if len(i) > size // 16:
         dots = _product(a.single[rows], b.single[lo:hi], 4, a.room)[:size].reshape(len(rows), -1)
         i, j = np.nonzero(dots >= t - SLACK)
@@ -102,8 +102,8 @@ def _tile(a: _Side, rows: np.ndarray, b: _Side, lo: int, hi: int, t: float) -> t
     else:
         sure = np.zeros(len(i), bool)
     open_ = np.flatnonzero(~sure)
-    for k in range(0, len(open_), 1 << 16):
-        at = open_[k:k + (1 << 16)]
+    for k in range(0, len(open_), 1 << 13):
+        at = open_[k:k + (1 << 13)]
         sure[at] = _dots(a.x[rows[i[at]]], b.x[lo + j[at]]) >= t
     return i[sure], lo + j[sure]
 
