@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
 from tidemark.plans.views import load
 from tidemark.registry import query
 from tidemark.sources import payloads as P
@@ -76,13 +77,16 @@ def cube_records(spark, sf):
 
 @query("sdmx_records", "A14", """SELECT o_orderkey // 64 page, o_orderpriority series_key, strftime(o_orderdate, '%Y-%m-%d') "timestamp", round(max(o_totalprice), 2) "value" FROM orders GROUP BY 1,2,3""")
 def sdmx_records(spark, sf):
-    periods = "array_sort(array_distinct(transform(rows, r -> r.d)))"
-    obs = ("map_from_arrays(array_distinct(transform(rows, r -> r.p)), transform(array_distinct(transform(rows, r -> r.p)), p -> named_struct('observations', "
-           f"map_from_entries(transform(array_distinct(transform(filter(rows, r -> r.p = p), r -> r.d)), d -> named_struct('key', "
-           f"CAST(array_position({periods}, d) - 1 AS STRING), 'value', array(array_max(transform(filter(rows, r -> r.p = p AND r.d = d), r -> r.v)))))))))")
-    pages = order_pages(spark, sf, f"to_json(named_struct('dataSets', array(named_struct('series', {obs})), 'structure', named_struct('dimensions', "
-                        f"named_struct('observation', array(named_struct('id', 'TIME_PERIOD', 'values', transform({periods}, d -> named_struct('id', d))))))))")
-    return P.sdmx_records(pages, "payload", ["page"]).withColumn("value", F.round("value", 2))
+    """One message per 64 orders: the largest price per (priority, day). Rows sorted by (priority, day, price) end each pair's run with it."""
+    o = load(spark, sf, "orders").selectExpr("o_orderkey div 64 AS page", "o_orderpriority AS p", "date_format(o_orderdate, 'yyyy-MM-dd') AS d", "o_totalprice AS v")
+    g = o.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("p", "d", "v"))).alias("rows"), F.array_sort(F.collect_set("d")).alias("periods"),
+                              F.array_sort(F.collect_set("p")).alias("ps"))
+    best = "filter(rows, (r, i) -> NOT coalesce(get(rows, i + 1).p = r.p AND get(rows, i + 1).d = r.d, false))"
+    entry = "named_struct('key', CAST(array_position(periods, r.d) - 1 AS STRING), 'value', array(r.v))"
+    obs = let("b", best, f"map_from_arrays(ps, transform(ps, p -> named_struct('observations', map_from_entries(transform(filter(b, r -> r.p = p), r -> {entry})))))")
+    body = (f"to_json(named_struct('dataSets', array(named_struct('series', {obs})), 'structure', named_struct('dimensions', "
+            "named_struct('observation', array(named_struct('id', 'TIME_PERIOD', 'values', transform(periods, d -> named_struct('id', d))))))))")
+    return P.sdmx_records(g.select("page", F.expr(body).alias("payload")), "payload", ["page"]).withColumn("value", F.round("value", 2))
 
 
 @query("csv_records", "A8 A16", """SELECT o_orderkey // 64 page, strftime(o_orderdate, '%Y-%m-%d') || 'T' || lpad(CAST((o_orderkey % 24) AS VARCHAR), 2, '0') || ':00:00' "timestamp",

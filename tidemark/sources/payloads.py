@@ -130,20 +130,22 @@ _SDMX = ("dataSets array<struct<series: map<string, struct<observations: map<str
 
 
 def sdmx_records(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
-    """Series / observation index maps to (period, value); flat observations when no series exist."""
+    """Series / observation index maps to (period, value); flat observations when no series exist.
+
+    A message is parsed once, and its rows leave it with their periods: no row carries the list of them.
+    """
     df = df.select(*keep, F.from_json(payload, _SDMX).alias("s"))
-    df = df.withColumn("periods", F.expr(
-        "transform(get(filter(s.structure.dimensions.observation, d -> d.id = 'TIME_PERIOD'), 0).values, v -> v.id)"))
-    has_series = "size(coalesce(get(s.dataSets, 0).series, map())) > 0"
-    per_series = df.where(has_series).select(
-        *keep, "periods", F.explode(F.expr("get(s.dataSets, 0).series")).alias("series_key", "ser"))
-    per_series = per_series.select(*keep, "periods", "series_key", F.explode("ser.observations").alias("k", "obs"), F.lit(1).alias("part"))
-    flat = df.where(f"NOT ({has_series})").select(
-        *keep, "periods", F.lit("").alias("series_key"), F.explode(F.expr("get(s.dataSets, 0).observations")).alias("k", "obs"), F.lit(-1).alias("part"))
-    both = per_series.unionByName(flat)
-    both = both.withColumn("i", F.expr("CAST(element_at(split(k, ':'), part) AS INT)"))
-    return both.select(*keep, "series_key", F.expr("coalesce(get(periods, i), CAST(i AS STRING))").alias("timestamp"),
-                       F.col("obs")[0].alias("value"))
+    df = df.select(*keep, F.expr("get(s.dataSets, 0)").alias("d"), F.expr(
+        "transform(get(filter(s.structure.dimensions.observation, d -> d.id = 'TIME_PERIOD'), 0).values, v -> v.id)").alias("periods"))
+    cells = ("transform(coalesce(map_entries({obs}), array()), o -> named_struct('series_key', {key}, "
+             "'i', CAST(element_at(split(o.key, ':'), {part}) AS INT), 'value', get(o.value, 0)))")
+    series = f"flatten(transform(map_entries(d.series), e -> {cells.format(obs='e.value.observations', key='e.key', part=1)}))"
+    flat = cells.format(obs="d.observations", key="''", part=-1)
+    rows = F.expr(f"transform(if(size(coalesce(d.series, map())) > 0, {series}, {flat}), "
+                  "c -> named_struct('series_key', c.series_key, 'timestamp', coalesce(get(periods, c.i), CAST(c.i AS STRING)), 'value', c.value))")
+    # outer, else the optimizer filters by the whole expression before it explodes it
+    df = df.select(*keep, F.explode_outer(rows).alias("c")).where("c IS NOT NULL")
+    return df.select(*keep, "c.series_key", "c.timestamp", "c.value")
 
 
 # --- delimited text -------------------------------------------------------------------
