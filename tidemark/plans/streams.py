@@ -107,8 +107,9 @@ def stream_silence(spark, sf):
     """Users quiet for more than a day of event time when the replay ends."""
     e = events(spark, sf).select("user_id", "ts")
     s = arrivals(spark, e)
-    got = _run(spark, J.silence_alerts(s, "user_id", "ts", 86_400_000, "1 hour"))
-    return got.select("user_id", "last_ms")
+    t = J.KeyedTable(spark, scratch_path(spark, "seen"), "user_id long, ts timestamp, silent boolean", ["user_id"])
+    J.drain_batches(s, J.silence_alerts(t, "user_id", "ts", 86_400_000, "1 hour"), scratch_path(spark, "ck"))
+    return t.read().where("silent").select("user_id", F.expr("unix_micros(ts) div 1000").alias("last_ms"))
 
 
 @query("stream_ledger", "Z8 Q7", """SELECT concat(event_type, '|', user_id % 20) key, concat('u', arg_min(user_id, event_id)) "name", count(*) times_proposed, CASE WHEN count(CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 1 END) > 0 THEN 'rejected' ELSE 'proposed' END status FROM events GROUP BY 1""")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tidemark.session import freeze
+
 
 def open_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -180,21 +180,22 @@ def ewma_levels(table: KeyedTable, key: str, ts: str, value: str, alpha: float =
     return fold
 
 
-def silence_alerts(df: DataFrame, key: str, ts: str, limit_ms: int, delay: str) -> DataFrame:
-    """One alert per series when event time moves past its last row by more than the limit."""
-
-    def watch(k, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "last_ms": [last]})
-            return
-        last = state.get[0] if state.exists else 0
-        for c in chunks:  # session time zone is UTC
-            last = max(last, int(c[ts].astype("datetime64[us]").astype("int64").max() // 1000))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + limit_ms, state.getCurrentWatermarkMs() + 1))
-
-    kind = dict(df.dtypes)[key]
-    return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(
-        watch, f"{key} {kind}, last_ms long", "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+def silence_alerts(table: KeyedTable, key: str, ts: str, limit_ms: int, delay: str) -> Callable[[DataFrame, int], None]:
+    """Series are silent once event time, less the delay, has moved past their last row by more than the limit.
+
+    ``table`` holds (key, ts timestamp, silent boolean): the last row of every
+    series and whether it was alerted. The rows of a batch meet as one maximum
+    per series; a version holds the series of its batch and those that fell
+    silent with it, which are its alerts. A series that returns is silent no more.
+    """
+
+    def watch(batch: DataFrame, epoch: int) -> None:
+        old = table.read(epoch).select(key, ts, "silent", F.lit(False).alias("_new"))
+        rows = batch.groupBy(key).agg(F.max(ts).alias(ts)).withColumns({"silent": F.lit(False), "_new": F.lit(True)})
+        both = old.unionByName(rows)
+        seen = freeze(both.groupBy(key).agg(F.max(F.struct(ts, "silent")).alias("_r"), F.max("_new").alias("_new")).select(key, "_r.*", "_new"))
+        edge = F.lit(seen.agg(F.unix_micros(F.max(ts) - F.expr(f"INTERVAL {delay}"))).first()[0]).cast("long")
+        now = F.coalesce(F.unix_micros(ts) + limit_ms * 1000 < edge, F.lit(False))
+        table.write(seen.where(F.col("_new") | (now & ~F.col("silent"))).select(key, ts, (F.col("silent") | now).alias("silent")), epoch)
+
+    return watch
