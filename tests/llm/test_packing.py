@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import hilbert_key, pack
+from tidemark.llm.packing import WordIds, hilbert_key, pack
 from tidemark.llm.queries import op7_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -75,3 +75,11 @@ def test_repeated_rows_and_no_rows(spark):
     got = pack(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], schema), PATH, length=8).collect()
     assert sum(r.length for r in got) == 3 + 3 + 2
     assert pack(spark.createDataFrame([], schema), PATH).collect() == []
+
+
+def test_a_word_is_kept_once_and_forgotten_words_cost_no_result():
+    words, few = (WordIds(PATH) for _ in range(2))
+    few.KEEP = 3
+    texts = ["over the lazy dog, over The dog.", "the Über dog", "Dog! over", "the"] * 3
+    assert [few.text(t) for t in texts] == [words.text(t) for t in texts]
+    assert {"over", "the"} <= words.pieces.keys() and not {"over", "the"} & words.words.keys()

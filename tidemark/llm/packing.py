@@ -33,7 +33,7 @@ class WordIds:
     the ASCII marks after it are one piece of their own.
     """
 
-    KEEP = 400_000
+    KEEP = 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,17 +47,22 @@ class WordIds:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
 
-    def _word(self, w: str) -> bytes:
+    def _word(self, w: str, keep: bool) -> bytes:
         got = self.words.get(w)
         if got is None:
             ids = [t.id for t in self.tok.model.tokenize(w if w.isascii() else w.translate(self.letter))]
-            got = self.words[w] = array("H", ids).tobytes()
+            got = array("H", ids).tobytes()
+            if keep:
+                self.words[w] = got
         return got
 
     def _piece(self, p: str) -> bytes:
         m = self.plain(p)
         if m:
-            out = self._word(m[1].lower())
+            w = m[1].lower()
+            out = self.pieces.get(w)
+            if out is None:
+                out = self._word(w, keep=w != p)  # a piece that is just the word is kept as a piece
             if m[2]:
                 out += self._general(m[2])
             return out

@@ -16,6 +16,7 @@ labelled sample.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -122,10 +123,11 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b""
 
 
-def _without_copies(texts: list[list[str]]) -> list[set[str]]:
+def _without_copies(texts: list[str]) -> list[set[str]]:
     """The words that each text shows in a neighbourhood no text before it had; near copies of earlier texts are left out whole."""
     out, seen = [], set()
-    for w in texts:
+    for t in texts:
+        w = [*map(sys.intern, WORD(t))]  # one string a word, not one an occurrence
         near = set(zip([""] + w, w, w[1:] + [""]))
         new = near - seen
         seen |= new
@@ -185,7 +187,7 @@ def learn(rows: list[tuple[str, int, float]]) -> Model:
     model = Model(b"", b"", prior)
     if not toxic or not ordinary:
         return model
-    shown, plain = _without_copies([WORD(t) for t in toxic]), _without_copies([WORD(t) for t in ordinary])
+    shown, plain = _without_copies(toxic), _without_copies(ordinary)
     ranked = _ranked(shown, plain)
     place = {w: k for k, w in enumerate(ranked[:_how_many(shown, plain)])}
     telling = Counter(p for t in toxic for p in t.split() if not place.keys().isdisjoint(WORD(p)))
